@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scholia.llm.mixing import mix
 from scholia.llm.near_join import near_join
+from scholia.llm.packing import pack
 from scholia.llm.quality_rules import quality_rules
 from scholia.llm.staging import new_path
+from scholia.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,7 +26,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("quality rules", rules), ("near duplicates", near_duplicates)]
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that came before go from the texts; a document of which nothing is left goes."""
+    cut = substring_dedup(docs)
+    some = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return cut.where((F.col("n_cut") == 0) | some).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The files hold the documents in the order in which the sources interleave."""
+    return mix(docs).repartitionByRange("position").sortWithinPartitions("position").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bins, packed along the mixed order."""
+    return pack(docs, in_order=True)
+
+
+STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("repeated passages", repeats), ("mixing", mixing), ("packing", packing)]
 
 #: Chosen paths and content-defined chunks have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholia.llm.mixing import mix
 from scholia.llm.near_join import near_join
+from scholia.llm.packing import pack
 from scholia.llm.quality_rules import quality_rules
+from scholia.llm.substring_dedup import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select(
@@ -19,10 +26,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op9_near_join)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_quality_rules, op7_best_fit_packing, op9_near_join, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
