@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scholia.llm.ann import nearest
+from scholia.llm.html_text import main_text
 from scholia.llm.mixing import mix
 from scholia.llm.near_join import near_join
 from scholia.llm.packing import pack
 from scholia.llm.quality_rules import quality_rules
 from scholia.llm.substring_dedup import repeated_passages
+from scholia.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +24,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select(
@@ -38,6 +55,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_quality_rules, op7_best_fit_packing, op9_near_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_vectors, op4_token_counts, op5_html_text, op6_quality_rules, op7_best_fit_packing, op9_near_join, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
