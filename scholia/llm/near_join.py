@@ -280,7 +280,8 @@ def near_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999,
     sizes = comps.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     members = staged(members.join(sizes, "root"), "members")
     # one row of each representative's text; a repeated id with another text has another set
-    texts = rows.join(members.withColumnRenamed("id", "doc_id"), "doc_id").select("root", "m", F.col("doc_id").alias("id"), "copies", "text")
+    # (a merge join at every size: the members grow with the documents, and a broadcast would fit small inputs alone)
+    texts = rows.join(members.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id").select("root", "m", F.col("doc_id").alias("id"), "copies", "text")
     blocked = _in_blocks(texts, "root", "m", BLOCK).select("root", "lo", "hi", "mine", "id", "copies", "text")
     exact = staged(map_groups(blocked, ["root", "lo", "hi"], _exact(threshold), "a long, b long, texts long, docs long"), "links")
     classes = components(exact.select("a", "b"))
