@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scholia.llm.ann import nearest
 from scholia.llm.html_text import main_text
+from scholia.llm.lm_score import lm_scores
 from scholia.llm.mixing import mix
 from scholia.llm.near_join import near_join
 from scholia.llm.packing import pack
@@ -28,6 +29,10 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.pmod("vec_id", F.lit(50)) == 0)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,6 +60,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_vectors, op4_token_counts, op5_html_text, op6_quality_rules, op7_best_fit_packing, op9_near_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_vectors, op3_lm_scoring, op4_token_counts, op5_html_text, op6_quality_rules, op7_best_fit_packing, op9_near_join, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
