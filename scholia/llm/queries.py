@@ -13,6 +13,8 @@ from scholia.llm.mixing import mix
 from scholia.llm.near_join import near_join
 from scholia.llm.packing import pack
 from scholia.llm.quality_rules import quality_rules
+from scholia.llm.sharding import shard_in_arrivals
+from scholia.llm.staging import new_path
 from scholia.llm.substring_dedup import repeated_passages
 from scholia.llm.token_counts import token_counts
 
@@ -52,6 +54,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document is after four arrivals, read back through the manifest."""
+    docs = _table(spark, sf_dir, "documents")
+    store = shard_in_arrivals(docs, new_path(spark, "shards"))
+    if not store.versions():
+        return spark.createDataFrame([], "doc_id long, n_bytes long, shard long, tier int, shard_rows long, shard_bytes long")
+    live = store.manifest().select("shard", "tier", F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"))
+    return store.rows().select("row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"), "shard").join(live, "shard").select(
+        "doc_id", "n_bytes", "shard", "tier", "shard_rows", "shard_bytes"
+    )
+
+
 def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,6 +74,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_vectors, op3_lm_scoring, op4_token_counts, op5_html_text, op6_quality_rules, op7_best_fit_packing, op9_near_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_vectors, op3_lm_scoring, op4_token_counts, op5_html_text, op6_quality_rules, op7_best_fit_packing, op8_sharding, op9_near_join, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
