@@ -200,7 +200,7 @@ ORACLE: dict[str, str] = {
     "title_backfill": _with("catalog", "SELECT stem, doi FROM catalog WHERE doi IS NOT NULL AND title IS NULL"),
     "catalog_backfill": _with("md catalog", "SELECT stem, key, 'markdown/' || substr(stem, 1, 2) || '/' || stem || '.md' AS sharded_key FROM md WHERE stem NOT IN (SELECT stem FROM catalog)"),
     "history_events": _with("history", "SELECT * FROM history"),
-    "history_recent": _with("history", "SELECT * FROM history ORDER BY "at" DESC, stem, activity LIMIT 30"),
+    "history_recent": _with("history", "SELECT * FROM history ORDER BY history.at DESC, stem, activity LIMIT 30"),
     "pipeline_counts": _with(
         "files catalog",
         "SELECT *, greatest(greatest(greatest(documents - markdown, 0) - failed, 0), 0) AS drift, round(coalesce(least(failed / nullif(documents, 0), 1), 0), 6) AS failed_share, round(coalesce(least(markdown / nullif(documents - failed, 0), 1), 0), 6) AS markdown_share, round(coalesce(least(embedded / nullif(markdown, 0), 1), 0), 6) AS embedded_share "
