@@ -1,0 +1,67 @@
+import random
+
+import pyarrow as pa
+import pytest
+
+tokenizers = pytest.importorskip("tokenizers")
+public = pytest.importorskip("public_tokenizers")
+
+from scholia.llm.token_counts import Counter, proved_strings, string_hashes, token_counts  # noqa: E402
+
+
+def test_counts_equal_the_library(spark):
+    import numpy as np
+
+    path = public.path("byte_bpe_50k.json")
+    c = Counter(path, np.unique(string_hashes(proved_strings(path))))
+    r = random.Random(2)
+    parts = ["'s", "'t", "'re", "'ve", "'ll", "'", "''", " ", "  ", "\n", "\n\n", "\t", " \n", "a", "Sun", "re", "llama", "12", "3", ".", "!!", "é", "ß", "中", " ", "<|endoftext|>", "<|end", "½", "€", "\x85", "d", "́", "😀", "\x1c", " ", "͸"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(5000)] + ["word " * 5000]
+    want = [len(e.ids) for e in c.tok.encode_batch(texts, add_special_tokens=False)]
+    assert c.count(pa.array(texts)).tolist() == want
+    rows = list(enumerate(texts[:200])) + [(None, "a b"), (5, None), (5, "")]
+    got = token_counts(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, n_tokens int"), path).collect()
+    assert len(got) == len(rows)
+    by = dict(zip(range(200), want))
+    for x in got[:200]:
+        assert x.n_tokens == by[x.doc_id] and x.n_bytes == len(texts[x.doc_id].encode()) and not x.over_limit
+    assert sorted((x.n_bytes, x.n_tokens) for x in got[200:]) == [(0, 0), (0, 0), (3, 2)]
+
+
+def test_other_kinds_are_refused():
+    with pytest.raises(ValueError):
+        proved_strings(public.path("word_bpe_49k.json"))
+
+
+def test_pages(spark, sf):
+    import html
+    import re
+
+    from scholia.llm.html_blocks import add_features, leaf_blocks
+    from scholia.llm.html_text import fit, main_text
+    from scholia.llm.html_training import MARK, labelled_page
+
+    model = fit()
+    right = total = 0
+    for seed in range(50_000, 50_150):
+        blocks = add_features(leaf_blocks(labelled_page(seed)))
+        labels = model.decode([blocks])[0]
+        right += sum((MARK in b.text) == bool(y) for b, y in zip(blocks, labels))
+        total += len(blocks)
+    assert right >= 0.98 * total
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    source = {r.page_id: r.html for r in pages.collect()}
+    for r in main_text(pages).collect():
+        body = re.search(r"<article>(.*?)</article>", source[r.page_id], re.S)[1]
+        assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split()) and r.n_chars == len(r.text)
+    odd = spark.createDataFrame([(1, "u", None, "x"), (None, None, "", "y"), (1, "u", "<p", "z"), (2, "v", "<" * 5000, "w")], "page_id long, url string, html string, text string")
+    got = main_text(odd).collect()
+    assert len(got) == 4 and all(r.text is not None and r.n_chars == len(r.text) for r in got)
+    assert main_text(odd.limit(0)).count() == 0
+
+
+def test_blocks():
+    from scholia.llm.html_blocks import leaf_blocks
+
+    page = '<title>T</title><p>one <b>t</b>wo<br>three<p class="x" title="a>b">four&amp;<!-- c --><script>no</script><ul><li>x<li>y</ul>end'
+    assert [b.text for b in leaf_blocks(page)] == ["one two three", "four&", "x", "y", "end"]
