@@ -47,7 +47,7 @@ def drift(documents: Column, markdown: Column, failed: Column, in_flight: Column
 
 def share(part: Column, whole: Column) -> Column:
     """part / whole, at most 1, and 0 of nothing."""
-    return F.coalesce(F.least(F.try_divide(part.cast("double"), whole), F.lit(1.0)), F.lit(0.0))
+    return F.least(F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0)), F.lit(1.0))
 
 
 def snapshot(catalog: DataFrame, objects: DataFrame, in_flight: int = 0) -> DataFrame:
