@@ -33,7 +33,8 @@ class Rule:
 RULES = (
     Rule("mean_word_chars", "word_chars / n_words", 2.5, 12.0),
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.1),
-    Rule("stop_word_share", "n_stop_words / n_words", 0.06, None),
+    # two more, as a short text may have none by chance
+    Rule("stop_word_share", "(n_stop_words + 2) / n_words", 0.06, None),
     Rule("duplicate_line_share", "n_dup_lines / greatest(n_lines, 1)", None, 0.4),
     Rule("lines_per_word", "n_lines / n_words", None, 0.5),
 )

@@ -11,6 +11,7 @@ from scholia.llm.html_text import main_text
 from scholia.llm.lm_score import lm_scores
 from scholia.llm.mixing import mix
 from scholia.llm.near_join import near_join
+from scholia.llm.oracle import NEAR_JOIN, QUALITY_RULES
 from scholia.llm.packing import pack
 from scholia.llm.quality_rules import quality_rules
 from scholia.llm.sharding import shard_in_arrivals
@@ -76,4 +77,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_vectors, op3_lm_scoring, op4_token_counts, op5_html_text, op6_quality_rules, op7_best_fit_packing, op8_sharding, op9_near_join, op10_mixing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": QUALITY_RULES, "op9_near_join": NEAR_JOIN}
