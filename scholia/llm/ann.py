@@ -29,7 +29,7 @@ from scholia.llm.staging import staged
 M = 8
 #: Probability with which a better point would have been met before the stop.
 SURE = 0.97
-#: Vectors that the upper tree is fitted on at most; all vectors are indexed.
+#: Vectors, about, that the upper tree is fitted on at most; all vectors are indexed.
 SAMPLE = 16384
 #: Vectors of a block, queries of a block, and points of a leaf.
 BLOCK, QUERY_BLOCK, LEAF = 8192, 4096, 256
@@ -206,8 +206,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, sure: float = SURE, id_col
     salted = rows.groupBy("vec", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // BLOCK))).alias("salt")).agg(few(F.collect_list("vec_id")).alias("ids"))
     distinct = salted.groupBy("vec").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
     dirs = directions(dims)
-    sample = rows.select("vec").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()["vec"]
-    tree = UpperTree(projected(np.stack(sample.to_list()).astype(float), dirs), min(MAX_DEPTH, max(0, math.ceil(math.log2(n / BLOCK)))))
+    # by a threshold on a hash: about SAMPLE rows of any number, and no top-k of every partition
+    share = min(1.0, SAMPLE / n)
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").toPandas()["vec"]
+    points = np.stack(sample.to_list()).astype(float) if len(sample) else np.ones((1, dims))
+    tree = UpperTree(projected(points, dirs), min(MAX_DEPTH, max(0, math.ceil(math.log2(n / BLOCK)))))
     quantile = chi_square_quantile(sure)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,10 +14,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.llm.staging import staged
+
 #: Parts that the weights are rounded to; each source has at least one.
 PERIOD = 400
 #: Documents of a block.
 BLOCK_ROWS = 8
+#: Sources at most; their counts and the period's slots go to every task.
+MAX_SOURCES = 1024
 #: Documents of a source that are numbered together.
 BUCKET_ROWS = 4096
 
@@ -92,7 +96,7 @@ def mix(
     so the others go on in their own proportions.  Within a source the order is that of a
     hash of the id, so it is the same in each run.
 
-    A null source is a source of its own.  Rows of one id take neighbouring places; a
+    There may be MAX_SOURCES sources, else ValueError.  A null source is a source of its own.  Rows of one id take neighbouring places; a
     null id is an id.  An empty table gives an empty result.  Columns of the new names
     are replaced.
     """
@@ -100,7 +104,9 @@ def mix(
     key = F.when(F.col(source_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
     hashed = F.xxhash64(F.col(id_col))
     # every 4096 documents of a source are numbered by themselves, so no task gets a whole source
-    counts = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")), "sources")
+    if counts.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: the schedule is one expression over all of them")
     buckets = F.ceil(F.col("_n") / F.lit(BUCKET_ROWS))
     spans = counts.select(F.col("key").alias("_key"), F.col("n").alias("_n"))
     keyed = rows.withColumns({"_key": key, "_hash": hashed}).join(F.broadcast(spans), "_key").withColumn("_bucket", F.pmod("_hash", buckets))
