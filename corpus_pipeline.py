@@ -9,7 +9,7 @@ from scholia.llm.mixing import mix
 from scholia.llm.near_join import near_join
 from scholia.llm.packing import pack
 from scholia.llm.quality_rules import quality_rules
-from scholia.llm.staging import new_path
+from scholia.llm.staging import new_path, staged
 from scholia.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,9 +23,16 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays."""
-    keep = near_join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each class of near duplicates the document with the smallest id stays, and of its repeated rows one.
+
+    Rows without an id are in no class, and stay.
+    """
+    classes = staged(near_join(docs).select("doc_id", "class_id").where("doc_id IS NOT NULL"), "classes")
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    twice = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    once = rest.join(twice, "doc_id", "left_anti")
+    return once.unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
