@@ -27,8 +27,36 @@ def ned(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.levenshtein(a, b).cast("double"), longest), F.lit(0.0))
 
 
+#: Characters that become letters or digits for a comparison.
+FOLDED = {
+    "×": "x", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "Œ": "OE", "œ": "oe", "Æ": "AE", "æ": "ae", "°": "deg", "℃": "degC", "¼": "14", "½": "12", "¾": "34", "²": "2", "³": "3", "¹": "1",
+}
+
+
+def normalized_text(text: Column) -> Column:
+    """Letters and digits of a page's text, as they are compared: without markup, LaTeX commands, punctuation and space.
+
+    Greek commands become their letters and \\times an x; other commands go and what they
+    hold stays, while an escaped character goes, and so do tags, an unterminated one to the
+    end of its line.  Everything else that marks headings, emphasis and tables is no letter.
+    """
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)\\\P{IsAlphabetic}", "")
+    for letter, name in GREEK.items():
+        s = F.regexp_replace(s, rf"\\{name}(?!\p{{IsAlphabetic}})", letter)
+    s = F.regexp_replace(F.regexp_replace(s, r"\\times(?!\p{IsAlphabetic})", "x"), r"\\\p{IsAlphabetic}+", "")
+    s = F.regexp_replace(s, r"<[^>\n]*(?:>|(?=\n)|$)", "")
+    for c, to in FOLDED.items():
+        s = F.replace(s, F.lit(c), F.lit(to))
+    return F.regexp_replace(s, r"[^\p{IsAlphabetic}\p{N}]+", "")
+
+
+def page_ned(a: Column, b: Column) -> Column:
+    """NED of the normalized texts."""
+    return ned(normalized_text(a), normalized_text(b))
+
+
 def text_score(a: Column, b: Column) -> Column:
-    return (1 - ned(a, b)) * 100
+    return (1 - page_ned(a, b)) * 100
 
 
 def _grams(w: Column, n: int) -> Column:

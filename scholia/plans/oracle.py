@@ -239,4 +239,13 @@ ORACLE: dict[str, str] = {
     "heartbeat_stale": "SELECT event_type AS service_type, CAST(user_id AS VARCHAR) AS url, max(ts) > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 86400 SECOND AS healthy FROM events GROUP BY 1, 2",
     "event_dedup": "SELECT event_type || '/' || user_id AS key, min(event_id) AS event_id FROM events GROUP BY 1",
     "event_payloads": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS total FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY event_type",
+    "resolved_downloads": _with(
+        "papers",
+        "SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'pmc/' || id WHEN len(urls) > 0 THEN urls[1] END AS url, CASE WHEN doc_id % 7 = 0 THEN 'pmc' WHEN len(urls) > 0 THEN 'provider' ELSE 'not_found' END AS resolver FROM papers",
+    ),
+    "stamped_catalog": _with(
+        "catalog",
+        "SELECT stem, CASE WHEN i % 5 = 0 AND i % 10 <> 0 AND i % 9 > 0 THEN i % 9 WHEN has_embedding THEN chunks END AS chunks, "
+        "CASE WHEN i % 10 = 0 OR (i % 5 = 0 AND i % 9 = 0) THEN 'zero_chunks' WHEN has_skip THEN skip_reason END AS skip_reason FROM catalog",
+    ),
 }

@@ -16,7 +16,7 @@ from scholia.operators import quality as Q
 from scholia.operators import status as S
 from scholia.operators import vectors as V
 from scholia.operators.chunk import chunks
-from scholia.operators.dedup import dedup, dedup_stats, doi_groups, similar_titles, leaders, source_weight
+from scholia.operators.dedup import dedup, dedup_stats, doi_groups, leaders, similar_titles
 from scholia.operators.merge import merge_groups, ranked
 from scholia.plans import views
 from scholia.plans.indexing import index_documents
@@ -429,7 +429,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("item_id", _r(E.ned(F.col("text"), F.col("hyp")), "ned"))
+    return _pairs(spark, sf_dir).select("item_id", _r(E.page_ned(F.col("text"), F.col("hyp")), "ned"))
 
 
 @query
@@ -481,3 +481,34 @@ def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int").alias("p")).where("p.k IS NOT NULL")
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("total"))
+
+
+@query
+def table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as tables of two rows against the table of the next line number."""
+    from scholia.functions.tables import teds
+
+    cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
+    html = F.concat(F.lit("<table><tr>"), cell("l_partkey"), cell("l_suppkey"), F.lit("</tr><tr>"), cell("l_quantity"), cell("l_returnflag"), F.lit("</tr></table>"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", html.alias("html"))
+    nxt = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("html").alias("found"))
+    return rows.join(nxt, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", _r(teds("html", "found"), "teds"))
+
+
+@query
+def resolved_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholia.operators.downloads import resolved
+
+    none = F.lit(None).cast("string")
+    return resolved(views.papers(spark, sf_dir).withColumns({"unpaywall": none, "pmc_url": F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("pmc/"), "id"))})).select("id", "url", "resolver")
+
+
+@query
+def stamped_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document embedded anew, with no chunks for every tenth."""
+    from scholia.operators.stamps import stamp_embedding
+
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 5 == 0)
+    results = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("stem"), F.lit("gpu").alias("server"), F.when(F.col("doc_id") % 10 == 0, 0).otherwise(F.col("doc_id") % 9).alias("chunks"), F.lit("cpu").alias("device"))
+    out = stamp_embedding(views.catalog(spark, sf_dir), results, F.lit("2024-05-01T00:00:00Z"))
+    return out.select("stem", F.col("embedding.chunks_indexed").alias("chunks"), F.col("embedding_skip.reason").alias("skip_reason"))

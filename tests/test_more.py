@@ -24,6 +24,26 @@ def test_tables():
     assert tables_score(t, t.replace("<tr>", "<tr></tr><tr>", 1)) == pytest.approx(100 * (1 - 1 / 8))
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("# A **b** c", "Abc"),
+        ("| a | b |\n| --- | --- |", "ab"),
+        (r"$\frac{a}{b}$ and \mathbf{x}_1^{2}", "abandx12"),
+        (r"\alpha + \times3 \unknown{k} \% 5 \\beta", "αx3k5beta"),
+        (r"\alphabet", ""),
+        ("x<sub>2</sub> y < z\nnext", "x2ynext"),
+        ("ﬁne ½ 5°", "fine125deg"),
+        ("0. 45", "045"),
+        (None, ""),
+    ],
+)
+def test_normalized_text(spark, text, want):
+    from scholia.operators.evaluate import normalized_text
+
+    assert spark.createDataFrame([(text,)], "t string").select(normalized_text(F.col("t"))).first()[0] == want
+
+
 def test_teds_column(spark):
     df = spark.createDataFrame([("<table><tr><td>a</td></tr></table>", None), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(teds("a", "b")).collect()] == [0.0, None]
