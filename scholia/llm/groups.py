@@ -37,7 +37,7 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield rest.combine_chunks()
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, by: list[str] | None = None) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Bring the rows of each key together and give fn one table of a whole group after another.
 
     The keys are integers.  Groups must be bounded; callers split larger ones into
@@ -51,15 +51,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
             for a, b in zip(at, at[1:]):
                 yield from fn(table.slice(a, b - a))
 
-    return df.repartition(*(by or keys)).sortWithinPartitions(*keys).mapInArrow(task, schema)
-
-
-def find(parent: np.ndarray, i: int) -> int:
-    """The root of i in a union-find forest, with path halving."""
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

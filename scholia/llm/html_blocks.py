@@ -12,13 +12,13 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no text of the page.
-DROPPED = "script|style|title|noscript|template|svg|math|iframe|object|textarea|head"
+DROPPED = "script|style|title|noscript|template|svg|math|iframe|object|textarea"
 #: Elements that an opening tag of the same kind closes, up to the container named.
 _SIBLINGS = {"li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(script|style|title|noscript|template|svg|math|iframe|object|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    rf"|<({DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>"
     r"|[^<]+|<",

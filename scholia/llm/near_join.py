@@ -140,7 +140,6 @@ def _in_blocks(rows: DataFrame, key: str, n: str, block: int) -> DataFrame:
 
 def _tree_links(reps: DataFrame, run_ids: list[int], least: int) -> DataFrame:
     """Candidate links by the given runs of the tree over (id, comp, sketch)."""
-    spark = reps.sparkSession
     picks = [int(x) for r in run_ids for x in np.random.default_rng(r).permutation(SKETCH // 2)[:FANOUT]]
     roots = F.array(*[F.xxhash64(F.lit(r), F.lit(picks[i * FANOUT + k]), F.col("sketch")[picks[i * FANOUT + k]]) for i, r in enumerate(run_ids) for k in range(FANOUT)])
     rows = reps.select("id", "comp", "sketch", F.explode(roots).alias("path"), F.lit(None).cast("long").alias("above"))
@@ -169,14 +168,15 @@ def _tree_links(reps: DataFrame, run_ids: list[int], least: int) -> DataFrame:
         rows = rows.join(hot.select("path", "m"), "path").select(
             "id", "comp", "sketch", F.explode(F.array_distinct(F.array(*[F.xxhash64("path", p, F.element_at("sketch", p + 1)) for p in pick]))).alias("path"), F.col("m").alias("above")
         )
-    return found if found is not None else spark.createDataFrame([], "a long, b long")
+    return found
 
 
 def _exact(threshold: float):
     """Exact links of a candidate component, or of a pair of blocks of one.
 
-    Rows (part, kind): a link count for each set, and a spanning forest of the links.
-    In a pair of two blocks only the pairs across count, in a single block all.
+    A row for each set with links: its id, the least id that it is connected to here, and
+    the numbers of sets and of documents linked to it.  In a pair of two blocks only the
+    pairs across count, in a single block all.
     """
 
     def sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
