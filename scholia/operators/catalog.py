@@ -70,21 +70,30 @@ def stuck_convert(catalog: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def repair_plan(catalog: DataFrame, papers: DataFrame, markdown: DataFrame) -> DataFrame:
-    """(direction, stem, detail) of all six directions, from one state of the tables."""
-    one = lambda df, name, detail: df.select(F.lit(name).alias("direction"), "stem", detail.alias("detail"))
+    """(direction, stem, detail) of all six directions, from one state of the tables.
+
+    Each table is read once: the three are joined in full by stem, and a stem's row gives
+    the directions that hold for it.
+    """
+    state = (
+        catalog.select("stem", "conversion", "downloaded_at", F.coalesce("markdown_path", F.lit("")).alias("path"), F.lit(True).alias("known"))
+        .join(sources_of(papers), "stem", "full")
+        .join(markdown_of(markdown), "stem", "full")
+    )
+    known, source, file = F.col("known").isNotNull(), F.col("source_ext").isNotNull(), F.col("key").isNotNull()
+    converted, failed = F.col("conversion").isNotNull(), F.coalesce("conversion.failed", F.lit(False))
+    no_stamp, no_download = ~converted & file, F.col("downloaded_at").isNull() & source
     none = F.lit(None).cast("string")
-    parts = [
-        one(orphan_files(catalog, papers), "disk_no_catalog", F.col("source_ext")),
-        one(converted_without_markdown(catalog, markdown), "catalog_no_markdown", none),
-        one(phantom_rows(catalog, papers, markdown), "catalog_no_source", none),
-        one(flag_drift(catalog, papers, markdown), "flag_drift", F.concat_ws(",", F.when(F.col("conversion_missing"), "conversion"), F.when(F.col("download_missing"), "download"))),
-        one(path_drift(catalog, markdown), "path_drift", F.col("resolved_path")),
-        one(stuck_convert(catalog, papers), "stuck_convert", F.col("source_ext")),
+    found = [
+        ("disk_no_catalog", source & ~known, F.col("source_ext")),
+        ("catalog_no_markdown", known & converted & ~failed & ~file, none),
+        ("catalog_no_source", known & ~source & ~file, none),
+        ("flag_drift", known & ~failed & (no_stamp | no_download), F.concat_ws(",", F.when(no_stamp, "conversion"), F.when(no_download, "download"))),
+        ("path_drift", known & file & (F.col("path") != F.col("key")), F.col("key")),
+        ("stuck_convert", known & ~converted & source, F.col("source_ext")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    due = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(name).alias("direction"), detail.alias("detail"))) for name, when, detail in found]))
+    return state.select("stem", F.explode(due).alias("d")).select("d.direction", "stem", "d.detail")
 
 
 def reconcile(markdown: DataFrame, indexed: DataFrame, catalog: DataFrame) -> DataFrame:

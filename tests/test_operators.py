@@ -157,6 +157,11 @@ def test_catalog_directions(spark):
     assert stems(C.phantom_rows(cat, papers, md)) == ["cc"]
     assert [tuple(r) for r in C.stuck_convert(cat, papers).collect()] == [("bb", "pdf")]
     assert sorted(tuple(r) for r in C.flag_drift(cat, papers, md).collect()) == [("bb", True, False), ("dd", False, True)]
+    plan = {(r.direction, r.stem, r.detail) for r in C.repair_plan(cat, papers, md).collect()}
+    assert plan == {
+        ("disk_no_catalog", "zz", "pdf"), ("catalog_no_markdown", "dd", None), ("catalog_no_source", "cc", None), ("stuck_convert", "bb", "pdf"),
+        ("flag_drift", "bb", "conversion"), ("flag_drift", "dd", "download"), ("path_drift", "aa", "markdown/aa/aa.md"), ("path_drift", "bb", "markdown/bb/bb.md"),
+    }
     assert sorted(tuple(r) for r in C.path_drift(cat, md).collect()) == [("aa", "markdown/aa.md", "markdown/aa/aa.md"), ("bb", "markdown/aa.md", "markdown/bb/bb.md")]
 
 
