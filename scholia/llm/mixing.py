@@ -1,10 +1,17 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions alone.
-
-A source's documents are dealt into blocks.  Block i of a source of weight w may not be
-emitted before slot floor(i / w) and must be by slot ceil((i + 1) / w); the earliest
-deadline among the released blocks goes first.  Weights are whole parts of a period, so
-the schedule repeats after it: one period is worked out, as an expression, and every block
-finds its slot from its number alone.
+"""Mixing sources to target weights, in DataFrame functions alone.
+
+A source's documents are dealt into blocks, and each slot takes one block.  The sources
+are the leaves of a binary tree: a node of weight W has given its child of weight w, of
+its first n slots, n w / W of them to the nearest whole.  So slot and block number of a
+child tell the slot of its parent in closed form, and a block finds its slot by going up
+from its source, whatever the number of blocks or sources; no step is taken slot by slot.
+
+After any number of slots a source is off its target by at most half the sum of
+w / W over itself and its ancestors below the root.  The tree halves the line on which the
+sources lie by falling weight, so these W grow about twofold.  The bound is a matter of the
+weights alone: it doesn't grow with the input, is less than 1 for equal sources whose
+number is a power of two, and may be more than 1 otherwise, as windows of one block would
+need the slots to be filled one after the other.
 """
 
 from __future__ import annotations
@@ -16,67 +23,66 @@ from pyspark.sql import functions as F
 
 from scholia.llm.staging import staged
 
-#: Parts that the weights are rounded to; each source has at least one.
-PERIOD = 400
+#: Weights are whole numbers of so many parts, of which a block's error is at most half of one a slot.
+PARTS = 1 << 32
+#: Bits of twice a place on the line of all parts.
+LINE_BITS = 34
 #: Documents of a block.
 BLOCK_ROWS = 8
-#: Sources at most; their counts and the period's slots go to every task.
-MAX_SOURCES = 1024
 #: Documents of a source that are numbered together.
 BUCKET_ROWS = 4096
+#: Sources of alike weight are summed in so many groups.
+GROUPS = 256
 
 
-def _schedule(parts: Column) -> Column:
-    """Slots of one period from array<struct(key, k)>: array<struct(key, i, slot)>, one entry for each slot."""
-    period = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc + p["k"])
-    none = F.array().cast("array<struct<key:string,i:bigint,slot:bigint>>")
-
-    def run(p: Column) -> Column:
-        def step(acc: Column, t: Column) -> Column:
-            def window(x: Column, j: Column) -> Column:
-                i, k = F.get(acc["next"], j), x["k"]
-                deadline = F.floor((i + 1) * p / k) + F.when(F.pmod((i + 1) * p, k) > 0, 1).otherwise(0)
-                ready = (i < k) & (F.floor(i * p / k) <= t)
-                return F.when(ready, F.struct(deadline.alias("d"), j.alias("j"), i.alias("i"), x["key"].alias("key")))
-
-            best = F.array_min(F.array_compact(F.transform(parts, window)))
-            return F.transform(
-                F.array(best),
-                lambda b: F.struct(
-                    F.transform(acc["next"], lambda v, j: F.when(j == b["j"], v + 1).otherwise(v)).alias("next"),
-                    F.concat(acc["out"], F.array(F.struct(b["key"].alias("key"), b["i"].alias("i"), t.alias("slot")))).alias("out"),
-                ),
-            )[0]
+def source_weights(counts: DataFrame, weights: Mapping[str, float] | None, exponent: float) -> DataFrame:
+    """(key, n, tail, q): whole parts q for each source of counts (key, n).
 
-        start = F.struct(F.transform(parts, lambda x: F.lit(0).cast("long")).alias("next"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0).cast("long"), p - 1), start, step, lambda acc: acc["out"])
-
-    return F.transform(F.array(period), run)[0]
+    Given weights hold for the sources they name; sources without a weight come in the
+    tail, after all others.  Without given weights, and in the tail, a source's weight is
+    its number of documents to the power of the exponent.
+    """
+    own = F.pow(F.col("n").cast("double"), F.lit(exponent))
+    given = F.lit(0.0)
+    for name, w in (weights or {}).items():
+        given = F.when(F.col("key") == "1" + name, F.lit(float(w))).otherwise(given)
+    tail = F.lit(False) if weights is None else ~(given > 0)
+    rows = counts.withColumn("tail", tail).withColumn("w", own if weights is None else F.when(F.col("tail"), own).otherwise(given))
+    total = rows.groupBy("tail").agg(F.sum("w").alias("total"))
+    parts = F.greatest(F.lit(1), F.round(F.col("w") / F.col("total") * PARTS).cast("long"))
+    return rows.join(F.broadcast(total), "tail").select("key", "n", "tail", parts.alias("q"))
 
 
-def period_schedule(parts: DataFrame) -> DataFrame:
-    """(key, i, slot, k, period) for parts (key string, k long): the slots of one period."""
-    one = parts.groupBy().agg(F.sort_array(F.collect_list(F.struct("key", "k"))).alias("parts")).where(F.size("parts") > 0)
-    slots = one.select(F.explode(_schedule(F.col("parts"))).alias("x"), F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + p["k"]).alias("period"))
-    return slots.select("x.key", "x.i", "x.slot", "period").join(parts, "key")
+def _up(block: Column, path: Column) -> Column:
+    """The slot of a source's block: from the leaf, each node's number becomes its parent's."""
+    return F.aggregate(path, block.cast("long"), lambda i, x: F.call_function("div", x["all"] * (i * 2 + 1) - x["left"], x["own"] * 2))
 
 
-def source_parts(counts: DataFrame, weights: Mapping[str, float] | None, exponent: float, period: int) -> DataFrame:
-    """(key, k): whole parts for each source of counts (key, n), at least one each.
+def tree_paths(sources: DataFrame) -> DataFrame:
+    """(key, n, tail, path) for (key, n, tail, q): path goes from the leaf to below the root.
 
-    Given weights hold for the sources they name, and others get none of their own but
-    the least part; without weights, a source's weight is its number of documents to the
-    power of the exponent.
+    Each step has the parts of the node and of its parent, and left is 1 in a left child.
     """
-    if weights is None:
-        raw = F.pow(F.col("n").cast("double"), F.lit(exponent))
-    else:
-        raw = F.lit(0.0)
-        for name, w in weights.items():
-            raw = F.when(F.col("key") == "1" + name, F.lit(float(w))).otherwise(raw)
-    rows = counts.withColumn("w", raw)
-    total = rows.agg(F.sum("w").alias("total"))
-    return rows.join(F.broadcast(total)).select("key", F.greatest(F.lit(1), F.round(F.col("w") / F.greatest("total", F.lit(1e-300)) * period)).cast("long").alias("k"))
+    step = F.floor(F.log2("q")).cast("int")
+    rows = sources.withColumns({"step": step, "group": F.pmod(F.xxhash64("key"), F.lit(GROUPS))})
+    # a group's place on the line from the sums of the groups, of which there are few
+    sums = rows.groupBy("tail", "step", "group").agg(F.sum("q").alias("sum"))
+    earlier = Window.partitionBy("tail").orderBy(F.desc("step"), "group").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select("tail", "step", "group", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("begin"))
+    inside = Window.partitionBy("tail", "step", "group").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("q").over(inside), F.lit(0))).join(begins, ["tail", "step", "group"])
+    # twice the middle of the source; in a span of at most q parts around it there is no other's
+    middle = (F.col("begin") + F.col("inside")) * 2 + F.col("q")
+    deep = placed.select("key", "n", "tail", "q", middle.alias("middle"), F.explode(F.sequence(F.lit(0), F.lit(LINE_BITS) - F.col("step"))).alias("level"))
+    at = deep.withColumn("node", F.expr(f"shiftright(middle, {LINE_BITS} - level)"))
+    nodes = at.groupBy("tail", "level", "node").agg(F.sum("q").alias("own"))
+    above = nodes.select("tail", (F.col("level") + 1).alias("level"), F.col("node").alias("up"), F.col("own").alias("all"))
+    steps = nodes.withColumn("up", F.expr("shiftright(node, 1)")).join(above, ["tail", "level", "up"]).where("own < all")
+    found = at.join(steps, ["tail", "level", "node"]).groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("level")).alias("depth"), "own", "all", (1 - F.pmod("node", F.lit(2))).alias("left")))).alias("path")
+    )
+    none = F.array().cast("array<struct<depth:int,own:bigint,all:bigint,left:bigint>>")
+    return sources.select("key", "n", "tail").join(found, "key", "left").withColumn("path", F.coalesce("path", none))
 
 
 def mix(
@@ -84,47 +90,48 @@ def mix(
     weights: Mapping[str, float] | None = None,
     exponent: float = 0.5,
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
     source_col: str = "source",
     id_col: str = "doc_id",
 ) -> DataFrame:
     """All rows and columns of docs with source_pos, block, slot and position (long).
 
     Sorted by position the sources interleave at their weights: after any number of slots
-    a source that still has documents has had less than one block more or less than its
-    share.  Every row has exactly one position; when a source ends its slots stay empty,
-    so the others go on in their own proportions.  Within a source the order is that of a
-    hash of the id, so it is the same in each run.
-
-    There may be MAX_SOURCES sources, else ValueError.  A null source is a source of its own.  Rows of one id take neighbouring places; a
-    null id is an id.  An empty table gives an empty result.  Columns of the new names
-    are replaced.
+    a source that still has documents is off its share by no more than its path in the
+    tree allows, which is a matter of the weights alone and not of the input's size.
+    Every row has exactly one position; when a source ends its slots stay empty, so the
+    others go on in their own proportions.  Within a source the order is that of a hash of
+    the id, so it is the same in each run.
+
+    With given weights, sources of no weight follow when all others have ended.  There may
+    be any number of sources.  There is no period any more, and the argument has no
+    effect.  A null source is a source of its own.  Rows of one id take neighbouring
+    places; a null id is an id.  An empty table gives an empty result.  Columns of the new
+    names are replaced.
     """
     rows = docs.drop("source_pos", "block", "slot", "position")
     key = F.when(F.col(source_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
     hashed = F.xxhash64(F.col(id_col))
     # every 4096 documents of a source are numbered by themselves, so no task gets a whole source
     counts = staged(rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")), "sources")
-    if counts.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: the schedule is one expression over all of them")
-    buckets = F.ceil(F.col("_n") / F.lit(BUCKET_ROWS))
-    spans = counts.select(F.col("key").alias("_key"), F.col("n").alias("_n"))
-    keyed = rows.withColumns({"_key": key, "_hash": hashed}).join(F.broadcast(spans), "_key").withColumn("_bucket", F.pmod("_hash", buckets))
-    ids = rows.select(key.alias("_key"), hashed.alias("_hash")).join(F.broadcast(spans), "_key").withColumn("_bucket", F.pmod("_hash", buckets))
+    # only sources of several buckets go to every task, one for 4096 documents at most
+    large = F.broadcast(counts.where(F.col("n") > BUCKET_ROWS).select(F.col("key").alias("_key"), F.col("n").alias("_n")))
+    bucket = F.pmod("_hash", F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(BUCKET_ROWS)))
+    keyed = rows.withColumns({"_key": key, "_hash": hashed}).join(large, "_key", "left").withColumn("_bucket", bucket)
+    ids = rows.select(key.alias("_key"), hashed.alias("_hash")).join(large, "_key", "left").withColumn("_bucket", bucket)
     sizes = ids.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_key", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    paths = staged(tree_paths(source_weights(counts, weights, exponent)), "paths")
+    last = paths.where("NOT tail").agg(F.coalesce(F.max(_up(F.floor((F.col("n") - 1) / F.lit(block_rows)), F.col("path"))) + 1, F.lit(0)).alias("_after"))
+    plan = paths.join(F.broadcast(last)).select(F.col("key").alias("_key"), F.col("path").alias("_path"), F.when(F.col("tail"), F.col("_after")).otherwise(0).alias("_from"))
     inside = Window.partitionBy("_key", "_bucket").orderBy("_hash", F.col(id_col))
-    numbered = keyed.join(starts, ["_key", "_bucket"]).withColumn("source_pos", F.col("_start") + F.row_number().over(inside) - 1)
-    parts = source_parts(counts, weights, exponent, period)
-    plan = period_schedule(parts).select(F.col("key").alias("_key"), F.col("i").alias("_i"), F.col("slot").alias("_slot"), "period", "k")
-    share = F.broadcast(parts.select(F.col("key").alias("_key"), F.col("k").alias("_k")))
     placed = (
-        numbered.join(share, "_key")
+        keyed.withColumn("_row", F.row_number().over(inside))
+        .join(starts.join(plan, "_key"), ["_key", "_bucket"])
+        .withColumn("source_pos", F.col("_start") + F.col("_row") - 1)
         .withColumn("block", F.floor(F.col("source_pos") / F.lit(block_rows)))
-        .withColumn("_i", F.pmod("block", "_k"))
-        .join(F.broadcast(plan), ["_key", "_i"])
-        .withColumn("slot", F.floor(F.col("block") / F.col("_k")) * F.col("period") + F.col("_slot"))
+        .withColumn("slot", F.col("_from") + _up(F.col("block"), F.col("_path")))
         .withColumn("position", F.col("slot") * block_rows + F.pmod("source_pos", F.lit(block_rows)))
     )
     return placed.select(*rows.columns, "source_pos", "block", "slot", "position")

@@ -26,6 +26,42 @@ def test_mixing_keeps_all_rows_within_a_block(spark):
             assert abs(seen[k] - (t + 1) * w) < 1, (t, k)
 
 
+def test_mixing_follows_unrounded_weights(spark):
+    # one source of target weight 0.0005 among alike ones: no rounding to a short period, at any length
+    weights = {"a": 0.4995, "b": 0.3, "c": 0.2, "d": 0.0005}
+    sizes = {k: int(w * 40000) for k, w in weights.items()}
+    ids = spark.createDataFrame([(k, n) for k, n in sizes.items()], "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS k")
+    got = mix(ids.selectExpr("source", "xxhash64(source, k) AS doc_id"), weights, block_rows=1).select("source", "slot").collect()
+    worst = deviation([(r.source, r.slot) for r in got], weights)
+    assert worst < 1.5
+    # default weights are the roots of the counts
+    sizes = {"p": 9000, "q": 2500, "r": 1600, "s": 30}
+    ids = spark.createDataFrame([(k, n) for k, n in sizes.items()], "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS k")
+    got = mix(ids.selectExpr("source", "xxhash64(source, k) AS doc_id"), block_rows=1).select("source", "slot").collect()
+    roots = {k: n**0.5 for k, n in sizes.items()}
+    worst = deviation([(r.source, r.slot) for r in got], {k: w / sum(roots.values()) for k, w in roots.items()})
+    assert worst < 1.5
+
+
+def deviation(blocks, weights):
+    """The largest distance from the target over all prefixes until the first source ends."""
+    at = {slot: source for source, slot in blocks}
+    assert len(at) == len(blocks)
+    end = min(max(s for k, s in blocks if k == key) for key in weights)
+    seen, worst = Counter(), 0
+    for t in range(end):
+        seen[at[t]] += 1
+        worst = max(worst, *(abs(seen[k] - (t + 1) * w) for k, w in weights.items()))
+    return worst
+
+
+def test_mixing_puts_sources_without_weight_last(spark):
+    rows = [(i, "abc"[i % 3]) for i in range(60)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 0.7, "b": 0.3}, block_rows=2).collect()
+    assert len({r.position for r in got}) == 60
+    assert min(r.slot for r in got if r.source == "c") > max(r.slot for r in got if r.source != "c")
+
+
 def test_mixing_edges(spark):
     assert mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
     rows = [(1, None), (2, None), (2, None), (None, "x"), (3, "x"), (4, "")]
