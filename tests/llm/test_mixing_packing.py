@@ -62,6 +62,13 @@ def test_mixing_puts_sources_without_weight_last(spark):
     assert min(r.slot for r in got if r.source == "c") > max(r.slot for r in got if r.source != "c")
 
 
+def test_mixing_takes_any_number_of_sources(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "concat('host', id % 1500) AS source")
+    got = mix(df, block_rows=1).select("doc_id", "position").collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000))
+    assert len({r.position for r in got}) == 4000
+
+
 def test_mixing_edges(spark):
     assert mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
     rows = [(1, None), (2, None), (2, None), (None, "x"), (3, "x"), (4, "")]
