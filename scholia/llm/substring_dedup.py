@@ -2,10 +2,11 @@
 
 The gear hash of the 16 bytes before a word decides whether the word begins a chunk,
 so an insertion moves only the boundaries beside it and the same passage gives the same
-chunks in any document.  Chunks are compared by a 64-bit digest of their bytes.  A chunk
-that occurred before, by (doc_id, position), is a duplicate, and a run of neighbouring
-duplicate chunks of at least `min_words` words is a repeated passage, which goes from all
-places but its first.
+chunks in any document.  From each chunk on, the fewest neighbouring chunks that together
+have `min_words` words are a sequence, compared by a 64-bit digest of its chunks' bytes.  A
+sequence that occurred before as a whole, by (doc_id, position), is a duplicate; chunks
+that merely occurred somewhere are none.  Duplicate sequences that overlap or touch make a
+repeated passage, which goes from all places but its first.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.staging import staged
-from scholia.llm.textvec import mix64, slices, span_hashes, text_buffer, word_bounds
+from scholia.llm.textvec import mix64, sequence_hashes, slices, span_hashes, text_buffer, word_bounds
 
 #: One word start in so many begins a chunk.
 MEAN_WORDS = 4
 #: A chunk without a boundary is cut after so many words.
 MAX_WORDS = 64
-#: Words of neighbouring duplicate chunks that make a repeated passage.  The chunks that
+#: Words of the neighbouring chunks that are compared together.  The chunks that
 #: hold the two ends of a passage differ from place to place, so that a passage of 50
 #: words shows as a run of some 40.
 MIN_WORDS = 25
@@ -65,10 +66,20 @@ def chunk_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start[at], end[at + length - 1], doc[at], length
 
 
-def _chunks(full: bool):
-    """(doc_id, text) to the chunks (digest, doc_id, pos), in full with begin, end and words.
+def sequences(doc: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunk of the shortest sequence of at least min_words words from each chunk; none at a text's end."""
+    total = np.cumsum(words)
+    last = np.searchsorted(total, total - words + min_words, "left")
+    at = np.flatnonzero(last < len(doc))
+    at = at[doc[last[at]] == doc[at]]
+    return at, last[at]
 
-    begin and end count code points; pos counts chunks.
+
+def _chunks(full: bool, min_words: int):
+    """(doc_id, text) to the sequences (digest, doc_id, pos), in full with last, begin, end, words_before and words_to.
+
+    begin and end count code points; pos and last count chunks; words_before and words_to
+    are the text's words up to the sequence and to its end.
     """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,17 +90,24 @@ def _chunks(full: bool):
                 begin, end, doc, words = chunk_bounds(buf, off)
                 if not len(begin):
                     continue
-                digest = span_hashes(buf, begin, end)
+                at, last = sequences(doc, words, min_words)
+                if not len(at):
+                    continue
+                digest = sequence_hashes(span_hashes(buf, begin, end), at, last)
                 first = np.searchsorted(doc, doc, "left")
-                cols = [pa.array(digest.view(np.int64)), pa.array(ids[i:j][doc]), pa.array((np.arange(len(doc)) - first).astype(np.int32))]
+                pos = (np.arange(len(doc)) - first).astype(np.int32)
+                cols = [pa.array(digest.view(np.int64)), pa.array(ids[i:j][doc[at]]), pa.array(pos[at])]
                 names = ["digest", "doc_id", "pos"]
                 if full:
                     points = np.zeros(len(buf) + 1, np.int64)
                     np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
-                    base = points[off[doc]]
-                    cols += [pa.array((points[begin] - base).astype(np.int32)), pa.array((points[end] - base).astype(np.int32)), pa.array(words.astype(np.int32))]
-                    names += ["begin", "end", "words"]
-                for a in range(0, len(doc), 1 << 16):
+                    base = points[off[doc]][at]
+                    total = np.cumsum(words)
+                    before = total - words
+                    own = before[first][at]
+                    cols += [pa.array(pos[last])] + [pa.array(x.astype(np.int32)) for x in (points[begin[at]] - base, points[end[last]] - base, before[at] - own, total[last] - own)]
+                    names += ["last", "begin", "end", "words_before", "words_to"]
+                for a in range(0, len(at), 1 << 16):
                     yield pa.RecordBatch.from_arrays([c.slice(a, 1 << 16) for c in cols], names=names)
 
     return task
@@ -99,13 +117,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     """The repeated passages: doc_id, begin, end, n_words, n_chunks, first_doc_id.
 
     begin and end are code points of the text, end exclusive; first_doc_id is the smallest
-    id that holds a chunk of the passage first.  A passage also counts if it repeats
-    within one document.  Null, empty and wordless texts have no chunks, and a row
+    id that holds a sequence of the passage first.  A passage also counts if it repeats
+    within one document.  Texts of fewer than min_words words have no sequences, and a row
     without an id takes no part.  Ids should be unique: repeated rows of one id and text
     count as one place, and of one id with other texts as one text's places.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    places = rows.mapInArrow(_chunks(False), "digest long, doc_id long, pos int")
+    places = rows.mapInArrow(_chunks(False, min_words), "digest long, doc_id long, pos int")
     repeated = staged(
         places.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
@@ -114,24 +132,24 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         "digests",
     )
     again = (
-        rows.mapInArrow(_chunks(True), "digest long, doc_id long, pos int, begin int, end int, words int")
+        rows.mapInArrow(_chunks(True, min_words), "digest long, doc_id long, pos int, last int, begin int, end int, words_before int, words_to int")
         .join(repeated, "digest")
         .where("doc_id <> first_doc_id OR pos <> first_pos")
-        .select("doc_id", "pos", "begin", "end", "words", "first_doc_id")
+        .select("doc_id", "pos", "last", "begin", "end", "words_before", "words_to", "first_doc_id")
     )
-    # neighbouring positions share pos minus their number in the document
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
+    so_far = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        again.withColumn("run", F.col("pos") - F.dense_rank().over(by_doc))
+        again.withColumn("apart", F.when(F.col("pos") <= so_far + 1, 0).otherwise(1))
+        .withColumn("run", F.sum("apart").over(by_doc))
         .groupBy("doc_id", "run")
         .agg(
             F.min("begin").cast("long").alias("begin"),
             F.max("end").cast("long").alias("end"),
-            F.sum("words").alias("n_words"),
-            F.count(F.lit(1)).alias("n_chunks"),
+            (F.max("words_to") - F.min("words_before")).cast("long").alias("n_words"),
+            (F.max("last") - F.min("pos") + 1).cast("long").alias("n_chunks"),
             F.min("first_doc_id").alias("first_doc_id"),
         )
-        .where(F.col("n_words") >= min_words)
         .drop("run")
     )
 

@@ -115,6 +115,22 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+def sequence_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[first..last] of each pair; pairs are in order of both and may overlap."""
+    out = np.empty(len(first), dtype=_U)
+    i = 0
+    while i < len(first):
+        a = int(first[i])
+        j = max(i + 1, int(np.searchsorted(last, a + SLICE_BYTES, "left")))
+        b = int(last[j - 1]) + 1
+        sums = np.zeros(b - a + 1, dtype=_U)
+        np.cumsum(values[a:b] * _power_table(b - a, False), out=sums[1:])
+        s, e = first[i:j] - a, last[i:j] + 1 - a
+        out[i:j] = mix64((sums[e] - sums[s]) * _power_table(b - a + 1, True)[s] + (e - s).astype(_U))
+        i = j
+    return out
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     """The bytes with A-Z lower-cased."""
     out = buf.copy()

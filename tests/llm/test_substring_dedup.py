@@ -64,6 +64,25 @@ def test_repeats_go_from_all_places_but_the_first(spark):
         assert text[r.doc_id][r.begin : r.end] in text[r.first_doc_id] or r.doc_id == 53
 
 
+def test_chunks_that_never_occurred_together_are_no_passage(spark):
+    # each chunk of the last text came before, but each in another document
+    text = " ".join(words(80, 5))
+    alone = [c.decode() for c in plain_chunks(text)]
+    cut = [0]
+    for c in alone:
+        cut.append(text.index(c, cut[-1]) + len(c))
+    rows = [(i, " ".join(words(30, 700 + i)) + text[max(0, cut[i] - 20) : cut[i + 1]] + text[cut[i + 1] :][:20] + " " + " ".join(words(30, 900 + i))) for i in range(len(alone))]
+    rows.append((1000, text))
+    window = lambda t: {" ".join(t.split()[i : i + S.MIN_WORDS]) for i in range(len(t.split()) - S.MIN_WORDS + 1)}
+    before = set().union(*(window(t) for i, t in rows if i < 1000))
+    assert not window(text) & before
+    assert S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    # a passage is found in the same place as a plain search of word windows finds it
+    rows = [(1, text), (2, " ".join(words(40, 6)) + " " + text + " " + " ".join(words(40, 7)))]
+    (r,) = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert window(rows[1][1][r.begin : r.end]) <= window(text) and r.n_words == len(rows[1][1][r.begin : r.end].split()) >= 60
+
+
 def test_insertions_shift_nothing():
     ws = words(400, 3)
     a = set(plain_chunks(" ".join(ws)))
