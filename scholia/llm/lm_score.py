@@ -38,8 +38,6 @@ OWN_SLOTS = 768
 HEAD = 1 << 18
 #: Rows of the hashed tables of pairs of slots, and of class-dependent features.
 PAIR_ROWS, MEMBER_ROWS = 1 << 14, 1 << 15
-#: One token in so many of every training text makes a gradient step; counts take all.
-STRIDE = 4
 ROUNDS = 2
 BATCH = 1 << 14
 RATE = 0.3
@@ -226,6 +224,26 @@ def _lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(h[order], c[order], own[order], mass, int(total), int(types))
 
 
+def walk(trainer: Trainer, lex: Lexicon, batches: Iterable[pa.RecordBatch]) -> None:
+    """Gradient steps on every token of the texts, BATCH tokens each."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for i, j in slices(batch.column(0)):
+            h, t, n = tokens(batch.column(0).slice(i, j - i))
+            slot, _, _ = lex.look_up(h, t)
+            held.append((slot, histories(slot, n)))
+            size += len(slot)
+            if size >= BATCH:
+                s, b = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held], 1)
+                for k in range(0, size - BATCH + 1, BATCH):
+                    trainer.step(s[k : k + BATCH], b[:, k : k + BATCH])
+                rest = size - size % BATCH
+                held, size = [(s[rest:], b[:, rest:])], size % BATCH
+    if size:
+        trainer.step(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held], 1))
+
+
 def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Model and base scores of every row, learned from the rows that aren't held out.
 
@@ -253,25 +271,7 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     def train_on(weights: Weights):
         def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(weights)
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            size = 0
-            for batch in batches:
-                for i, j in slices(batch.column(0)):
-                    h, t, n = tokens(batch.column(0).slice(i, j - i))
-                    slot, _, _ = lex.look_up(h, t)
-                    back = histories(slot, n)
-                    # each slice begins elsewhere, so that no place in a text is favoured
-                    use = slice(int(h[0] % _U(STRIDE)), None, STRIDE)
-                    held.append((slot[use], back[:, use]))
-                    size += len(held[-1][0])
-                    if size >= BATCH:
-                        s, b = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held], 1)
-                        for k in range(0, size - BATCH + 1, BATCH):
-                            trainer.step(s[k : k + BATCH], b[:, k : k + BATCH])
-                        rest = size - size % BATCH
-                        held, size = [(s[rest:], b[:, rest:])], size % BATCH
-            if size:
-                trainer.step(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held], 1))
+            walk(trainer, lex, batches)
             yield from trainer.changes()
 
         return task

@@ -69,3 +69,25 @@ def test_no_training_rows_and_empty(spark):
     r = lm_scores(df, F.lit(True)).first()
     assert (r.train_tokens, r.n_known, r.n_tokens) == (0, 0, 3) and r.base_score == pytest.approx(0)
     assert lm_scores(df.limit(0)).count() == 0
+
+
+def test_every_token_makes_a_step():
+    import numpy as np
+    import pyarrow as pa
+
+    from scholia.llm import lm_score as L
+
+    texts = [" ".join(words(2000 + i, i)) for i in range(20)] + ["", "one"]
+    lex = L.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(L.SLOTS), 0, 0)
+    seen = []
+
+    class Steps:
+        def step(self, slot, back):
+            assert back.shape == (3, len(slot))
+            seen.append(slot)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    L.walk(Steps(), lex, [batch, batch])
+    h, t, n = L.tokens(batch.column(0))
+    slot = lex.look_up(h, t)[0]
+    assert np.array_equal(np.concatenate(seen), np.concatenate([slot, slot])) and max(map(len, seen)) <= L.BATCH
