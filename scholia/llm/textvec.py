@@ -115,6 +115,12 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+def string_hashes(texts: list[str]) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    buf, off = text_buffer(pa.array(texts, pa.string()))
+    return span_hashes(buf, off[:-1], off[1:])
+
+
 def sequence_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A 64-bit hash of values[first..last] of each pair; pairs are in order of both and may overlap."""
     out = np.empty(len(first), dtype=_U)

@@ -9,6 +9,7 @@ merged, once for each that a worker meets anew.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -17,30 +18,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.textvec import slices, span_hashes, text_buffer
+from scholia.llm.textvec import slices, span_hashes, string_hashes, text_buffer
 
-#: Code points below this are classed here; a text with others is left to the library.
-KNOWN_POINTS = 0x3000
+#: Bytes of text counted at once; the working arrays take about a hundred times as much.
+SLICE_BYTES = 1 << 17
 #: Pre-tokens that a worker remembers, as a power of two.
 CACHE_BITS = 20
 
-OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
+OTHER, LETTER, NUMBER, SPACE = range(4)
 
-#: Code points with the Unicode property White_Space.
-_WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
+def point_classes() -> tuple[np.ndarray, np.ndarray]:
+    """Where the classes of code points change, and the class from there on, by the library's own Unicode tables."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
 
-def point_classes() -> np.ndarray:
-    """The class of each code point below KNOWN_POINTS; unassigned ones are unknown."""
-    out = np.zeros(KNOWN_POINTS + 1, np.uint8)
-    for c in range(KNOWN_POINTS):
-        kind = unicodedata.category(chr(c))
-        out[c] = LETTER if kind[0] == "L" else NUMBER if kind[0] == "N" else UNKNOWN if kind == "Cn" else OTHER
-    for c in _WHITE_SPACE:
-        if c < KNOWN_POINTS:
-            out[c] = SPACE
-    out[KNOWN_POINTS] = UNKNOWN
-    return out
+    # unassigned, private and surrogate points are neither letters, numbers nor spaces
+    points = np.array([c for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")])
+    text = "".join(map(chr, points.tolist()))
+    kind = np.zeros(0x110000, np.uint8)
+    for value, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            kind[points[a:b]] = value
+    at = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
+    return at, kind[at]
 
 
 def pretoken_starts(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -81,7 +82,7 @@ def pretoken_starts(points: np.ndarray, kind: np.ndarray, first: np.ndarray) ->
 
 
 def load_tokenizer(path: str):
-    """The tokenizer of a byte-level BPE file without normalisation; others raise ValueError."""
+    """The tokenizer of a byte-level BPE file without normalisation, and its special strings; others raise ValueError."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
@@ -89,7 +90,10 @@ def load_tokenizer(path: str):
     pre = spec.get("pre_tokenizer") or {}
     if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer") or spec["model"].get("dropout"):
         raise ValueError("the shortcut is proved for plain byte-level BPE only")
-    return Tokenizer.from_file(path), [t["content"] for t in spec.get("added_tokens", [])]
+    added = spec.get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("special strings that look at their neighbours are not supported")
+    return Tokenizer.from_file(path), [t["content"] for t in added]
 
 
 def proved_strings(path: str) -> list[str]:
@@ -101,17 +105,13 @@ def proved_strings(path: str) -> list[str]:
     return [t for t, i, e in zip(texts, ids, found) if e.ids == [i] and t not in special]
 
 
-def string_hashes(texts: list[str]) -> np.ndarray:
-    buf, off = text_buffer(pa.array(texts, pa.string()))
-    return span_hashes(buf, off[:-1], off[1:])
-
-
 class Counter:
-    """Counts tokens of whole texts; one for each worker."""
+    """Counts tokens of whole texts; one for each worker process, so that its memory of merged pre-tokens lasts."""
 
-    def __init__(self, path: str, proved: np.ndarray):
+    def __init__(self, path: str, proved: np.ndarray, classes: tuple[np.ndarray, np.ndarray]):
         self.tok, self.special = load_tokenizer(path)
-        self.classes = point_classes()
+        at, kind = classes
+        self.classes = np.repeat(kind, np.diff(np.append(at, 0x110000)))
         self.proved = proved  # sorted
         self.keys = np.zeros(1 << CACHE_BITS, np.uint64)
         self.counts = np.zeros(1 << CACHE_BITS, np.int32)
@@ -137,61 +137,118 @@ class Counter:
             self.keys[where], self.counts[where] = kinds, n
         return out
 
+    def _specials(self, data: bytes, off: np.ndarray) -> np.ndarray:
+        """The spans of the special strings in the texts, in order."""
+        found, taken = [], np.zeros(len(data), bool)
+        for mark in sorted((s.encode() for s in self.special), key=len, reverse=True):
+            i = data.find(mark)
+            while i >= 0:
+                j = i + len(mark)
+                # no span over the border of two texts, and none inside a longer one
+                if np.searchsorted(off, i, "right") == np.searchsorted(off, j - 1, "right") and not taken[i:j].any():
+                    taken[i:j] = True
+                    found.append((i, j))
+                i = data.find(mark, j)
+        return np.array(sorted(found), np.int64).reshape(-1, 2)
+
     def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; texts longer than a slice are counted part by part."""
         buf, off = text_buffer(texts)
+        out = np.zeros(len(off) - 1, np.int64)
+        for i, j in slices(texts, SLICE_BYTES):
+            if off[j] - off[i] <= SLICE_BYTES:
+                out[i:j] = self._count(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                continue
+            begin, size, most = int(off[i]), SLICE_BYTES, int(off[j])
+            while begin < most:
+                end = min(most, begin + size)
+                if end < most:
+                    end = begin + self._cut(buf[begin:end])
+                if end == begin:
+                    size *= 2  # one pre-token, or one special string, of this length
+                    continue
+                out[i] += self._count(buf[begin:end], np.array([0, end - begin]))[0]
+                begin, size = end, SLICE_BYTES
+        return out
+
+    def _cut(self, part: np.ndarray) -> int:
+        """The last place in a part of a text where a pre-token begins whatever comes before and after, or 0.
+
+        A run of letters or of numbers ends before any other character, any run ends before
+        white space, and a special string ends.  None may lie across the place.
+        """
+        lead = np.flatnonzero((part & 0xC0) != 0x80)[:-1]  # the part's end may cut the last character
+        if len(lead) < 2:
+            return 0
+        data = part.tobytes()
+        kind = self.classes[np.frombuffer(data[: lead[-1]].decode().encode("utf-32-le"), np.uint32)]
+        safe = np.zeros(len(part) + 1, bool)
+        safe[lead[1:-1]] = (kind[:-1] != kind[1:]) & ((kind[:-1] == LETTER) | (kind[:-1] == NUMBER) | (kind[1:] == SPACE))
+        for i, j in self._specials(data, np.array([0, len(data)])).tolist():
+            safe[i + 1 : j] = False
+            safe[j] = True
+        # a special string that the part's end cuts isn't seen
+        longest = max((len(s.encode()) for s in self.special), default=0)
+        at = np.flatnonzero(safe[: max(0, len(data) - longest + 1)])
+        return int(at[-1]) if len(at) else 0
+
+    def _count(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         out = np.zeros(len(off) - 1, np.int64)
         if not len(buf):
             return out
+        data = buf.tobytes()
+        special = self._specials(data, off)
+        sections = np.concatenate([off[:-1], special.ravel()])
         lead = np.flatnonzero((buf & 0xC0) != 0x80)
-        points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
-        kind = self.classes[np.minimum(points, KNOWN_POINTS)]
-        some = off[:-1] < off[1:]
+        points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
         first = np.zeros(len(points), bool)
-        at = np.searchsorted(lead, off[:-1][some])
-        first[at] = True
-        begin = lead[np.flatnonzero(pretoken_starts(points, kind, first))]
+        first[np.searchsorted(lead, sections[sections < len(buf)])] = True
+        begin = lead[np.flatnonzero(pretoken_starts(points, self.classes[points], first))]
         end = np.append(begin[1:], len(buf))
+        out += np.bincount(np.searchsorted(off, special[:, 0], "right") - 1, minlength=len(out))
+        if len(special):
+            at = np.searchsorted(special[:, 0], begin, "right") - 1
+            use = (at < 0) | (begin >= special[at, 1])
+            begin, end = begin[use], end[use]
         doc = np.searchsorted(off, begin, "right") - 1
-        alone = np.zeros(len(out), bool)
-        alone[some] = np.logical_or.reduceat(kind == UNKNOWN, at)
-        for s in self.special:
-            data, i = buf.tobytes(), -1
-            mark = s.encode()
-            while (i := data.find(mark, i + 1)) >= 0:
-                alone[int(np.searchsorted(off, i, "right")) - 1] = True
-        use = ~alone[doc]
-        out += np.bincount(doc[use], weights=self._pieces(buf, begin[use], end[use]), minlength=len(out)).astype(np.int64)
-        odd = np.flatnonzero(alone)
-        if len(odd):
-            whole = [buf[off[i] : off[i + 1]].tobytes().decode() for i in odd]
-            out[odd] = [len(self.tok.encode(t, add_special_tokens=False).ids) for t in whole]
-        return out
+        return out + np.bincount(doc, weights=self._pieces(buf, begin, end), minlength=len(out)).astype(np.int64)
+
+
+_counters: dict[str, Counter] = {}
+
+
+def worker_counter(path: str, proved: np.ndarray, classes: tuple[np.ndarray, np.ndarray]) -> Counter:
+    """This process's counter for a tokenizer; the library keeps to one thread, as Spark fills the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _counters:
+        _counters.clear()
+        _counters[path] = Counter(path, proved, classes)
+    return _counters[path]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens (long) and over_limit (n_tokens > limit) for every row.
 
     `path` names the tokenizer's file on every machine.  Counts are those of the library
-    without added special tokens; a special string inside a text is its special token, and
-    such texts, like those with code points that aren't classed here, are encoded whole by
-    the library.  A null or empty text has 0 bytes and 0 tokens.  Null ids and repeated
-    rows are kept.  An empty table gives an empty result; other columns are ignored.
-
-    The proved strings go to the workers as 64-bit hashes, bounded by the vocabulary.
+    without added special tokens; a special string inside a text is its special token.
+    Memory follows the slices that are counted at once, not the longest text, but for a
+    single pre-token of more than a slice.  A null or empty text has 0 bytes and 0 tokens.
+    Null ids and repeated rows are kept.  An empty table gives an empty result; other
+    columns are ignored.
+
+    The proved strings go to the workers as 64-bit hashes, bounded by the vocabulary, and
+    the classes of code points as some thousand ranges.
     """
     proved = np.unique(string_hashes(proved_strings(path)))
+    classes = point_classes()
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
         for batch in batches:
-            counter = counter or Counter(path, proved)
-            for i, j in slices(batch.column(1), 2 << 20):
-                texts = batch.column(1).slice(i, j - i)
-                _, off = text_buffer(texts)
-                n = counter.count(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
-                )
+            counter = worker_counter(path, proved, classes)
+            texts = batch.column(1)
+            _, off = text_buffer(texts)
+            n = counter.count(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(task, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -6,17 +6,19 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 
-from scholia.llm.token_counts import Counter, proved_strings, string_hashes, token_counts  # noqa: E402
+from scholia.llm import token_counts as T  # noqa: E402
+from scholia.llm.textvec import string_hashes  # noqa: E402
+from scholia.llm.token_counts import Counter, point_classes, proved_strings, token_counts  # noqa: E402
 
 
-def test_counts_equal_the_library(spark):
+def test_counts_equal_the_library(spark, monkeypatch):
     import numpy as np
 
     path = public.path("byte_bpe_50k.json")
-    c = Counter(path, np.unique(string_hashes(proved_strings(path))))
+    c = Counter(path, np.unique(string_hashes(proved_strings(path))), point_classes())
     r = random.Random(2)
-    parts = ["'s", "'t", "'re", "'ve", "'ll", "'", "''", " ", "  ", "\n", "\n\n", "\t", " \n", "a", "Sun", "re", "llama", "12", "3", ".", "!!", "é", "ß", "中", " ", "<|endoftext|>", "<|end", "½", "€", "\x85", "d", "́", "😀", "\x1c", " ", "͸"]
-    texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(5000)] + ["word " * 5000]
+    parts = ["'s", "'t", "'re", "'ve", "'ll", "'", "''", " ", "  ", "\n", "\n\n", "\t", " \n", "a", "Sun", "re", "llama", "12", "3", ".", "!!", "é", "ß", "中", "文字", "、", "\u3000", " ", "<|endoftext|>", "<|end", "½", "€", "\x85", "d", "́", "😀", "\x1c", " ", "͸"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(5000)] + ["word " * 5000, "<|endoftext|>" * 9]
     want = [len(e.ids) for e in c.tok.encode_batch(texts, add_special_tokens=False)]
     assert c.count(pa.array(texts)).tolist() == want
     rows = list(enumerate(texts[:200])) + [(None, "a b"), (5, None), (5, "")]
@@ -28,6 +30,20 @@ def test_counts_equal_the_library(spark):
     assert sorted((x.n_bytes, x.n_tokens) for x in got[200:]) == [(0, 0), (0, 0), (3, 2)]
 
 
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    import numpy as np
+
+    path = public.path("byte_bpe_50k.json")
+    c = Counter(path, np.unique(string_hashes(proved_strings(path))), point_classes())
+    r = random.Random(4)
+    parts = ["'s", "'re", "'", " ", "  ", "\n", " \n", "a", "Sun", "12", "3", ".", "é", "中", "文字", "、", "\u3000", "<|endoftext|>", "<|end", "😀", "\x85"]
+    texts = ["".join(r.choices(parts, k=r.randint(50, 300))) for _ in range(200)] + ["x" * 500, "<|endoftext|>" * 60, "文" * 300, ""]
+    want = [len(e.ids) for e in c.tok.encode_batch(texts, add_special_tokens=False)]
+    for size in (40, 64, 200):
+        monkeypatch.setattr(T, "SLICE_BYTES", size)
+        assert c.count(pa.array(texts)).tolist() == want
+
+
 def test_other_kinds_are_refused():
     with pytest.raises(ValueError):
         proved_strings(public.path("word_bpe_49k.json"))
