@@ -2,16 +2,18 @@
 
 Tables cut the lineage, so that a lost executor costs a reread and no long
 recomputation.  The folder is the session's spark.checkpoint.dir; where it is
-unset, as in tests, one below /tmp/checkpoints is set.
+unset and the session is local, as in tests, one below /tmp/checkpoints is set.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where the setting is missing.
+#: Where the setting is missing, in a local session.
 LOCAL_DIR = "file:///tmp/checkpoints/scholia"
 
 _written: list[str] = []
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, from the session's setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = LOCAL_DIR
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,17 +51,34 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this session; only when no unread result needs them."""
-    while _written:
-        delete_path(spark, _written.pop())
+def forget_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    if path in _written:
+        _written.remove(path)
+    delete_path(spark, path)
 
 
 def forget(df: DataFrame) -> None:
     """Delete one intermediate table that staged() returned and nothing reads any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         for path in list(_written):
             if path.split("/scholia/")[-1] in file:
-                _written.remove(path)
-                delete_path(spark, path)
+                forget_path(df.sparkSession, path)
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the intermediate tables that were written within; nothing may read them any more."""
+    before = set(_written)
+    yield
+    for path in [x for x in _written if x not in before]:
+        forget_path(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of make() as a written table; the tables that make() wrote on the way are deleted."""
+    path = new_path(spark, name)
+    with stage_tables(spark):
+        rows = make()
+        rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

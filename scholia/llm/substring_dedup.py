@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.llm.staging import staged
+from scholia.llm.staging import settled, staged
 from scholia.llm.textvec import mix64, sequence_hashes, slices, span_hashes, text_buffer, word_bounds
 
 #: One word start in so many begins a chunk.
@@ -76,7 +76,7 @@ def sequences(doc: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.nd
 
 
 def _chunks(full: bool, min_words: int):
-    """(doc_id, text) to the sequences (digest, doc_id, pos), in full with last, begin, end, words_before and words_to.
+    """(doc_id, text, text_hash) to the sequences (digest, doc_id, pos), in full with text_hash, last, begin, end, words_before and words_to.
 
     begin and end count code points; pos and last count chunks; words_before and words_to
     are the text's words up to the sequence and to its end.
@@ -105,25 +105,18 @@ def _chunks(full: bool, min_words: int):
                     total = np.cumsum(words)
                     before = total - words
                     own = before[first][at]
-                    cols += [pa.array(pos[last])] + [pa.array(x.astype(np.int32)) for x in (points[begin[at]] - base, points[end[last]] - base, before[at] - own, total[last] - own)]
-                    names += ["last", "begin", "end", "words_before", "words_to"]
+                    cols += [batch.column(2).slice(i, j - i).take(pa.array(doc[at])), pa.array(pos[last])] + [pa.array(x.astype(np.int32)) for x in (points[begin[at]] - base, points[end[last]] - base, before[at] - own, total[last] - own)]
+                    names += ["text_hash", "last", "begin", "end", "words_before", "words_to"]
                 for a in range(0, len(at), 1 << 16):
                     yield pa.RecordBatch.from_arrays([c.slice(a, 1 << 16) for c in cols], names=names)
 
     return task
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The repeated passages: doc_id, begin, end, n_words, n_chunks, first_doc_id.
-
-    begin and end are code points of the text, end exclusive; first_doc_id is the smallest
-    id that holds a sequence of the passage first.  A passage also counts if it repeats
-    within one document.  Texts of fewer than min_words words have no sequences, and a row
-    without an id takes no part.  Ids should be unique: repeated rows of one id and text
-    count as one place, and of one id with other texts as one text's places.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    places = rows.mapInArrow(_chunks(False, min_words), "digest long, doc_id long, pos int")
+def _passages(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """repeated_passages with the hash of the text that each is in."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.hash(text_col).alias("text_hash"))
+    places = rows.select("doc_id", "text").mapInArrow(_chunks(False, min_words), "digest long, doc_id long, pos int")
     repeated = staged(
         places.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
@@ -132,17 +125,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         "digests",
     )
     again = (
-        rows.mapInArrow(_chunks(True, min_words), "digest long, doc_id long, pos int, last int, begin int, end int, words_before int, words_to int")
-        .join(repeated, "digest")
+        rows.mapInArrow(_chunks(True, min_words), "digest long, doc_id long, pos int, text_hash int, last int, begin int, end int, words_before int, words_to int")
+        .join(repeated.hint("merge"), "digest")
         .where("doc_id <> first_doc_id OR pos <> first_pos")
-        .select("doc_id", "pos", "last", "begin", "end", "words_before", "words_to", "first_doc_id")
+        .select("doc_id", "text_hash", "pos", "last", "begin", "end", "words_before", "words_to", "first_doc_id")
     )
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
+    by_doc = Window.partitionBy("doc_id", "text_hash").orderBy("pos")
     so_far = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     return (
         again.withColumn("apart", F.when(F.col("pos") <= so_far + 1, 0).otherwise(1))
         .withColumn("run", F.sum("apart").over(by_doc))
-        .groupBy("doc_id", "run")
+        .groupBy("doc_id", "text_hash", "run")
         .agg(
             F.min("begin").cast("long").alias("begin"),
             F.max("end").cast("long").alias("end"),
@@ -154,6 +147,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     )
 
 
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The repeated passages: doc_id, begin, end, n_words, n_chunks, first_doc_id.
+
+    begin and end are code points of the text, end exclusive; they are ends of chunks, so
+    up to a chunk at each end of what repeats stays outside.  first_doc_id is the smallest
+    id that holds a sequence of the passage first.  A passage also counts if it repeats
+    within one document.  Texts of fewer than min_words words have no sequences, and a row
+    without an id takes no part.  Repeated rows of one id and text count as one place; of
+    one id with other texts each has its own passages, and what lies at the same place of
+    both is no repeat.
+    """
+    return _passages(docs, min_words, id_col, text_col).drop("text_hash")
+
+
 def without_spans(text: Column, spans: Column) -> Column:
     """The text without the spans (begin, end), which are sorted and apart; the parts are joined as they are."""
     parts = F.transform(
@@ -168,11 +175,21 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     """All rows and columns of docs, with repeated passages cut from the text, and n_cut (long), the code points cut.
 
     Of each passage the first place stays, by (id, position).  A text may become empty;
-    null texts stay null with n_cut 0, as do all texts of rows without an id.
+    null texts stay null with n_cut 0, as do all texts of rows without an id.  A column of
+    docs that is called n_cut is replaced.
     """
-    spans = repeated_passages(docs, min_words, id_col, text_col)
-    spans = staged(spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans")), "spans")
-    out = docs.join(spans, F.col(id_col).cast("long") == F.col("_id"), "left")
-    n_cut = F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"])
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(without_spans(F.col(text_col), F.col("_spans")))
-    return out.withColumns({text_col: text, "n_cut": F.coalesce(n_cut, F.lit(0))}).drop("_id", "_spans")
+
+    def spans_of_docs() -> DataFrame:
+        spans = _passages(docs, min_words, id_col, text_col).groupBy("doc_id", "text_hash")
+        return spans.agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+
+    spans = settled(docs.sparkSession, spans_of_docs, "spans")
+    names = [c for c in docs.columns if c != "n_cut"]
+    rows = docs.select(F.struct(*names).alias("row"))
+    ident, text = F.col("row")[id_col], F.col("row")[text_col]
+    # merged at every size: the spans grow with the documents, and a broadcast would fit small inputs alone
+    found = rows.where(ident.isNotNull()).join(spans.hint("merge"), (ident.cast("long") == F.col("doc_id")) & (F.hash(text) == F.col("text_hash")), "left").select("row", "spans")
+    found = found.unionByName(rows.where(ident.isNull()).withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
+    n_cut = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"])
+    left = F.when(F.col("spans").isNull(), text).otherwise(without_spans(text, F.col("spans")))
+    return found.select(*[left.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], F.coalesce(n_cut, F.lit(0)).alias("n_cut"))
