@@ -9,7 +9,7 @@ from scholia.llm.mixing import mix
 from scholia.llm.near_join import near_join
 from scholia.llm.packing import pack
 from scholia.llm.quality_rules import quality_rules
-from scholia.llm.staging import new_path, staged
+from scholia.llm.staging import forget_path, new_path, settled, stage_tables, staged
 from scholia.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,12 +27,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id are in no class, and stay.
     """
-    classes = staged(near_join(docs).select("doc_id", "class_id").where("doc_id IS NOT NULL"), "classes")
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    twice = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    once = rest.join(twice, "doc_id", "left_anti")
-    return once.unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+    found = settled(spark, lambda: near_join(docs).select("doc_id", "class_id").where("doc_id IS NOT NULL"), "classes")
+    of_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min((F.col("doc_id") == F.col("class_id")).cast("int")).alias("stays"))
+    stay = staged(of_id.where("stays = 1").select("doc_id", "n"), "stay")
+    rows = docs.select(*COLUMNS)
+    # merged at every size: ids grow with the documents, and a broadcast would fit small inputs alone
+    once = rows.join(stay.where("n = 1").select("doc_id").hint("merge"), "doc_id").unionByName(rows.where("doc_id IS NULL"))
+    if stay.where("n > 1").isEmpty():
+        return once.select(*COLUMNS)
+    again = rows.join(stay.where("n > 1").select("doc_id").hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +65,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = new_path(spark, name.replace(" ", "-"))
-        out.write.parquet(path)
+        with stage_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            forget_path(spark, last)
+        last = path
     return docs
