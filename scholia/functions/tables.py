@@ -1,4 +1,4 @@
-"""How alike two HTML tables are: tree edit distance over rows and cells."""
+"""Tables of a page as rows of cells, and the tree edit distance of two of them: the small steps of operators.evaluate.table_scores."""
 
 from __future__ import annotations
 
@@ -6,10 +6,26 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_CELL = T.StructType([T.StructField("text", T.StringType()), T.StructField("colspan", T.IntegerType()), T.StructField("rowspan", T.IntegerType())])
+TABLES = T.ArrayType(T.ArrayType(T.ArrayType(_CELL)))
 
+#: Tags that go from a table while their content stays, and attributes that go.
+DROPPED_TAGS = ["sub", "sup", "span", "div", "p", "li", "ul", "ol", "i", "b", "em", "strong", "html", "body", "tbody"]
+DROPPED_ATTRIBUTES = ["style", "height", "width", "align", "class", "border"]
+
+
+def canonical_table(html: Column) -> Column:
+    """Table markup without column groups, formatting tags and layout attributes, and with data cells for header cells."""
+    s = F.regexp_replace(html, r"(?is)<colgroup.*?</colgroup>", "")
+    tags = "|".join(DROPPED_TAGS)
+    s = F.regexp_replace(s, rf"(?i)<(?:{tags})(?: [^>]*)?>|</(?:{tags})>", "")
+    s = F.regexp_replace(s, rf'(?i) ?(?:{"|".join(DROPPED_ATTRIBUTES)})="[^"]*"', "")
+    return F.regexp_replace(F.regexp_replace(s, r"</(?:th|TH)>", "</td>"), r"<(?:th|TH)([ >])", "<td$1")
 
 class _Tables(HTMLParser):
     """Tables as lists of rows of (text, colspan, rowspan)."""
@@ -44,17 +60,17 @@ class _Tables(HTMLParser):
 def parse_tables(html: str) -> list[list[list[tuple]]]:
     reader = _Tables()
     reader.feed(html)
-    return [[[("".join(c[0].split()), c[1], c[2]) for c in row] for row in t] for t in reader.tables]
+    return [[[tuple(c) for c in row] for row in t] for t in reader.tables]
 
 
 def _letters(a: str, b: str) -> float:
-    """Edit distance over the longer length."""
+    """Edit distance in characters over the longer length in bytes."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] / max(len(a), len(b), 1)
+    return row[-1] / max(len(a.encode()), len(b.encode()), 1)
 
 
 def _nodes(table: list[list[tuple]]) -> tuple[list[tuple], list[int]]:
@@ -108,22 +124,15 @@ def table_score(a: list[list[tuple]], b: list[list[tuple]]) -> float:
     return max(0.0, 1 - tree_distance(a, b) / size) * 100
 
 
-def tables_score(truth: str, found: str) -> float | None:
-    """The mean score of the truth's tables, paired best first; None without tables in the truth."""
-    a, b = parse_tables(truth), parse_tables(found)
-    if not a:
-        return None
-    pairs = sorted(((table_score(x, y), -i, -j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
-    used_a, used_b, total = set(), set(), 0.0
-    for s, i, j in pairs:
-        if i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-            total += s
-    return total / max(len(a), len(b))
-
-
-@F.pandas_udf(T.DoubleType())
-def teds(truth: pd.Series, found: pd.Series) -> pd.Series:
-    """Arrow batches of table pages; null where the truth has no table."""
-    return pd.Series([tables_score(a or "", b or "") for a, b in zip(truth, found)], dtype="float64")
+@F.pandas_udf(TABLES)
+def tables_of(html: pd.Series) -> pd.Series:
+    """The tables of each page; none for a null."""
+    names = ("text", "colspan", "rowspan")
+    return pd.Series([[[[dict(zip(names, cell)) for cell in row] for row in table] for table in parse_tables(x or "")] for x in html], dtype=object)
+
+
+@F.arrow_udf(T.DoubleType())
+def pair_score(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The score of each pair of tables; null where one is missing."""
+    plain = lambda t: [[(c["text"], c["colspan"], c["rowspan"]) for c in row] for row in t]
+    return pa.array([None if x is None or y is None else table_score(plain(x), plain(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())

@@ -176,3 +176,44 @@ def bytes_text(n: ColumnOrName) -> Column:
         .when(n >= 1e3, F.format_string("%.1f KB", n / 1e3))
         .otherwise(F.format_string("%.0f B", n))
     )
+
+
+def age_text(seconds: ColumnOrName) -> Column:
+    """A time ago in its largest whole unit."""
+    s = _c(seconds).cast("long")
+    unit = lambda n, name: F.concat(F.call_function("div", s, F.lit(n)).cast("string"), F.lit(name + " ago"))
+    return F.when(s < 60, unit(1, "s")).when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
+def author_names(authors: ColumnOrName) -> Column:
+    """The names of authors, joined by commas."""
+    return F.array_join(F.transform(_c(authors), lambda a: a["name"]), ", ")
+
+
+def table_html(tokens: ColumnOrName, cells: ColumnOrName) -> Column:
+    """A table of structure tokens, with the texts of its cells in order; a cell without a text is empty.
+
+    A cell begins with the token of an empty cell, or with the end of a tag that was left
+    open for its spans.
+    """
+    t, texts = _c(tokens), _c(cells)
+    fill = lambda n: F.coalesce(F.get(texts, n), F.lit(""))
+    whole, opened = F.lit("<td></td>"), F.lit(">")
+    step = lambda acc, x: F.struct(
+        F.concat(acc["html"], F.when(x == whole, F.concat(F.lit("<td>"), fill(acc["n"]), F.lit("</td>"))).when(x == opened, F.concat(F.lit(">"), fill(acc["n"]))).otherwise(x)).alias("html"),
+        (acc["n"] + ((x == whole) | (x == opened)).cast("int")).alias("n"),
+    )
+    start = F.struct(F.lit("<table>").alias("html"), F.lit(0).alias("n"))
+    return F.aggregate(t, start, step, lambda acc: F.concat(acc["html"], F.lit("</table>")))
+
+
+def downscaled(width: ColumnOrName, height: ColumnOrName, most: int) -> Column:
+    """struct(width, height) of an image whose longer side has at most so many pixels."""
+    w, h = _c(width), _c(height)
+    scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(w, h))
+    return F.struct(F.floor(w * scale).cast("int").alias("width"), F.floor(h * scale).cast("int").alias("height"))
+
+
+def pixels(points: ColumnOrName, dpi: int) -> Column:
+    """Points of a 72nd of an inch as pixels."""
+    return _c(points) * F.lit(dpi / 72.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import percent_decoded, sharded_key, trimmed
@@ -154,6 +154,36 @@ def catalog_backfill(catalog: DataFrame, markdown: DataFrame) -> DataFrame:
     return markdown_of(markdown).join(catalog.select("stem"), "stem", "left_anti").select("stem", "key", sharded_key("stem", "md", "markdown").alias("sharded_key"))
 
 
+def stems(objects: DataFrame) -> DataFrame:
+    """The stems of a catalog that is kept as one YAML file a row."""
+    return file_parts(objects).where("ext = 'yaml'").select("stem")
+
+
+def delete(catalog: DataFrame, gone: DataFrame) -> DataFrame:
+    """The catalog without the rows of some stems."""
+    return catalog.join(gone.select("stem").distinct(), "stem", "left_anti")
+
+
+def repair_samples(plan: DataFrame, most: int = 10) -> DataFrame:
+    """The first rows of each direction of a repair plan by stem, with their number n from 1."""
+    by = Window.partitionBy("direction").orderBy("stem")
+    return plan.withColumn("n", F.row_number().over(by)).where(F.col("n") <= most)
+
+
+def reconcile_actions(classes: DataFrame, fix_stamps: bool = True, reembed: bool = True) -> DataFrame:
+    """(stem, action) of reconcile's rows: fix_stamp for what is indexed without a stamp, reembed for what isn't indexed."""
+    action = F.when(F.lit(fix_stamps) & (F.col("class") == "stamp_missing"), "fix_stamp").when(F.lit(reembed) & (F.col("class") == "embed_missing"), "reembed")
+    return classes.select("stem", action.alias("action")).where("action IS NOT NULL")
+
+
+def fixed_stamps(catalog: DataFrame, actions: DataFrame, chunks: DataFrame, at) -> DataFrame:
+    """The catalog with an embedding stamp for each fix_stamp action, by the chunks (doc_id, n_chunks) that the index has."""
+    due = actions.where("action = 'fix_stamp'").select("stem").join(chunks.select(F.col("doc_id").alias("stem"), F.col("n_chunks").alias("_n")), "stem")
+    stamp = F.struct(at.alias("embedded_at"), F.lit("reconcile").alias("server"), F.col("_n").cast("long").alias("chunks_indexed"), F.lit(None).cast("string").alias("compute_device"))
+    rows = catalog.join(due, "stem", "left")
+    return rows.withColumn("embedding", F.when(F.col("_n") > 0, stamp).otherwise(F.col("embedding"))).select(*catalog.columns)
+
+
 def upsert(catalog: DataFrame, rows: DataFrame) -> DataFrame:
     """The catalog with rows replaced or added by stem."""
     return catalog.join(rows.select("stem"), "stem", "left_anti").unionByName(rows)

@@ -46,6 +46,7 @@ def chunk_spans(text: str, most: int = MAX_BYTES, overlap: int = OVERLAP_BYTES)
     """
     out, base = [], 0
     whole = text.encode()
+    seen = lines = 0  # bytes from the start, and the line breaks in them
     for page, part in enumerate(text.split(PAGE_SEPARATOR), 1):
         b = part.encode()
         for i, j in _windows(b, most, overlap):
@@ -54,7 +55,9 @@ def chunk_spans(text: str, most: int = MAX_BYTES, overlap: int = OVERLAP_BYTES)
                 raw = chunk.encode()
                 start = base + max(0, b.find(raw))
                 end = start + len(raw)
-                first = whole.count(b"\n", 0, start) + 1
+                # chunks come in order but for repeated text, so each byte is counted once or in a step back
+                lines += whole.count(b"\n", seen, start) if start >= seen else -whole.count(b"\n", start, seen)
+                seen, first = start, lines + 1
                 out.append((start, end, first, max(first, first + whole.count(b"\n", start, max(start, end - 1))), page, chunk))
         base += len(b) + len(PAGE_SEPARATOR)
     return out

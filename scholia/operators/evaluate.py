@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.functions.tables import canonical_table, pair_score, tables_of
 from scholia.functions.text import words
 
 #: Greek letters and their commands.
@@ -64,11 +65,17 @@ def _grams(w: Column, n: int) -> Column:
 
 
 def common_count(a: Column, b: Column) -> Column:
-    """The size of the multiset intersection of two arrays, each worked out once."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    both = F.array(F.struct(a.alias("a"), b.alias("b")))
-    shared = lambda p: F.aggregate(F.array_intersect(p["a"], p["b"]), F.lit(0), lambda acc, x: acc + F.least(count(p["a"], x), count(p["b"], x)))
-    return F.get(F.transform(both, shared), F.lit(0))
+    """The size of the multiset intersection of two arrays, in one walk over both, sorted together."""
+    marked = F.sort_array(F.concat(F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(0).alias("side"))), F.transform(b, lambda x: F.struct(x.alias("x"), F.lit(1).alias("side")))))
+
+    def step(acc: Column, item: Column) -> Column:
+        # of equal tokens those of a come first; each of b uses one of them up
+        left = F.when(acc["x"] == item["x"], acc["left"]).otherwise(F.lit(0))
+        used = (item["side"] == 1) & (left > 0)
+        return F.struct(item["x"].alias("x"), F.when(item["side"] == 0, left + 1).when(used, left - 1).otherwise(F.lit(0)).alias("left"), (acc["n"] + used.cast("int")).alias("n"))
+
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+    return F.aggregate(marked, start, step, lambda acc: acc["n"])
 
 
 def bleu4(ref: Column, hyp: Column) -> Column:
@@ -109,6 +116,32 @@ def cdm(ref: Column, hyp: Column) -> Column:
     return F.when((r == "") & (h == ""), F.lit(100.0)).when((r == "") | (h == ""), F.lit(0.0)).otherwise(F.least(f1, F.lit(100.0)))
 
 
+def table_scores(pages: DataFrame, ids: list[str], truth: str = "truth", found: str = "found") -> DataFrame:
+    """ids and teds: the mean score of the tables of each page's truth, each paired with one that was found, best pair first.
+
+    ids name a page.  A true table without a partner counts 0, a found one without a partner
+    nothing; a page without true tables scores null.  Cells are compared as normalized text.
+    """
+    cells = lambda t: F.transform(t, lambda row: F.transform(row, lambda c: F.struct(normalized_text(c["text"]).alias("text"), c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"))))
+    tables = lambda c: F.transform(tables_of(canonical_table(F.col(c))), cells)
+    rows = pages.select(*ids, tables(truth).alias("_truth"), tables(found).alias("_found")).withColumn("_n", F.size("_truth"))
+    pairs = rows.select(*ids, "_n", "_found", F.posexplode_outer("_truth").alias("_i", "_a")).select(*ids, "_n", "_i", "_a", F.posexplode_outer("_found").alias("_j", "_b"))
+    scored = pairs.select(*ids, "_n", F.struct((-pair_score("_a", "_b")).alias("s"), F.col("_i").alias("i"), F.col("_j").alias("j")).alias("p"))
+
+    def take(acc: Column, p: Column) -> Column:
+        free = ~F.array_contains(acc["i"], p["i"]) & ~F.array_contains(acc["j"], p["j"])
+        return F.struct(
+            F.when(free, F.concat(acc["i"], F.array(p["i"]))).otherwise(acc["i"]).alias("i"),
+            F.when(free, F.concat(acc["j"], F.array(p["j"]))).otherwise(acc["j"]).alias("j"),
+            F.when(free, acc["total"] - p["s"]).otherwise(acc["total"]).alias("total"),
+        )
+
+    none = F.array().cast("array<int>")
+    best = F.sort_array(F.collect_list(F.when(F.col("p.s").isNotNull(), F.col("p"))))
+    total = F.aggregate("_pairs", F.struct(none.alias("i"), none.alias("j"), F.lit(0.0).alias("total")), take, lambda acc: acc["total"])
+    return scored.groupBy(*ids, "_n").agg(best.alias("_pairs")).select(*ids, F.when(F.col("_n") > 0, total / F.col("_n")).alias("teds"))
+
+
 def composite(text: Column, table: Column, formula: Column, has_text: Column) -> Column:
     """The mean of the scores that are there; text counts only if the truth has text or nothing else is there."""
     use_text = F.when(has_text | (table.isNull() & formula.isNull()), text)
@@ -124,3 +157,35 @@ def means(pages: DataFrame) -> DataFrame:
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     out = pages.agg(*[mean(c).alias(f"mean_{c}") for c in ("ned", "bleu", "composite", "text", "table", "formula")], F.count(F.lit(1)).alias("n_pages"))
     return out.withColumn("overall", (F.col("mean_text") + F.col("mean_table") + F.col("mean_formula")) / 3)
+
+
+def scored_pages(pages: DataFrame) -> DataFrame:
+    """pages (id, text, formula, tables; found_text, found_formula, found_tables) with ned, bleu, text, table, formula and composite scores.
+
+    A page that failed, whose found_text is null, scores ned 1 and 0 for the others.  Tables
+    and formulas score only where the truth has some.
+    """
+    failed = F.col("found_text").isNull()
+    tables = table_scores(pages.select("id", F.col("tables").alias("truth"), F.col("found_tables").alias("found")), ["id"])
+    rows = pages.join(tables, "id")
+    zero = lambda score: F.when(failed, F.lit(0.0)).otherwise(score)
+    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    out = rows.select(
+        "id",
+        F.when(failed, F.lit(1.0)).otherwise(page_ned(F.col("text"), F.col("found_text"))).alias("ned"),
+        zero(bleu4(F.coalesce("text", F.lit("")), F.coalesce("found_text", F.lit("")))).alias("bleu"),
+        zero(text_score(F.col("text"), F.col("found_text"))).alias("score"),
+        F.col("teds").alias("table"),
+        F.when(has("formula"), zero(cdm(F.col("formula"), F.coalesce("found_formula", F.lit(""))))).alias("formula"),
+        has("text").alias("has_text"),
+        failed.alias("failed"),
+    )
+    whole = F.when(F.col("failed"), F.lit(0.0)).otherwise(composite(F.col("score"), F.col("table"), F.col("formula"), F.col("has_text")))
+    return out.select("id", "failed", "ned", "bleu", F.col("score").alias("text"), "table", "formula", whole.alias("composite"))
+
+
+def report(runs: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """The means of each dataset of scored pages, and of all of them as the row 'all'."""
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}")
+    measures = [mean(c) for c in ("ned", "bleu", "composite", "text", "table", "formula")]
+    return runs.rollup(dataset).agg(F.count(F.lit(1)).alias("n_pages"), *measures).withColumn(dataset, F.coalesce(dataset, F.lit("all")))

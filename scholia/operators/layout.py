@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import trimmed
@@ -135,6 +135,31 @@ def page_markdown(regions: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "page").agg(F.array_join(F.transform(parts, lambda x: x["md"]), "\n\n").alias("markdown"))
 
 
+def numbered(boxes: DataFrame) -> DataFrame:
+    """Boxes with unique_id as their place in the page by read_order from 0; a box without an order comes last."""
+    by = Window.partitionBy("doc", "page").orderBy(F.col("read_order").asc_nulls_last(), "unique_id")
+    return boxes.withColumn("unique_id", F.row_number().over(by) - 1)
+
+
+def prepared_regions(boxes: DataFrame, width: float, height: float, least: float = 0.25) -> DataFrame:
+    """What of a page's boxes is read, with route and full_page: sure, in order, without suppressed and covered ones.
+
+    A page without table and formula is read whole: full_page is true for all its rows.
+    """
+    kept = without_covered_references(suppressed(numbered(sure_boxes(boxes, width, height, least))))
+    return kept.withColumn("route", route(F.col("class_name"))).join(text_only_pages(kept), ["doc", "page"])
+
+
+def read_pages(regions: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
+    """(doc, page, markdown) of prepared regions, by the texts (doc, page, unique_id, text) that were read of them.
+
+    A page that is read whole has the text of `whole` (doc, page, text) instead.
+    """
+    parts = regions.where("NOT full_page").join(texts.select("doc", "page", "unique_id", "text"), ["doc", "page", "unique_id"], "left")
+    full = regions.where("full_page").select("doc", "page").distinct().join(whole.select("doc", "page", "text"), ["doc", "page"])
+    return page_markdown(parts).unionByName(full.select("doc", "page", trimmed(F.col("text")).alias("markdown")))
+
+
 def sure_boxes(boxes: DataFrame, width: float, height: float, least: float = 0.25) -> DataFrame:
     """Boxes of enough confidence, clamped to the image."""
     inside = lambda c, top: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(float(top))).alias(c)

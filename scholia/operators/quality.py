@@ -12,19 +12,31 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _longest_run(values: Column) -> Column:
+    """How often the most frequent value of an array comes; equal values are neighbours once sorted.
+
+    A value that comes n times lies n - 1 places before itself, so runs are measured where
+    they end, by the places at which the sorted array changes.
+    """
+    ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+    longest = lambda e: F.array_max(F.zip_with(e, F.concat(F.array(F.lit(0)), F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0)))), lambda x, y: x - y))
+    return F.when(F.size(values) > 0, _once(F.sort_array(values), lambda s: _once(ends(s), longest))).otherwise(F.lit(0))
+
+
 def dominant_char_share(text: Column) -> Column:
     """The largest share of one character that isn't white space; counted in characters, of the text's bytes."""
     size = F.octet_length(text)
-    share = lambda t: F.array_max(F.transform(F.array_distinct(F.split(F.regexp_replace(t, r"(?U)\s+", ""), "")), lambda c: F.when(c == "", 0).otherwise(F.length(t) - F.length(F.replace(t, c, F.lit(""))))))
-    return F.when(size > 0, _once(text, share) / size).otherwise(F.lit(0.0))
+    chars = F.filter(F.split(F.regexp_replace(text, r"(?U)\s+", ""), ""), lambda c: c != "")
+    return F.when(size > 0, _longest_run(chars) / size).otherwise(F.lit(0.0))
 
 
 def dominant_ngram_share(w: Column, n: int = 4) -> Column:
     """The share of the n-gram that most windows hold, where it holds more than half; else at most a half.
 
-    A window that more than half of all agree with is the middle one once they are sorted.
+    Windows are told apart by 64-bit hashes of their words.  One that more than half of
+    all agree with is the middle one once they are sorted.
     """
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
     middle = lambda g: F.get(F.sort_array(g), F.floor(F.size(g) / 2).cast("int"))
     share = lambda g: _once(middle(g), lambda m: F.size(F.filter(g, lambda x: x == m)) / F.size(g))
     return F.when(F.size(w) >= 2 * n, _once(grams, share)).otherwise(F.lit(0.0))
@@ -91,6 +103,13 @@ def is_pdf(content: Column) -> Column:
     return (F.octet_length(content) >= 100) & (F.substring(content, 1, 4).cast("string") == "%PDF")
 
 
+#: Words of pages that stand in for an article.
+LOGIN = ["sign in", "log in", "access denied", "403 forbidden", "subscription required", "purchase this article", "institutional access"]
+WAITING = ["preparing to download", "hhs vulnerability disclosure", "please wait while the document loads"]
+JOURNAL = ["impact factor", "citescore", "aims and scope"]
+LANDING = ["clinical trials", "browse collections", "search results", "cookie policy"]
+
+
 def _any(text: Column, *phrases: str) -> Column:
     out = F.lit(False)
     for p in phrases:
@@ -101,12 +120,12 @@ def _any(text: Column, *phrases: str) -> Column:
 def is_paywall(html: Column) -> Column:
     """Login walls, empty landing pages and other pages without the article."""
     low = F.lower(html)
-    login = _any(low, "sign in", "log in", "access denied", "403 forbidden", "subscription required", "purchase this article", "institutional access")
+    login = _any(low, *LOGIN)
     article = F.contains(low, F.lit("<article")) | (F.contains(low, F.lit("abstract")) & F.contains(low, F.lit("references")))
     visible = F.octet_length(trimmed(F.regexp_replace(low, r"<[^>]*(>|$)|>", "")))
-    waiting = _any(low, "preparing to download", "hhs vulnerability disclosure", "please wait while the document loads")
-    journal = _any(low, "impact factor", "citescore", "aims and scope")
-    landing = _any(low, "clinical trials", "browse collections", "search results", "cookie policy")
+    waiting = _any(low, *WAITING)
+    journal = _any(low, *JOURNAL)
+    landing = _any(low, *LANDING)
     return (login & (F.octet_length(html) < 100_000)) | (login & ~article) | ((visible < 500) & ~article) | waiting | ((journal | landing) & ~article)
 
 

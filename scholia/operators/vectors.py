@@ -20,7 +20,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def point_id(doc_id: Column, index: Column) -> Column:
-    """A stable id of a chunk."""
+    """A stable id of a chunk, of this library's own making: points of another writer have other ids."""
     return F.sha2(F.concat_ws(":", doc_id.cast("string"), index.cast("string")), 256)
 
 
@@ -57,6 +57,25 @@ def delete_docs(points: DataFrame, docs: DataFrame, doc_col: str = "doc_id") ->
     return points.join(docs.select(doc_col).distinct(), doc_col, "left_anti")
 
 
+def purge(points: DataFrame, stems: Sequence[str], doc_col: str = "doc_id") -> DataFrame:
+    """points without the documents of a few stems."""
+    return points.where(~F.col(doc_col).cast("string").isin(list(stems)) | F.col(doc_col).isNull())
+
+
+def reindexed(points: DataFrame, new: DataFrame, docs: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """points with the documents of `docs` indexed anew: their old points go even where `new` has none for them."""
+    return upsert(delete_docs(points, docs, doc_col), new, doc_col=doc_col) if "indexed_at" in new.columns else delete_docs(points, docs, doc_col).unionByName(new)
+
+
+def partitioned_write(points: DataFrame, path: str, files_of: int = 1 << 20) -> None:
+    """Write points as the table that searches read: one folder a year, sorted by document, of about so many rows a file.
+
+    Year filters then skip folders, and filters by document skip row groups.
+    """
+    spread = points.repartitionByRange("year", "doc_id").sortWithinPartitions("year", "doc_id", "chunk_index")
+    spread.write.option("maxRecordsPerFile", files_of).partitionBy("year").mode("overwrite").parquet(path)
+
+
 def doc_facet(points: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """Chunks of each document."""
     return points.groupBy(doc_col).agg(F.count(F.lit(1)).alias("n_chunks"))

@@ -245,7 +245,7 @@ ORACLE: dict[str, str] = {
     ),
     "stamped_catalog": _with(
         "catalog",
-        "SELECT stem, CASE WHEN i % 5 = 0 AND i % 10 <> 0 AND i % 9 > 0 THEN i % 9 WHEN has_embedding THEN chunks END AS chunks, "
-        "CASE WHEN i % 10 = 0 OR (i % 5 = 0 AND i % 9 = 0) THEN 'zero_chunks' WHEN has_skip THEN skip_reason END AS skip_reason FROM catalog",
+        "SELECT stem, CASE WHEN i % 10 <> 0 AND i % 9 > 0 THEN i % 9 WHEN has_embedding THEN chunks END AS chunks, "
+        "CASE WHEN i % 10 = 0 OR i % 9 = 0 THEN 'zero_chunks' WHEN has_skip THEN skip_reason END AS skip_reason FROM catalog",
     ),
 }

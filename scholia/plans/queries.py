@@ -20,8 +20,10 @@ from scholia.operators.dedup import dedup, dedup_stats, doi_groups, leaders, sim
 from scholia.operators.merge import merge_groups, ranked
 from scholia.plans import views
 from scholia.plans.indexing import index_documents
-from scholia.plans.metasearch import cut, enough_citations, good_title, metasearch
+from scholia.plans.metasearch import enough_citations, good_title, metasearch
 from scholia.plans.views import table
+from scholia.plans.written import written
+from scholia.streaming import ingest as I
 
 QUERY = "the and of"
 QUERIES: dict = {}
@@ -141,17 +143,19 @@ def downloadable_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fuzzy_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_titles(leaders(views.papers(spark, sf_dir))).select("a", "b", _r(F.col("sim"), "similarity"))
+    """Titles in ASCII, as the SQL counts bytes."""
+    papers = views.papers(spark, sf_dir).withColumn("title", F.regexp_replace("title", r"[^\x00-\x7F]", "x"))
+    return similar_titles(leaders(papers)).select("a", "b", _r(F.col("sim"), "similarity"))
 
 
 @query
 def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(views.papers(spark, sf_dir), cut).select("id", "group_key", "match_type")
+    return dedup(views.papers(spark, sf_dir), written).select("id", "group_key", "match_type")
 
 
 @query
 def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_stats(dedup(views.papers(spark, sf_dir), cut))
+    return dedup_stats(dedup(views.papers(spark, sf_dir), written))
 
 
 @query
@@ -429,17 +433,20 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("item_id", _r(E.page_ned(F.col("text"), F.col("hyp")), "ned"))
+    """Texts in ASCII, as the SQL counts bytes."""
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "x")
+    return _pairs(spark, sf_dir).select("item_id", _r(E.page_ned(plain("text"), plain("hyp")), "ned"))
 
 
 @query
 def bleu_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("item_id", _r(E.bleu4(F.col("text"), F.concat_ws(" ", F.substring_index("text", " ", 12), "hyp")), "bleu"))
+    """Each text against itself with the next one behind it."""
+    return _pairs(spark, sf_dir).select("item_id", _r(E.bleu4(F.col("text"), F.concat_ws(" ", "text", "hyp")), "bleu"))
 
 
 @query
 def cdm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wrap = lambda c: F.concat(F.lit("$\\mathbf{"), F.substring_index(c, " ", 6), F.lit("}$"))
+    wrap = lambda c: F.concat(F.lit("$\\mathbf{"), F.col(c), F.lit("}$"))
     return _pairs(spark, sf_dir).select("item_id", _r(E.cdm(wrap("text"), wrap("hyp")), "cdm"))
 
 
@@ -459,8 +466,8 @@ def eval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count(F.lit(1)).alias("n_events"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("at"))
+    return I.latest_state(e).select(F.col("key").alias("user_id"), F.col("at").alias("last_event"), "n_events")
 
 
 @query
@@ -472,27 +479,29 @@ def heartbeat_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key"), "event_id")
-    first = Window.partitionBy("key").orderBy("event_id")
-    return e.withColumn("r", F.row_number().over(first)).where("r = 1").select("key", "event_id")
+    e = table(spark, sf_dir, "events").select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("at"))
+    return I.first_of_each(e).withColumnRenamed("at", "event_id")
 
 
 @query
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int").alias("p")).where("p.k IS NOT NULL")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("total"))
+    """Counts and sums over payloads that went through the stream's parser."""
+    e = table(spark, sf_dir, "events")
+    payload = F.to_json(F.struct(F.col("event_id").cast("string").alias("key"), F.get_json_object("props", "$.k").cast("long").alias("size_bytes"), F.col("event_type").alias("source")))
+    lines = e.select(F.lit("ingested").alias("subject"), payload.alias("payload"), F.col("ts").alias("at"))
+    rows = I.parsed(lines, "ingested").where("size_bytes IS NOT NULL")
+    return rows.groupBy(F.col("source").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("total"))
 
 
 @query
 def table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as tables of two rows against the table of the next line number."""
-    from scholia.functions.tables import teds
-
     cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
     html = F.concat(F.lit("<table><tr>"), cell("l_partkey"), cell("l_suppkey"), F.lit("</tr><tr>"), cell("l_quantity"), cell("l_returnflag"), F.lit("</tr></table>"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", html.alias("html"))
-    nxt = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("html").alias("found"))
-    return rows.join(nxt, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", _r(teds("html", "found"), "teds"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", html.alias("truth"))
+    nxt = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("truth").alias("found"))
+    ids = ["l_orderkey", "l_linenumber"]
+    return E.table_scores(rows.join(nxt, ids), ids).select(*ids, _r(F.col("teds"), "teds"))
 
 
 @query
@@ -505,10 +514,10 @@ def resolved_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stamped_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth document embedded anew, with no chunks for every tenth."""
+    """Every document embedded anew, with no chunks for every tenth."""
     from scholia.operators.stamps import stamp_embedding
 
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 5 == 0)
+    d = table(spark, sf_dir, "documents")
     results = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("stem"), F.lit("gpu").alias("server"), F.when(F.col("doc_id") % 10 == 0, 0).otherwise(F.col("doc_id") % 9).alias("chunks"), F.lit("cpu").alias("device"))
     out = stamp_embedding(views.catalog(spark, sf_dir), results, F.lit("2024-05-01T00:00:00Z"))
     return out.select("stem", F.col("embedding.chunks_indexed").alias("chunks"), F.col("embedding_skip.reason").alias("skip_reason"))

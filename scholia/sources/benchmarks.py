@@ -9,7 +9,7 @@ _DET = "struct<category_type:string,text:string,html:string,latex:string,order:d
 PAGES = f"page_info struct<image_path:string,page_no:int,page_attribute:struct<language:string,data_source:string>>, layout_dets array<{_DET}>"
 
 #: Categories whose text belongs to the reading text.
-TEXT = ["text_block", "title", "code_txt", "code_txt_caption", "reference", "equation_caption", "figure_caption", "figure_footnote", "table_caption", "table_footnote", "code_algorithm", "code_algorithm_caption", "header", "footer", "page_footnote", "page_number"]
+TEXT = ["text_block", "title", "reference", "figure_caption", "table_caption", "table_footnote", "formula_caption", "equation_caption", "code_txt", "code_txt_caption"]
 
 
 def _parts(categories: list[str], field: str) -> Column:

@@ -33,3 +33,17 @@ def classified(objects: DataFrame, now: Column, prefix: str = "papers") -> DataF
 def sweep_report(rows: DataFrame) -> DataFrame:
     """Files of each outcome."""
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def processable(key: Column) -> Column:
+    """Whether a file can be converted: a readable kind, neither hidden nor unfinished nor set aside as corrupted."""
+    name = F.element_at(F.split(key, "/"), -1)
+    kind = F.regexp_extract(name, r"[.]([^.]*)$", 1)
+    return kind.isin(READABLE) & ~F.startswith(name, F.lit("._")) & ~F.contains(key, F.lit("/corrupted/"))
+
+
+def without_unfinished(objects: DataFrame) -> DataFrame:
+    """The processable files of a listing beside which no download of the same stem is under way."""
+    stem = F.regexp_replace("key", r"[.][^./]*$", "")
+    going = objects.where(F.endswith("key", F.lit(".pdf.tmp"))).select(F.regexp_replace("key", r"[.]pdf[.]tmp$", "").alias("_stem")).distinct()
+    return objects.where(processable(F.col("key"))).withColumn("_stem", stem).join(going, "_stem", "left_anti").select(*objects.columns)

@@ -17,7 +17,7 @@ def list_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """stem, key, markdown of all .md files below a path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1).alias("stem"), F.col("_metadata.file_path").alias("key"), F.col("value").alias("markdown")).where(
         ~F.startswith("stem", F.lit("._"))
     )

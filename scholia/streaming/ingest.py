@@ -25,6 +25,11 @@ def parsed(lines: DataFrame, subject: str, schema: str = INGESTED) -> DataFrame:
     return rows.where("e.key IS NOT NULL").select("at", "e.*")
 
 
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """The first event of each key of a table."""
+    return rows.groupBy("key").agg(F.min("at").alias("at"))
+
+
 def without_repeats(rows: DataFrame, late: str = "1 hour") -> DataFrame:
     """The first event of each key; state is kept for the watermark's time only."""
     return rows.withWatermark("at", late).dropDuplicatesWithinWatermark(["key"])
@@ -45,6 +50,10 @@ def latest_state(rows: DataFrame, key: str = "key") -> DataFrame:
     return rows.groupBy(key).agg(F.max("at").alias("at"), F.count(F.lit(1)).alias("n_events"))
 
 
-def run_to(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Process what is there, batch by batch, and stop; a batch that is repeated after a failure has the same number."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+def run_to(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
+    """Process what is there, batch by batch, and stop, or look again every so often, such as '30 seconds'.
+
+    A batch that is repeated after a failure has the same number.
+    """
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**when).foreachBatch(write).start()

@@ -3,25 +3,47 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.functions.tables import tables_score, teds
+from scholia.functions.tables import canonical_table
 from scholia.operators import downloads as D
 from scholia.operators import stamps
+from scholia.operators.evaluate import table_scores
 from scholia.schemas import CATALOG
 from scholia.sources.benchmarks import page_truth
 
 
-def test_tables():
+def test_tables(spark):
     t = "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>"
-    assert tables_score(t, t) == 100.0 and tables_score("", t) is None and tables_score(t, "") == 0.0
-    assert tables_score(t, t.replace("<tr><td>c</td><td>d</td></tr>", "")) == pytest.approx(100 * (1 - 3 / 7))
-    assert tables_score(t, t.replace("<tr>", "<thead><tr>", 1).replace("td>", "th>")) == 100.0
-    assert tables_score(t, t.replace("<td>a", '<td colspan="2">a')) == pytest.approx(100 * (1 - 1 / 7))
-    assert tables_score(t, t.replace(">a<", ">x<")) == pytest.approx(100 * (1 - 1 / 7))
-    assert tables_score(t + t, t) == 50.0
-    # joining the rows takes both row nodes away and puts one over all cells
-    assert tables_score(t, t.replace("</tr><tr>", "")) == pytest.approx(100 * (1 - 3 / 7))
-    # an empty row is a leaf
-    assert tables_score(t, t.replace("<tr>", "<tr></tr><tr>", 1)) == pytest.approx(100 * (1 - 1 / 8))
+    cases = [
+        (t, t, 100.0),
+        ("", t, None),
+        (None, None, None),
+        (t, "", 0.0),
+        (t, None, 0.0),
+        (t, t.replace("<tr><td>c</td><td>d</td></tr>", ""), 100 * (1 - 3 / 7)),
+        (t, t.replace("<tr>", "<thead><tr>", 1).replace("td>", "th>"), 100.0),
+        (t, t.replace("<td>a", '<td colspan="2">a'), 100 * (1 - 1 / 7)),
+        (t, t.replace(">a<", ">x<"), 100 * (1 - 1 / 7)),
+        # a true table without a partner counts, one too many doesn't
+        (t + t, t, 50.0),
+        (t, t + t.replace(">a<", ">x<"), 100.0),
+        (t + t.replace(">a<", ">x<"), t.replace(">a<", ">x<") + t, 100.0),
+        # joining the rows takes both row nodes away and puts one over all cells
+        (t, t.replace("</tr><tr>", ""), 100 * (1 - 3 / 7)),
+        # an empty row is a leaf
+        (t, t.replace("<tr>", "<tr></tr><tr>", 1), 100 * (1 - 1 / 8)),
+        # markup and layout don't count, and cells are compared as normalized text
+        (t, '<html><body><table class="x" border="1"><colgroup><col></colgroup><tbody>' + t[7:-8].replace(">a<", '><b>A</b><sub></sub> $\\mathrm{}$<'.replace("A", "a")) + "</tbody></table>", 100.0),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "id int, truth string, found string")
+    got = {r.id: r.teds for r in table_scores(df, ["id"]).collect()}
+    for i, (_, _, want) in enumerate(cases):
+        assert got[i] == (want if want is None else pytest.approx(want)), i
+
+
+def test_canonical_table(spark):
+    html = '<TABLE class="a" width="3"><colgroup><col></colgroup><thead><tr><th>x</th><th colspan="2" style="b">y<sup>2</sup></th></tr></thead></TABLE>'
+    got = spark.createDataFrame([(html,)], "h string").select(canonical_table(F.col("h"))).first()[0]
+    assert got == '<TABLE><thead><tr><td>x</td><td colspan="2">y2</td></tr></thead></TABLE>'
 
 
 @pytest.mark.parametrize(
@@ -44,9 +66,16 @@ def test_normalized_text(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(normalized_text(F.col("t"))).first()[0] == want
 
 
-def test_teds_column(spark):
-    df = spark.createDataFrame([("<table><tr><td>a</td></tr></table>", None), (None, None)], "a string, b string")
-    assert [r[0] for r in df.select(teds("a", "b")).collect()] == [0.0, None]
+def test_common_count(spark):
+    import random
+    from collections import Counter
+
+    from scholia.operators.evaluate import common_count
+
+    r = random.Random(1)
+    rows = [([r.choice("abcd") for _ in range(r.randint(0, 9))], [r.choice("abce") for _ in range(r.randint(0, 9))]) for _ in range(80)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", common_count(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(x.n == sum((Counter(x.a) & Counter(x.b)).values()) for x in got)
 
 
 def test_resolvers(spark):

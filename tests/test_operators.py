@@ -13,7 +13,8 @@ from scholia.operators import vectors as V
 from scholia.operators.chunk import chunk_spans
 from scholia.operators.dedup import dedup, dedup_stats, leaders, similar_titles
 from scholia.operators.merge import merge_groups, ranked
-from scholia.plans.metasearch import cut, metasearch
+from scholia.plans.metasearch import metasearch
+from scholia.plans.written import written
 from scholia.schemas import PAPERS
 
 WEIGHT = {"semantic_scholar": 1.0, "openalex": 0.9, "arxiv": 0.8, "europe_pmc": 0.7, "crossref": 0.6}
@@ -73,7 +74,7 @@ def test_dedup_is_the_greedy_one(spark, seed):
     df = spark.createDataFrame(rows, PAPERS)
     keys = {r.id: r.k for r in df.select("id", normalized_title("title").alias("k")).collect()}
     got = {}
-    out = dedup(df, cut).cache()
+    out = dedup(df, written).cache()
     for r in out.collect():
         got.setdefault(r.group_key, set()).add(r.id)
     assert {frozenset(g) for g in got.values()} == greedy(rows, keys)

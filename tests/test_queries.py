@@ -6,9 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from scholia.plans.oracle import ORACLE
+from scholia.plans.more_oracle import MORE
+from scholia.plans.oracle import ORACLE as FIRST
 from scholia.plans.queries import QUERIES
 
+ORACLE = FIRST | MORE
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
