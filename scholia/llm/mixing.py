@@ -1,38 +1,44 @@
-"""Mixing sources to target weights, in DataFrame functions alone.
-
-A source's documents are dealt into blocks, and each slot takes one block.  The sources
-are the leaves of a binary tree: a node of weight W has given its child of weight w, of
-its first n slots, n w / W of them to the nearest whole.  So slot and block number of a
-child tell the slot of its parent in closed form, and a block finds its slot by going up
-from its source, whatever the number of blocks or sources; no step is taken slot by slot.
-
-After any number of slots a source is off its target by at most half the sum of
-w / W over itself and its ancestors below the root.  The tree halves the line on which the
-sources lie by falling weight, so these W grow about twofold.  The bound is a matter of the
-weights alone: it doesn't grow with the input, is less than 1 for equal sources whose
-number is a power of two, and may be more than 1 otherwise, as windows of one block would
-need the slots to be filled one after the other.
+"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions alone.
+
+A source's documents are dealt into blocks, and each slot takes one block.  At a share w of
+the slots, block i of a source is released at slot floor(i / w) and due before slot
+ceil((i + 1) / w), and each slot takes the released block that is due first.  As the shares
+sum to one, all blocks meet their deadlines, so a source is always less than one block off
+its target.  Shares are whole parts, so releases and deadlines are exact.
+
+The schedule is made in segments of slots that run in parallel (earliest_deadline.py).
+Its work for a slot follows the number of sources that have a block open.  Where there are
+very many sources, the light ones are bundled: a bundle takes part as one source, and its
+slots are dealt to its own sources by the same rule.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.llm.earliest_deadline import earliest_deadline
+from scholia.llm.rows import placed_rows
 from scholia.llm.staging import staged
 
 #: Weights are whole numbers of so many parts, of which a block's error is at most half of one a slot.
 PARTS = 1 << 32
-#: Bits of twice a place on the line of all parts.
-LINE_BITS = 34
 #: Documents of a block.
 BLOCK_ROWS = 8
-#: Documents of a source that are numbered together.
-BUCKET_ROWS = 4096
-#: Sources of alike weight are summed in so many groups.
-GROUPS = 256
+#: Documents that are numbered together, a source's share of them at most.
+BUCKET_ROWS = 1024
+#: More sources than this are bundled, but for those of a 512th of the weight.
+FLAT = 1024
+HEAVY = 512
+
+_NEW = ("source_pos", "block", "slot", "position")
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
 
 def source_weights(counts: DataFrame, weights: Mapping[str, float] | None, exponent: float) -> DataFrame:
@@ -43,46 +49,62 @@ def source_weights(counts: DataFrame, weights: Mapping[str, float] | None, expon
     its number of documents to the power of the exponent.
     """
     own = F.pow(F.col("n").cast("double"), F.lit(exponent))
-    given = F.lit(0.0)
-    for name, w in (weights or {}).items():
-        given = F.when(F.col("key") == "1" + name, F.lit(float(w))).otherwise(given)
-    tail = F.lit(False) if weights is None else ~(given > 0)
-    rows = counts.withColumn("tail", tail).withColumn("w", own if weights is None else F.when(F.col("tail"), own).otherwise(given))
-    total = rows.groupBy("tail").agg(F.sum("w").alias("total"))
+    if weights is None:
+        rows = counts.withColumns({"tail": F.lit(False), "w": own})
+    else:
+        given = {k: float(w) for k, w in weights.items() if w > 0}
+        pairs = F.array(*[F.struct(F.lit("1" + k).alias("key"), F.lit(w).alias("given")) for k, w in given.items()]) if given else F.array().cast("array<struct<key:string,given:double>>")
+        table = counts.sparkSession.range(1).select(F.inline(pairs))
+        rows = counts.join(table, "key", "left").withColumns({"tail": F.col("given").isNull(), "w": F.coalesce("given", own)})
+    total = rows.groupBy("tail").agg(F.sum("w").alias("total"))  # two rows at most
     parts = F.greatest(F.lit(1), F.round(F.col("w") / F.col("total") * PARTS).cast("long"))
     return rows.join(F.broadcast(total), "tail").select("key", "n", "tail", parts.alias("q"))
 
 
-def _up(block: Column, path: Column) -> Column:
-    """The slot of a source's block: from the leaf, each node's number becomes its parent's."""
-    return F.aggregate(path, block.cast("long"), lambda i, x: F.call_function("div", x["all"] * (i * 2 + 1) - x["left"], x["own"] * 2))
-
-
-def tree_paths(sources: DataFrame) -> DataFrame:
-    """(key, n, tail, path) for (key, n, tail, q): path goes from the leaf to below the root.
-
-    Each step has the parts of the node and of its parent, and left is 1 in a left child.
-    """
-    step = F.floor(F.log2("q")).cast("int")
-    rows = sources.withColumns({"step": step, "group": F.pmod(F.xxhash64("key"), F.lit(GROUPS))})
-    # a group's place on the line from the sums of the groups, of which there are few
-    sums = rows.groupBy("tail", "step", "group").agg(F.sum("q").alias("sum"))
-    earlier = Window.partitionBy("tail").orderBy(F.desc("step"), "group").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sums.select("tail", "step", "group", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("begin"))
-    inside = Window.partitionBy("tail", "step", "group").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("q").over(inside), F.lit(0))).join(begins, ["tail", "step", "group"])
-    # twice the middle of the source; in a span of at most q parts around it there is no other's
-    middle = (F.col("begin") + F.col("inside")) * 2 + F.col("q")
-    deep = placed.select("key", "n", "tail", "q", middle.alias("middle"), F.explode(F.sequence(F.lit(0), F.lit(LINE_BITS) - F.col("step"))).alias("level"))
-    at = deep.withColumn("node", F.expr(f"shiftright(middle, {LINE_BITS} - level)"))
-    nodes = at.groupBy("tail", "level", "node").agg(F.sum("q").alias("own"))
-    above = nodes.select("tail", (F.col("level") + 1).alias("level"), F.col("node").alias("up"), F.col("own").alias("all"))
-    steps = nodes.withColumn("up", F.expr("shiftright(node, 1)")).join(above, ["tail", "level", "up"]).where("own < all")
-    found = at.join(steps, ["tail", "level", "node"]).groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("level")).alias("depth"), "own", "all", (1 - F.pmod("node", F.lit(2))).alias("left")))).alias("path")
-    )
-    none = F.array().cast("array<struct<depth:int,own:bigint,all:bigint,left:bigint>>")
-    return sources.select("key", "n", "tail").join(found, "key", "left").withColumn("path", F.coalesce("path", none))
+def _windows(blocks: DataFrame, group: Column) -> DataFrame:
+    """Jobs of blocks (s, i, q, of), of being the parts of all sources of the group."""
+    release = _div(F.col("i") * F.col("of"), F.col("q"))
+    deadline = _div((F.col("i") + 1) * F.col("of") + F.col("q") - 1, F.col("q"))
+    return blocks.select(group.cast("long").alias("g"), "s", "i", release.alias("r"), deadline.alias("d"))
+
+
+def block_slots(blocks: DataFrame, sources: DataFrame, block_rows: int) -> DataFrame:
+    """(key, block, slot) for every block (key, block) of the sources (key, n, tail, q)."""
+    lines = {r.tail: r for r in sources.groupBy("tail").agg(F.count(F.lit(1)).alias("k"), F.sum("q").alias("of")).collect()}
+    if not lines:
+        return blocks.withColumn("slot", F.lit(0).cast("long"))
+    of, single, bundles = F.lit(0).cast("long"), F.lit(True), F.lit(1)
+    for tail, r in lines.items():
+        here = F.col("tail") == F.lit(tail)
+        of = F.when(here, F.lit(r.of)).otherwise(of)
+        single = F.when(here, F.lit(r.k <= FLAT) | (F.col("q") * HEAVY >= r.of)).otherwise(single)
+        bundles = F.when(here, F.lit(math.isqrt(r.k) + 1)).otherwise(bundles)
+    bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("key"), bundles).cast("string"))
+    line = F.col("tail").cast("int")
+    # a source's last deadline, in its line's slots or in its bundle's
+    ends = lambda of: _div(_div(F.col("n") + block_rows - 1, F.lit(block_rows)) * of + F.col("q") - 1, F.col("q"))
+    plan = sources.withColumns({"of": of, "s": F.when(single, F.col("key")).otherwise(bundle)})
+    top = plan.where(single).select("s", "tail", "q", "of", ends(F.col("of")).alias("end"))
+    jobs = blocks.join(plan.where(single).select("key", "s", "tail", "q", "of"), "key").select("key", "block", "s", F.col("block").alias("i"), "tail", "q", "of")
+    if any(r.k > FLAT for r in lines.values()):
+        whole = plan.where(~single).groupBy("tail", "s").agg(F.sum("q").alias("whole"), F.count(F.lit(1)).alias("members"))
+        members = staged(plan.where(~single).join(whole, ["tail", "s"]).withColumn("end", ends(F.col("whole"))), "bundles")
+        far = members.agg(F.max("members").alias("most"), F.max("end").alias("last")).first()
+        group = F.xxhash64("s", "tail")
+        inner = _windows(blocks.join(members.select("key", "s", "tail", "q", F.col("whole").alias("of")), "key").select(F.col("key").alias("s"), F.col("block").alias("i"), "q", "of", group.alias("group")), F.col("group"))
+        inside = earliest_deadline(inner, far.most, far.last)
+        own = inside.select(F.col("s").alias("key"), F.col("i").alias("block"), F.col("slot").alias("i")).join(members.select("key", "s", "tail", F.col("whole").alias("q"), "of"), "key")
+        jobs = jobs.unionByName(own.select("key", "block", "s", "i", "tail", "q", "of"))
+        outer = members.groupBy("tail", "s").agg(F.first("whole").alias("q"), F.first("of").alias("of"), F.max("end").alias("blocks"))
+        top = top.unionByName(outer.select("s", "tail", "q", "of", _div(F.col("blocks") * F.col("of") + F.col("q") - 1, F.col("q")).alias("end")))
+    jobs = staged(jobs, "blocks")
+    far = {r.tail: r for r in top.groupBy("tail").agg(F.count(F.lit(1)).alias("k"), F.max("end").alias("end")).collect()}
+    windows = _windows(jobs.select("s", "i", "q", "of", "tail"), line)
+    slots = earliest_deadline(windows, max(r.k for r in far.values()), max(r.end for r in far.values()))
+    # what has no target comes when all others have ended
+    begin = far[False].end if False in far else 0
+    slots = slots.select((F.col("g") == 1).alias("tail"), "s", "i", (F.col("slot") + F.col("g") * begin).alias("slot"))
+    return jobs.select("key", "block", "tail", "s", "i").join(slots, ["tail", "s", "i"]).select("key", "block", "slot")
 
 
 def mix(
@@ -90,48 +112,43 @@ def mix(
     weights: Mapping[str, float] | None = None,
     exponent: float = 0.5,
     block_rows: int = BLOCK_ROWS,
-    period: int | None = None,
     source_col: str = "source",
-    id_col: str = "doc_id",
 ) -> DataFrame:
     """All rows and columns of docs with source_pos, block, slot and position (long).
 
     Sorted by position the sources interleave at their weights: after any number of slots
-    a source that still has documents is off its share by no more than its path in the
-    tree allows, which is a matter of the weights alone and not of the input's size.
-    Every row has exactly one position; when a source ends its slots stay empty, so the
-    others go on in their own proportions.  Within a source the order is that of a hash of
-    the id, so it is the same in each run.
+    a source that still has documents is less than one block off its target.  With more
+    than FLAT sources, those that are bundled are less than 1 + w / W blocks off, w being
+    the source's weight and W its bundle's.  Every row has exactly one position; when a
+    source ends its slots stay empty, so the others go on in their own proportions.  Within
+    a source the order is that of a hash of the row's place in its file, so it is the same
+    in each run over the same files, and equal rows and rows without an id are no hot group.
 
     With given weights, sources of no weight follow when all others have ended.  There may
-    be any number of sources.  There is no period any more, and the argument has no
-    effect.  A null source is a source of its own.  Rows of one id take neighbouring
-    places; a null id is an id.  An empty table gives an empty result.  Columns of the new
-    names are replaced.
+    be any number of sources of up to 2**31 blocks.  A null source is a source of its own,
+    and one that is named in the weights but not in docs only leaves its share to the
+    others.  An empty table gives an empty result.  Columns of the new names are replaced.
     """
-    rows = docs.drop("source_pos", "block", "slot", "position")
-    key = F.when(F.col(source_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
-    hashed = F.xxhash64(F.col(id_col))
-    # every 4096 documents of a source are numbered by themselves, so no task gets a whole source
+    rows = placed_rows(docs, _NEW)
+    source = F.col("row")[source_col].cast("string")
+    key = F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source))
     counts = staged(rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")), "sources")
-    # only sources of several buckets go to every task, one for 4096 documents at most
-    large = F.broadcast(counts.where(F.col("n") > BUCKET_ROWS).select(F.col("key").alias("_key"), F.col("n").alias("_n")))
-    bucket = F.pmod("_hash", F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(BUCKET_ROWS)))
-    keyed = rows.withColumns({"_key": key, "_hash": hashed}).join(large, "_key", "left").withColumn("_bucket", bucket)
-    ids = rows.select(key.alias("_key"), hashed.alias("_hash")).join(large, "_key", "left").withColumn("_bucket", bucket)
-    sizes = ids.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_key", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    paths = staged(tree_paths(source_weights(counts, weights, exponent)), "paths")
-    last = paths.where("NOT tail").agg(F.coalesce(F.max(_up(F.floor((F.col("n") - 1) / F.lit(block_rows)), F.col("path"))) + 1, F.lit(0)).alias("_after"))
-    plan = paths.join(F.broadcast(last)).select(F.col("key").alias("_key"), F.col("path").alias("_path"), F.when(F.col("tail"), F.col("_after")).otherwise(0).alias("_from"))
-    inside = Window.partitionBy("_key", "_bucket").orderBy("_hash", F.col(id_col))
-    placed = (
-        keyed.withColumn("_row", F.row_number().over(inside))
-        .join(starts.join(plan, "_key"), ["_key", "_bucket"])
-        .withColumn("source_pos", F.col("_start") + F.col("_row") - 1)
-        .withColumn("block", F.floor(F.col("source_pos") / F.lit(block_rows)))
-        .withColumn("slot", F.col("_from") + _up(F.col("block"), F.col("_path")))
-        .withColumn("position", F.col("slot") * block_rows + F.pmod("source_pos", F.lit(block_rows)))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # a source's documents are numbered bucket by bucket, so no task gets a whole source
+    bucket = F.pmod("place", F.lit(max(1, -(-total // BUCKET_ROWS)))).cast("int")
+    ids = rows.select(key.alias("key"), bucket.alias("bucket"), "place", "at")
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ids.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.select("key", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("key", "bucket").orderBy("place", "at")
+    numbered = staged(ids.withColumn("k", F.row_number().over(inside)).join(starts, ["key", "bucket"]).select("key", "place", "at", (F.col("start") + F.col("k") - 1).alias("source_pos")), "numbered")
+    blocks = numbered.where(F.pmod("source_pos", F.lit(block_rows)) == 0).select("key", _div(F.col("source_pos"), F.lit(block_rows)).alias("block"))
+    slots = block_slots(blocks, staged(source_weights(counts, weights, exponent), "weights"), block_rows)
+    places = (
+        numbered.withColumn("block", _div(F.col("source_pos"), F.lit(block_rows)))
+        .join(slots, ["key", "block"])
+        .select("place", "at", "source_pos", "block", "slot", (F.col("slot") * block_rows + F.pmod("source_pos", F.lit(block_rows))).alias("position"))
     )
-    return placed.select(*rows.columns, "source_pos", "block", "slot", "position")
+    names = [c for c in docs.columns if c not in _NEW]
+    # merged at every size: the places grow with the documents
+    return rows.join(places.hint("merge"), ["place", "at"]).select(*[F.col("row")[c].alias(c) for c in names], *_NEW)
