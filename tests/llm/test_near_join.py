@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import pytest
 
@@ -77,6 +78,21 @@ def test_large_alike_group_in_blocks(spark, monkeypatch):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_blocks_and_tiles(spark, monkeypatch, blocks):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "BLOCKS", blocks)
+    base = words(300, 6)
+    check(spark, [(i, " ".join(edited(base, 1 + i % 3, i))) for i in range(45)])
+
+
+def test_repeated_rows_link_once(spark):
+    base = words(100, 7)
+    rows = [(7, " ".join(base)), (7, " ".join(base)), (8, " ".join(edited(base, 1, 1))), (8, "another text of one id that is not alike")]
+    got = N.near_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_copies, r.n_links, r.n_linked_docs) for r in got) == [(7, 7, 2, 1, 1), (7, 7, 2, 1, 1), (8, 7, 1, 1, 2), (8, 7, 1, 1, 2)]
+
+
 def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_join(empty).count() == 0
@@ -85,8 +101,11 @@ def test_empty_table_and_clashing_columns(spark):
 
 
 def test_runs_reach_the_recall():
-    assert N.runs_for(0.8, 0.99999) >= 4
+    assert 4 <= N.runs_for(0.8, 5e-6) <= N.SKETCH // 2 // N.FANOUT
     assert N.runs_for(0.8, 0.5) == 1
+    k = N.least_agreement(0.8, 5e-6)
+    tail = lambda k: sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(k))
+    assert tail(k) <= 5e-6 < tail(k + 1)
 
 
 @pytest.mark.parametrize("n", [1, 3])
