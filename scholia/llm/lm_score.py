@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.rows import column, placed_rows
 from scholia.llm.staging import staged
 from scholia.llm.textvec import lower_ascii, mix64, slices, span_hashes, text_buffer, word_bounds
 
@@ -39,8 +40,11 @@ HEAD = 1 << 18
 #: Rows of the hashed tables of pairs of slots, and of class-dependent features.
 PAIR_ROWS, MEMBER_ROWS = 1 << 14, 1 << 15
 ROUNDS = 2
-BATCH = 1 << 14
+#: Tokens of a gradient step, and of a step of scoring, whose arrays stay in the processor's cache.
+BATCH, CHUNK = 1 << 14, 1 << 11
 RATE = 0.3
+#: Training tokens of a task, about, so that the changed rows that it sends are fewer than its texts' bytes.
+TASK_TOKENS = 1 << 21
 
 START = SLOTS
 _U = np.uint64
@@ -117,13 +121,36 @@ def _rows(back: np.ndarray, classes: np.ndarray) -> tuple[list[np.ndarray], list
     return first, hashed
 
 
-def _soft(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Log probabilities of a softmax over sums of rows."""
-    z = bias + table[rows[0]]
+_ONES = {width: np.ones(width, np.float32) for width in (CLASSES, MEMBERS)}
+
+
+def _sums(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """The sums of a token's rows; where one is so large that it might overflow, less the largest of the token."""
+    z = np.take(table, rows[0], axis=0, mode="clip")
+    z += bias
+    more = np.empty_like(z)
     for r in rows[1:]:
-        z += table[r]
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+        np.take(table, r, axis=0, out=more, mode="clip")
+        z += more
+    if len(z) and max(z.max(), -z.min()) > 60:
+        z -= z.max(1, keepdims=True)
+    return z
+
+
+def _shares(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of a softmax over sums of rows."""
+    z = _sums(table, bias, rows)
+    np.exp(z, out=z)
+    z /= (z @ _ONES[z.shape[1]])[:, None]
+    return z
+
+
+def _log_share(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], right: np.ndarray) -> np.ndarray:
+    """The log probability of one value of each token."""
+    z = _sums(table, bias, rows)
+    own = z[np.arange(len(right)), right]
+    np.exp(z, out=z)
+    return own - np.log(z @ _ONES[z.shape[1]])
 
 
 class Weights:
@@ -147,12 +174,11 @@ class Weights:
     def log_probability(self, slot: np.ndarray, back: np.ndarray) -> np.ndarray:
         """Natural log of p(class) p(slot | class) of each token."""
         out = np.empty(len(slot))
-        for i in range(0, len(slot), BATCH):
-            s = slot[i : i + BATCH]
+        for i in range(0, len(slot), CHUNK):
+            s = slot[i : i + CHUNK]
             cls, mem = s // MEMBERS, s % MEMBERS
-            first, second = _rows(back[:, i : i + BATCH], cls)
-            at = np.arange(len(s))
-            out[i : i + BATCH] = _soft(self.classes, self.classes[0], first)[at, cls] + _soft(self.members, self.members[cls], second)[at, mem]
+            first, second = _rows(back[:, i : i + CHUNK], cls)
+            out[i : i + CHUNK] = _log_share(self.classes, self.classes[0], first, cls) + _log_share(self.members, self.members[cls], second, mem)
         return out
 
 
@@ -166,22 +192,24 @@ class Trainer:
 
     def _apply(self, table: np.ndarray, seen: np.ndarray, row: np.ndarray, grad: np.ndarray) -> None:
         order = np.argsort(row.astype(np.uint16) if row.max() < 65536 else row, kind="stable")
-        row = row[order]
-        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        total = np.add.reduceat(grad[order], at, axis=0)
-        row = row[at]
+        sorted_ = row[order]
+        new = np.r_[True, sorted_[1:] != sorted_[:-1]]
+        number = np.empty(len(row), np.int64)
+        number[order] = np.cumsum(new) - 1
+        row, width = sorted_[new], grad.shape[1]
+        total = np.bincount((number[:, None] * width + np.arange(width)).ravel(), weights=grad.ravel(), minlength=len(row) * width).reshape(-1, width)
         seen[row] += (total * total).mean(1)
-        table[row] -= RATE * total / np.sqrt(seen[row] + 1.0)[:, None]
+        table[row] -= (RATE * total / np.sqrt(seen[row] + 1.0)[:, None]).astype(np.float32)
 
     def step(self, slot: np.ndarray, back: np.ndarray) -> None:
         cls, mem = slot // MEMBERS, slot % MEMBERS
         first, second = _rows(back, cls)
         at = np.arange(len(slot))
-        g = np.exp(_soft(self.now.classes, self.now.classes[0], first))
+        g = _shares(self.now.classes, self.now.classes[0], first)
         g[at, cls] -= 1
         for row in first:
             self._apply(self.now.classes, self.seen_c, row, g)
-        g = np.exp(_soft(self.now.members, self.now.members[cls], second))
+        g = _shares(self.now.members, self.now.members[cls], second)
         g[at, mem] -= 1
         for row in second:
             self._apply(self.now.members, self.seen_m, row, g)
@@ -252,6 +280,7 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     log10 of the model's probability.  held_out is a condition on docs; without one a row
     is held out if crc32 of its id as text is 0 modulo 10, a null id counting as ''.
 
+    The model depends on how the files are dealt to tasks, as each task trains on its own.
     A null text is empty and has one token, its end.  Repeated rows are scored, and
     learned from, each.  With no training rows N and V are 0.  An empty table gives an
     empty result; other columns are ignored.
@@ -260,9 +289,11 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     frequent words and the weights, both of fixed size; the counts of other words are
     joined by hash, and being rare they make no hot keys.
     """
-    ident = F.col(id_col)
+    ident = column(id_col)
     out = F.pmod(F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0 if held_out is None else F.coalesce(held_out, F.lit(False))
-    rows = docs.select(ident.cast("long").alias("doc_id"), out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # each row is named by its place in its file, so a task that runs again names it alike
+    named = docs.select(ident.cast("long").alias("doc_id"), out.alias("held_out"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    rows = placed_rows(named).select("row.*", "place", "at")
     train = rows.where(~F.col("held_out"))
     counts = staged(train.select("text").mapInArrow(_add_counts, "h long, t long, c long").groupBy("h").agg(F.first("t").alias("t"), F.sum("c").alias("c")), "counts")
     lex = _lexicon(counts)
@@ -279,6 +310,8 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     schema = "row long, " + ", ".join(f"d{k} float" for k in range(CLASSES))
     for r in range(ROUNDS):
         part = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r).select("text")
+        # many small files become few tasks; there are never more tasks than files have parts
+        part = part.coalesce(max(1, -(-lex.total // (ROUNDS * TASK_TOKENS))))
         moved = part.mapInArrow(train_on(weights), schema).groupBy("row").agg(*[F.avg(f"d{k}").alias(f"d{k}") for k in range(CLASSES)])
         found = moved.toPandas()  # as many rows as the tables have, at most
         if len(found):
@@ -290,49 +323,46 @@ def lm_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col:
     base_z = np.log10(lex.total + 0.1 * (lex.types + 1))
     log_mass = np.log10(lex.mass)
 
+    names = ["place", "at", "h", "times", "doc_id", "held_out", "n", "known", "base", "score"]
+
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text's row, and a row for each of its words whose count isn't here."""
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in slices(batch.column(1)):
-                h, t, n = tokens(batch.column(1).slice(i, j - i))
+            for i, j in slices(batch.column(0)):
+                text, place, at, doc_id, held = (c.slice(i, j - i) for c in batch.columns)
+                h, t, n = tokens(text)
                 slot, count, here = lex.look_up(h, t)
                 doc = np.repeat(np.arange(j - i), n)
                 p = weights.log_probability(slot, histories(slot, n)) / np.log(10) - log_mass[slot]
                 log_c = np.where(here, np.log10(count + 0.1), 0.0)
                 total = lambda x: np.bincount(doc, weights=x, minlength=j - i)
+                # a text's own row goes anywhere in the join; it has no times, and a count that it meets means nothing
+                spread = mix64(place.to_numpy().view(_U)).view(np.int64)
+                whole = [place, at, pa.array(spread), pa.nulls(j - i, pa.int32()), doc_id, held, *map(pa.array, (n, total(here).astype(np.int64), total(log_c) - n * base_z, total(p + log_c)))]
+                yield pa.RecordBatch.from_arrays(whole, names=names)
                 rare = np.flatnonzero(~here)
-                order = np.lexsort((h[rare], doc[rare]))
-                rare = rare[order]
+                rare = rare[np.lexsort((h[rare], doc[rare]))]
                 new = np.ones(len(rare), bool)
                 new[1:] = (h[rare][1:] != h[rare][:-1]) | (doc[rare][1:] != doc[rare][:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(rare)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([key[i:j], key[i:j][doc[rare[at]]]])),
-                        pa.array(np.concatenate([mix64(key[i:j].view(_U)).view(np.int64), h[rare[at]].view(np.int64)])),
-                        pa.array(np.concatenate([np.zeros(j - i, np.int32), times.astype(np.int32)])),
-                        pa.array(np.concatenate([n, np.zeros(len(at), np.int64)])),
-                        pa.array(np.concatenate([total(here).astype(np.int64), np.zeros(len(at), np.int64)])),
-                        pa.array(np.concatenate([total(log_c) - n * base_z, np.zeros(len(at))])),
-                        pa.array(np.concatenate([total(p + log_c), np.zeros(len(at))])),
-                    ],
-                    names=["key", "h", "times", "n", "known", "base", "score"],
-                )
-
-    # the position in the scan names a row; a scan that is repeated gives the same
-    named = rows.withColumn("key", F.monotonically_increasing_id())
-    parts = named.select("key", "text").mapInArrow(score, "key long, h long, times int, n long, known long, base double, score double")
-    rare = F.when(F.col("times") > 0, F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) * F.col("times")).otherwise(0.0)
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(rare))).astype(np.int32)
+                owner = pa.array(doc[rare[first]])
+                word = [place.take(owner), at.take(owner), pa.array(h[rare[first]].view(np.int64)), pa.array(times)]
+                yield pa.RecordBatch.from_arrays(word + [pa.nulls(len(first), f.type) for f in whole[4:]], names=names)
+
+    schema = "place long, at long, h long, times int, doc_id long, held_out boolean, n long, known long, base double, score double"
+    parts = rows.select("text", "place", "at", "doc_id", "held_out").mapInArrow(score, schema)
+    rare = F.coalesce(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) * F.col("times"), F.lit(0.0))
     sums = (
         parts.join(counts.select("h", "c").hint("merge"), "h", "left")
-        .groupBy("key")
+        .groupBy("place", "at")
         .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("held_out").alias("held_out"),
             F.sum("n").alias("n_tokens"),
-            F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + rare).alias("base_score"),
-            F.sum(F.col("score") + rare).alias("score"),
+            F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("c") > 0, F.coalesce("times", F.lit(0))).otherwise(0)).alias("n_known"),
+            F.sum(F.coalesce("base", F.lit(0.0)) + rare).alias("base_score"),
+            F.sum(F.coalesce("score", F.lit(0.0)) + rare).alias("score"),
         )
     )
-    return named.select("key", "doc_id", "held_out").join(sums, "key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score")
