@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.groups import map_groups
+from scholia.llm.rows import column, placed_rows
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -154,39 +154,38 @@ def _pack(capacity: int, source_limit: int):
     return fn
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, source_limit: int = SOURCE_LIMIT, shard_rows: int = SHARD_ROWS, in_order: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, source_limit: int = SOURCE_LIMIT, shard_rows: int = SHARD_ROWS, in_order: bool = False, cluster_col: str | None = None) -> DataFrame:
     """The bin of every piece: shard, bin, doc_id, piece, start, length, source, cluster.
 
     A document's length is its words and one end token.  One longer than the capacity is
-    cut into pieces of the capacity and a rest, so nothing is lost.  No bin holds two
-    pieces of texts that agree but for case and white space (cluster), so none holds two
-    pieces of one document, nor more than source_limit pieces of a source.
-
-    Documents are packed in shards of about shard_rows: by a hash, or with in_order by
-    their place in the files that docs was read from, so that each shard keeps the mix
-    of an ordered table.  Null texts have length 1 and no cluster; a null source is a
-    source; rows without an id are packed with a null id; repeated rows are separate
-    pieces of one cluster.  Other columns are ignored.  An empty table gives no bins.
+    cut into pieces of the capacity and a rest, so nothing is lost.  A cluster is what
+    cluster_col says, such as the class of a near-duplicate join; without it, the texts
+    that agree but for case and white space.  No bin holds two pieces of a cluster, so none
+    holds two pieces of one document, nor more than source_limit pieces of a source.
+
+    Documents are packed in shards of about shard_rows: by a hash of their place in their
+    files, so that equal rows are spread, or with in_order along the files, so that each
+    shard keeps the mix of an ordered table.  Null texts have length 1, and without
+    cluster_col no cluster; a null source is a source; rows without an id are packed with
+    a null id; repeated rows are separate pieces of one cluster.  Other columns are
+    ignored.  An empty table gives no bins.
     """
-    text = F.col("text")
-    rows = docs
-    n = None
+    own = ["doc_id", "text", "source", *([cluster_col] if cluster_col else [])]
+    rows = placed_rows(docs.select(*map(column, own)))
     if in_order:
-        try:
-            rows = docs.select("doc_id", "text", "source", F.xxhash64("_metadata.file_name", F.floor(F.col("_metadata.row_index") / shard_rows)).alias("shard"))
-            n = 0
-        except AnalysisException:  # not read from files: there is no order to keep
-            n = None
-    if n is None:
-        n = docs.count()
-        shards = max(1, -(-n // shard_rows))
-        rows = docs.select("doc_id", "text", "source", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"))
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
+        shard = F.xxhash64("file", F.call_function("div", F.col("at"), F.lit(shard_rows)))
+    else:
+        shard = F.pmod("place", F.lit(max(1, -(-rows.count() // shard_rows))))
+    text = F.col("row")["text"]
+    if cluster_col:
+        cluster = F.when(F.col("row")[cluster_col].isNotNull(), F.xxhash64(F.col("row")[cluster_col]))
+    else:
+        cluster = F.when(text.isNotNull(), F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))))
     items = rows.select(
-        "shard",
-        F.col("doc_id").cast("long").alias("doc_id"),
+        shard.alias("shard"),
+        F.col("row")["doc_id"].cast("long").alias("doc_id"),
         (F.coalesce(F.regexp_count(text, F.lit(WORD_SPLIT)), F.lit(0)) + 1).cast("long").alias("n"),
-        F.col("source").cast("string").alias("source"),
-        F.when(text.isNotNull(), F.xxhash64(plain)).alias("cluster"),
+        F.col("row")["source"].cast("string").alias("source"),
+        cluster.alias("cluster"),
     )
     return map_groups(items, ["shard"], _pack(capacity, source_limit), "shard long, bin long, doc_id long, piece long, start long, length long, source string, cluster long")
