@@ -8,8 +8,9 @@ exceeds the quantile times the squared distance of the k-th best: each better po
 missed with a probability of at most 1 - SURE.
 
 The upper levels of one kd-tree over the projections deal the vectors to cells; within a
-cell's blocks a lower tree orders small leaves by their distance.  A query first searches
-its own cell, and with the bound found there only the cells that the test leaves open.
+cell's blocks a lower tree of small leaves gives the projected neighbours one after another.
+A query first searches its own cell, and with the bound found there only the cells that the
+test leaves open.  Queries travel to the blocks, and a block's vectors stay where they are.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scholia.llm.groups import map_groups
 from scholia.llm.staging import staged
 
 #: Projected dimensions; even, for the closed form of the quantile.
-M = 8
+M = 16
 #: Probability with which a better point would have been met before the stop.
-SURE = 0.97
-#: Vectors, about, that the upper tree is fitted on at most; all vectors are indexed.
-SAMPLE = 16384
-#: Vectors of a block, queries of a block, and points of a leaf.
-BLOCK, QUERY_BLOCK, LEAF = 8192, 4096, 256
-#: Levels of the upper tree at most, so that its size is bounded.
-MAX_DEPTH = 10
+SURE = 0.92
+#: Vectors, about, whose projections the upper tree is fitted on: so many a cell, and so many at least and at most.
+CELL_SAMPLE, MIN_SAMPLE, MAX_SAMPLE = 8, 16384, 1 << 20
+#: Vectors of a block, and points of a leaf.
+BLOCK, LEAF = 8192, 32
+#: Points that are verified between two tests.
+STEP = 32
 
 
 def chi_square_quantile(p: float, m: int = M) -> float:
@@ -51,8 +52,14 @@ def directions(dims: int, seed: int = 1) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dims, M))
 
 
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component goes first, so that no square over- or underflows."""
+    scaled = vectors / np.abs(vectors).max(1)[:, None]
+    return scaled / np.sqrt((scaled * scaled).sum(1))[:, None]
+
+
 def projected(vectors: np.ndarray, dirs: np.ndarray) -> np.ndarray:
-    return (vectors / np.sqrt((vectors * vectors).sum(1))[:, None]) @ dirs
+    return unit_rows(vectors) @ dirs
 
 
 class UpperTree:
@@ -114,71 +121,115 @@ def leaves(points: np.ndarray, size: int = LEAF) -> list[np.ndarray]:
     return out
 
 
-def _matrix(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
-    part = column.take(pa.array(rows)).combine_chunks()
-    return part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+class Block:
+    """The distinct vectors of a block below a kd-tree of small leaves."""
+
+    def __init__(self, vectors: np.ndarray, dirs: np.ndarray):
+        unit, self.dirs = unit_rows(vectors), dirs
+        low = unit @ dirs
+        parts = leaves(low)
+        self.order = np.concatenate(parts)
+        self.begin = np.cumsum([0] + [len(p) for p in parts])
+        self.unit, self.low = unit[self.order], low[self.order]
+        self.lows, self.highs = np.stack([low[p].min(0) for p in parts]), np.stack([low[p].max(0) for p in parts])
+        self.verified = 0
+
+    def near(self, ask: np.ndarray, bound: np.ndarray, k: int, quantile: float) -> Iterator[np.ndarray]:
+        """For each query vector the points found, at least the k best of those met before the stop.
+
+        bound is the squared distance of the k-th best point known from elsewhere.
+        """
+        unit = unit_rows(ask)
+        low = unit @ self.dirs
+        for q, p, far, box in zip(unit, low, bound.tolist(), box_squared(low, self.lows, self.highs)):
+            yield self.order[self._one(q, p, far, box, k, quantile)]
+
+    def _one(self, q: np.ndarray, p: np.ndarray, far: float, box: np.ndarray, k: int, quantile: float) -> np.ndarray:
+        by_box = box.argsort()
+        at, near, best, opened, width = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0, 4
+        which = np.zeros(0, np.int64)
+        while True:
+            # leaves in the order of their distance; points nearer than the next leaf come now
+            new = by_box[opened : opened + width]
+            opened, width = opened + len(new), 2 * width
+            new = new[box[new] <= quantile * far]
+            if len(new):
+                points = np.concatenate([np.arange(self.begin[x], self.begin[x + 1]) for x in new.tolist()])
+                d = self.low[points] - p
+                at, near = np.concatenate([at, points]), np.concatenate([near, np.einsum("ij,ij->i", d, d)])
+            limit = box[by_box[opened]] if opened < len(by_box) else math.inf
+            ready = near <= limit
+            now = np.flatnonzero(ready)
+            now = now[near[now].argsort()]
+            for i in range(0, len(now), STEP):
+                if near[now[i]] > quantile * far:
+                    return which
+                step = at[now[i : i + STEP]]
+                self.verified += len(step)
+                best, which = np.concatenate([best, self.unit[step] @ q]), np.concatenate([which, step])
+                if len(best) > k:
+                    keep = np.argpartition(-best, k - 1)[:k]
+                    # all that tie with the last of them stay
+                    keep = np.flatnonzero(best >= best[keep].min() - 1e-12)
+                    best, which = best[keep], which[keep]
+                if len(best) >= k:
+                    far = min(far, max(0.0, 2 - 2 * float(best.min())))
+            if limit > quantile * far or limit == math.inf:
+                return which
+            at, near = at[~ready], near[~ready]
 
 
 def _search(k: int, dirs: np.ndarray, quantile: float):
-    """Best points for the queries of a block: rows (query_id, vec_id, score)."""
+    """Rows (qid, ids, score) of the points found, from rows sorted by cell, block and query.
 
-    def fn(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        is_query = table.column("query").to_numpy(zero_copy_only=False)
-        mine, asked = np.flatnonzero(~is_query), np.flatnonzero(is_query)
-        if not len(mine) or not len(asked):
-            return
-        data, ask = _matrix(table.column("vec"), mine), _matrix(table.column("vec"), asked)
-        ids = table.column("ids").take(pa.array(mine)).to_pylist()
-        own = table.column("ids").take(pa.array(asked)).combine_chunks().flatten().to_numpy()
-        bound = table.column("bound").take(pa.array(asked)).to_numpy(zero_copy_only=False).astype(float)
-        unit = data / np.sqrt((data * data).sum(1))[:, None]
-        unit_q = ask / np.sqrt((ask * ask).sum(1))[:, None]
-        low_d, low_q = unit @ dirs, unit_q @ dirs
-        parts = leaves(low_d)
-        lows, highs = np.stack([low_d[p].min(0) for p in parts]), np.stack([low_d[p].max(0) for p in parts])
-        box = box_squared(low_q, lows, highs)
-        order = box.argsort(1)
-        # the k + 1 best distinct vectors seen so far: one of them may be the query itself
-        best = np.full((len(asked), k + 1), -np.inf)
-        which = np.full((len(asked), k + 1), -1)
-        single = [len(set(x)) == 1 and x[0] for x in ids]
-        alone = np.array([x if x is not False else -1 for x in single], dtype=np.int64)
-        is_alone = np.array([x is not False for x in single])
-        active = np.arange(len(asked))
-        for r in range(len(parts)):
-            nearest = box[active, order[active, r]]
-            active = active[nearest <= quantile * bound[active]]
-            if not len(active):
-                break
-            goal = order[active, r]
-            by = np.argsort(goal, kind="stable")
-            cuts = np.flatnonzero(np.diff(goal[by])) + 1
-            for group in np.split(by, cuts):
-                q, part = active[group], parts[goal[group[0]]]
-                score = unit_q[q] @ unit[part].T
-                # a vector that only the query itself has is no candidate
-                score[is_alone[part][None, :] & (alone[part][None, :] == own[q][:, None])] = -np.inf
-                all_s = np.concatenate([best[q], score], 1)
-                all_w = np.concatenate([which[q], np.broadcast_to(part, score.shape)], 1)
-                take = np.argpartition(-all_s, k, axis=1)[:, : k + 1] if all_s.shape[1] > k + 1 else np.argsort(-all_s, 1)
-                best[q], which[q] = np.take_along_axis(all_s, take, 1), np.take_along_axis(all_w, take, 1)
-            found = np.sort(best[active], 1)[:, ::-1][:, k - 1]
-            bound[active] = np.minimum(bound[active], np.where(found > -np.inf, np.maximum(0, 2 - 2 * found), np.inf))
-        q, j = np.nonzero(which >= 0)
-        row = which[q, j]
-        a, b = ask[q], data[row]
-        score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-        count = np.array([len(ids[x]) for x in row], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(own[q], count)), pa.array([i for x in row for i in ids[x]], pa.int64()), pa.array(np.repeat(score, count))], names=["query_id", "vec_id", "score"]
-        )
-
-    return fn
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.where("vec_id <> query_id").distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    A block's vectors come before the queries, which stream past them batch by batch.
+    """
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 1024):
+                    yield batch.slice(i, 1024)
+
+        here, held, block, data, ids = None, [], None, None, None
+        for part in cut():
+            table = pa.Table.from_batches([part])
+            cell, number, asks = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("cell", "block", "query"))
+            new = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])]).tolist() + [len(cell)]
+            for a, b in zip(new, new[1:]):
+                rows = table.slice(a, b - a)
+                if here != (cell[a], number[a]):
+                    here, held, block = (cell[a], number[a]), [], None
+                if not asks[a]:
+                    held.append(rows.select(["vec", "ids"]))
+                    continue
+                if held:
+                    whole = pa.concat_tables(held)
+                    data, ids, held = _matrix(whole.column("vec")), whole.column("ids").combine_chunks(), []
+                    block = Block(data, dirs)
+                if block is None:
+                    continue
+                ask = _matrix(rows.column("vec"))
+                found = list(block.near(ask, rows.column("bound").to_numpy().astype(float), k, quantile))
+                q, row = np.repeat(np.arange(len(ask)), [len(f) for f in found]), np.concatenate(found)
+                x, y = ask[q], data[row]
+                x, y = x / np.abs(x).max(1)[:, None], y / np.abs(y).max(1)[:, None]
+                score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+                yield pa.RecordBatch.from_arrays([rows.column("qid").combine_chunks().take(pa.array(q)), ids.take(pa.array(row)), pa.array(score)], names=["qid", "ids", "score"])
+
+    return task
+
+
+def _best(found: DataFrame, key: str, k: int) -> DataFrame:
+    """The k best (key, vec_id, score), with their rank; a vec_id counts once, with its best score."""
+    by = Window.partitionBy(key).orderBy(F.desc("score"), "vec_id")
+    return found.groupBy(key, "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, sure: float = SURE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -190,68 +241,93 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, sure: float = SURE, id_col
     candidates.  Vectors that are null or zero, or hold null or non-finite components,
     take no part, nor do rows without an id, nor vectors of another length than most have
     (the longer one on a tie).  Equal vectors are searched as one with their k + 1
-    smallest ids, which loses nothing.  Repeated rows count once.  An empty table gives
-    an empty result.
+    smallest ids, and asked as one, which loses nothing.  Repeated rows count once, and an
+    id with several vectors has the best score of them.  An empty table gives an empty
+    result.
+
+    The upper tree is fitted on the projections of a sample by a threshold on a hash, of
+    CELL_SAMPLE vectors for each cell and MAX_SAMPLE at most; every vector is indexed.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col)
+    exact = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    v = v if exact else v.cast("array<double>")
+    kind = "float" if exact else "double"
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("vec"), is_query.alias("query"))
+    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("query"))
     shape = rows.groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, n = shape
     rows = rows.where(F.size("vec") == dims)
     few = lambda x: F.slice(F.array_sort(F.array_distinct(x)), 1, k + 1)
-    salted = rows.groupBy("vec", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // BLOCK))).alias("salt")).agg(few(F.collect_list("vec_id")).alias("ids"))
-    distinct = salted.groupBy("vec").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
+    salted = rows.groupBy("vec", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // BLOCK))).alias("salt")).agg(few(F.collect_list("vec_id")).alias("ids"), F.max("query").alias("query"))
+    distinct = salted.groupBy("vec").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("query").alias("query"))
     dirs = directions(dims)
-    # by a threshold on a hash: about SAMPLE rows of any number, and no top-k of every partition
-    share = min(1.0, SAMPLE / n)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").toPandas()["vec"]
-    points = np.stack(sample.to_list()).astype(float) if len(sample) else np.ones((1, dims))
-    tree = UpperTree(projected(points, dirs), min(MAX_DEPTH, max(0, math.ceil(math.log2(n / BLOCK)))))
+
+    def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                low = projected(_matrix(batch.column(0)), dirs).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(low[:, d]) for d in range(M)], names=[f"p{d}" for d in range(M)])
+
+    depth = max(0, math.ceil(math.log2(n / BLOCK)))
+    share = min(1.0, max(MIN_SAMPLE, min(MAX_SAMPLE, CELL_SAMPLE << depth)) / n)
+    if depth:
+        sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec")
+        found = sample.mapInArrow(project, ", ".join(f"p{d} float" for d in range(M))).toArrow()
+        points = np.stack([found.column(d).to_numpy() for d in range(M)], 1).astype(np.float64)
+        depth = min(depth, int(math.log2(max(1.0, len(points) / CELL_SAMPLE))))
+    else:
+        points = np.zeros((0, M))
+    tree = UpperTree(points, depth)
+    shared = spark.sparkContext.broadcast(tree)
     quantile = chi_square_quantile(sure)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                t = pa.Table.from_batches([batch])
-                cell = tree.cell(projected(_matrix(t.column("vec"), np.arange(batch.num_rows)), dirs))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["vec", "ids", "cell"])
+                cell = shared.value.cell(projected(_matrix(batch.column(0)), dirs))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["vec", "ids", "query", "cell"])
 
-    shape_of = "vec array<float>, ids array<long>, cell long"
-    data = staged(distinct.mapInArrow(place, shape_of), "vectors")
-    asking = staged(rows.where("query").select("vec", F.array("vec_id").alias("ids")).distinct().mapInArrow(place, shape_of), "queries")
+    data = staged(distinct.mapInArrow(place, f"vec array<{kind}>, ids array<long>, query boolean, cell long"), "vectors")
+    # a vector is named by its smallest id and its hash: one id may have several vectors
+    asking = data.where("query").select(F.struct(F.get("ids", F.lit(0)).alias("id"), F.xxhash64("vec").alias("hash")).alias("qid"), "vec", "cell")
     blocks = data.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    q_blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-    block_of = F.pmod(F.xxhash64("ids", F.lit(3)), F.col("blocks")).cast("int")
-    spread = data.join(F.broadcast(blocks), "cell").select("cell", block_of.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"), F.lit(False).alias("query"), "vec", "ids", F.lit(None).cast("double").alias("bound"))
+    block_of = F.pmod(F.xxhash64("vec", F.lit(3)), F.col("blocks")).cast("int")
+    none = F.lit(None)
+    kept = data.join(F.broadcast(blocks), "cell").select("cell", block_of.alias("block"), F.lit(False).alias("query"), none.cast("struct<id:bigint,hash:bigint>").alias("qid"), "vec", "ids", none.cast("double").alias("bound"))
 
     def search(queries: DataFrame) -> DataFrame:
-        part = F.pmod(F.xxhash64("ids", F.lit(5)), F.lit(q_blocks)).cast("int")
-        sent = queries.join(F.broadcast(blocks), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(True).alias("query"), "vec", "ids", "bound")
-        found = map_groups(spread.union(sent), ["cell", "block", "part"], _search(k, dirs, quantile), "query_id long, vec_id long, score double")
-        return staged(_best(found, k).select("query_id", "vec_id", "score"), "nearest")
-
-    near = search(asking.withColumn("bound", F.lit(float("inf"))))
-    if tree.depth == 0:
-        return _best(near, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-    kth = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).where(F.col("n") >= k)
-    bounded = asking.join(kth.select(F.array("query_id").alias("ids"), (2 - 2 * F.col("s")).alias("bound")), "ids", "left").select("vec", "ids", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-
-    def open_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                t = pa.Table.from_batches([batch])
-                far = tree.squared(projected(_matrix(t.column("vec"), np.arange(batch.num_rows)), dirs))
-                bound = batch.column("bound").to_numpy(zero_copy_only=False)
-                own = batch.column("cell").to_numpy(zero_copy_only=False)
-                go = far <= quantile * np.maximum(bound, 0)[:, None]
-                go[np.arange(len(own)), own] = False
-                q, cell = np.nonzero(go)
-                part = t.take(pa.array(q)).combine_chunks()
-                yield from part.set_column(2, "cell", pa.array(cell)).to_batches()
-
-    more = search(bounded.mapInArrow(open_cells, "vec array<float>, ids array<long>, cell long, bound double"))
-    return _best(near.union(more), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        sent = queries.join(F.broadcast(blocks), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "qid", "vec", none.cast("array<long>").alias("ids"), "bound")
+        met = kept.union(sent).repartition("cell", "block").sortWithinPartitions("cell", "block", "query")
+        found = met.mapInArrow(_search(k + 1, dirs, quantile), "qid struct<id:bigint,hash:bigint>, ids array<long>, score double")
+        return staged(_best(found.select("qid", F.explode("ids").alias("vec_id"), "score"), "qid", k + 1).select("qid", "vec_id", "score"), "nearest")
+
+    found = search(asking.withColumn("bound", F.lit(float("inf"))))
+    if depth:
+        kth = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).where(F.col("n") > k)
+        bounded = asking.join(kth.select("qid", (2 - 2 * F.col("s")).alias("bound")), "qid", "left").select("vec", "qid", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+
+        def open_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, (1 << 20) >> depth)
+            for whole in batches:
+                for i in range(0, whole.num_rows, step):
+                    batch = whole.slice(i, step)
+                    far = shared.value.squared(projected(_matrix(batch.column(0)), dirs))
+                    bound = batch.column(3).to_numpy(zero_copy_only=False)
+                    own = batch.column(2).to_numpy(zero_copy_only=False)
+                    go = far <= quantile * np.maximum(bound, 0)[:, None]
+                    go[np.arange(len(own)), own] = False
+                    q, cell = np.nonzero(go)
+                    for j in range(0, len(q), 4096):
+                        part = batch.take(pa.array(q[j : j + 4096]))
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell[j : j + 4096]), part.column(3)], names=["vec", "qid", "cell", "bound"])
+
+        more = search(bounded.mapInArrow(open_cells, f"vec array<{kind}>, qid struct<id:bigint,hash:bigint>, cell long, bound double"))
+        found = staged(_best(found.union(more), "qid", k + 1).select("qid", "vec_id", "score"), "nearest")
+    # each query of a vector has the vector's neighbours but for itself
+    who = rows.where("query").select(F.col("vec_id").alias("query_id"), "vec").distinct()
+    named = who.join(asking.select("qid", "vec"), "vec").select("query_id", "qid")
+    result = _best(named.join(found, "qid").where("query_id <> vec_id").select("query_id", "vec_id", "score"), "query_id", k)
+    return result.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

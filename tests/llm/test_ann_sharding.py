@@ -5,13 +5,31 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholia.llm import ann
-from scholia.llm.sharding import ShardStore, shard_in_arrivals
+from scholia.llm.sharding import ShardStore, VersionTaken, shard_in_arrivals
 
 
 def test_quantile():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
 
 
+def test_fewer_vectors_are_verified_than_there_are():
+    rng = np.random.default_rng(7)
+    v, dirs = rng.normal(size=(4000, 64)), ann.directions(64)
+    v[:2000] += 1.5 * rng.normal(size=(40, 64)).repeat(50, 0)  # half in clusters
+    block = ann.Block(v, dirs)
+    ask = v[::50]
+    quantile = ann.chi_square_quantile(ann.SURE, ann.M)
+    found = list(block.near(ask, np.full(len(ask), np.inf), 6, quantile))
+    unit = ann.unit_rows(v)
+    best = np.argsort(-(unit[::50] @ unit.T), 1)[:, :6]
+    hits = sum(len(set(f.tolist()) & set(b.tolist())) for f, b in zip(found, best))
+    assert hits >= 0.9 * best.size and block.verified < 0.6 * len(ask) * len(v)
+    # with a bound from elsewhere nothing beyond it is met
+    again = ann.Block(v, dirs)
+    list(again.near(ask, np.full(len(ask), 0.01), 6, quantile))
+    assert again.verified < 0.05 * len(ask) * len(v)
+
+
 @pytest.mark.parametrize("block", [64, 8192])
 def test_recall_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ann, "BLOCK", block)
@@ -43,6 +61,12 @@ def test_recall_against_brute_force(spark, monkeypatch, block):
     assert hits >= 0.9 * total
 
 
+def test_double_precision_and_ids_with_two_vectors(spark):
+    rows = [(0, [1.0, 1e-12]), (1, [1.0, 2e-12]), (2, [1e200, 1e200]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3] and got[2].score == pytest.approx(1e-12, rel=1e-9)
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
@@ -75,7 +99,79 @@ def test_versions_are_immutable(spark, tmp_path):
     assert {r.doc_id for r in store.rows(one).select("row.doc_id").collect()} == before
     assert store.rows().count() == 41
     # a version that another writer has committed can't be overwritten
-    with pytest.raises(Exception):
+    with pytest.raises(VersionTaken):
         store._commit(store.manifest(), three)
     store.vacuum()
     assert store.versions() == [three] and store.rows().count() == 41
+
+
+def test_a_crash_before_the_commit_leaves_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/c"
+    rows = spark.createDataFrame([(i, "abcdefghij") for i in range(40)], "doc_id long, text string")
+
+    def crash(*_):
+        raise OSError("lost")
+
+    for attempt in ("append", "compact"):
+        store = ShardStore(spark, path, small=100, target=400)
+        with monkeypatch.context() as m:
+            m.setattr(ShardStore, "_commit", crash)
+            with pytest.raises(OSError, match="lost"):
+                store.append(rows) if attempt == "append" else store.compact()
+        have = store.versions()
+        assert (not have) if attempt == "append" else (store.rows().count() == 40)
+        # the same again, as a new driver would do it
+        store = ShardStore(spark, path, small=100, target=400)
+        store.append(rows) if attempt == "append" else store.compact()
+        assert store.rows().count() == 40 == store.manifest().agg(F.sum("n_rows")).first()[0]
+    batches = len(list((tmp_path / "c/data").glob("batch=*")))
+    store.vacuum()
+    assert len(list((tmp_path / "c/data").glob("batch=*"))) < batches
+    store.vacuum(grace_seconds=-1)  # the crashed attempts are too young before
+    assert store.rows().count() == 40 and len(list((tmp_path / "c/data").glob("batch=*"))) == 1
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/w"
+    rows = lambda k: spark.createDataFrame([(k + i, "abcdefghij") for i in range(40)], "doc_id long, text string")
+    one, two = (ShardStore(spark, path, small=100, target=400) for _ in range(2))
+    commit = ShardStore._commit
+
+    def late(self, *args):
+        """The other writer commits first."""
+        monkeypatch.setattr(ShardStore, "_commit", commit)
+        two.append(rows(1000))
+        return commit(self, *args)
+
+    for k in (0, 100):
+        monkeypatch.setattr(ShardStore, "_commit", late)
+        one.append(rows(k)) if k == 0 else one.compact()
+        assert two.rows().count() == 80 + 40 * (k > 0) == one.manifest().agg(F.sum("n_rows")).first()[0]
+    ids = [r.doc_id for r in one.rows().select("row.doc_id").collect()]
+    assert sorted(ids) == sorted([*range(40), *[1000 + i for i in range(40)] * 2])
+
+
+def test_tiers_against_plain_runs(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/t", small=100, target=1000)
+    for k in range(3):
+        store.append(spark.createDataFrame([(i, "x" * (5 + (i * 7 + k) % 40)) for i in range(100)], "doc_id long, text string"))
+    shards = sorted((r.tier, r.shard, r.n_bytes, r.batch, r.number) for r in store.manifest().collect() if r.n_bytes < 500)
+    for r in store.manifest().collect():
+        assert r.tier == max(0, math.floor(math.log(r.n_bytes / 100) / math.log(4)))
+    want, total = {}, {}
+    for tier, _, n, batch, number in shards:
+        want.setdefault((tier, total.get(tier, 0) // 1000), []).append((n, batch, number))
+        total[tier] = total.get(tier, 0) + n
+    due = [sorted((b, k) for _, b, k in run) for run in want.values() if len(run) >= 4 or (len(run) > 1 and sum(n for n, _, _ in run) >= 750)]
+    got = {}
+    for r in store.plan().collect():
+        got.setdefault(r.into, []).append((r.batch, r.number))
+    assert sorted(map(sorted, got.values())) == sorted(due)
+
+
+def test_sharding_is_native(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/n", small=1000, target=4000)
+    store.append(spark.createDataFrame([(i, "abcdefghij") for i in range(400)], "doc_id long, text string"))
+    for df in (store.rows(), store.plan(), store.manifest()):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
