@@ -83,25 +83,30 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_text", text).withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
-    w = F.col("_words")
+    taken = {c.lower() for c in docs.columns}
+    mark = "_"
+    while any(mark + x in taken for x in ("text", "words", "hashes", "lines")):
+        mark += "_"
+    t, ws, hs, ls = (mark + x for x in ("text", "words", "hashes", "lines"))
+    rows = docs.withColumn(t, text).withColumn(ws, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    w = F.col(ws)
     window = F.when(
         F.size(w) >= 5,
         F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3), F.get(w, i + 4))),
     ).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("_hashes", window).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))
-    lines = F.col("_lines")
+    rows = rows.withColumn(hs, window).withColumn(ls, F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
+    lines = F.col(ls)
     return rows.withColumns(
         {
             "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long"),
+            "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
             "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": _repeat_words(w, F.col("_hashes")).cast("long"),
+            "n_repeat_words": _repeat_words(w, F.col(hs)).cast("long"),
             "n_stop_words": F.size(F.filter(w, lambda x: x.isin(CASED))).cast("long"),
         }
-    ).drop("_text", "_words", "_hashes", "_lines")
+    ).drop(t, ws, hs, ls)
 
 
 def verdict(rules: tuple[Rule, ...] = RULES, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> tuple[Column, Column, Column]:

@@ -50,6 +50,9 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", 99, True, "w")], "doc_id long, text string, n_words int, kept boolean, other string")
     r = quality_rules(df).first()
     assert (r.n_words, r.kept, r.other) == (2, False, "w")
+    df = spark.createDataFrame([(1, "a b", "t", "w", "h", "l", "u")], "doc_id long, text string, _text string, _words string, _Hashes string, _lines string, __text string")
+    r = quality_rules(df).first()
+    assert (r._text, r._words, r._Hashes, r._lines, r["__text"], r.n_words) == ("t", "w", "h", "l", "u", 2)
 
 
 def test_no_python_in_the_plan(spark):
