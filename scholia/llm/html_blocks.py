@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -11,17 +12,22 @@ BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose content is no text of the page.
-DROPPED = "script|style|title|noscript|template|svg|math|iframe|object|textarea"
+#: Elements whose content is no text of the page: scripts, styles, drawings, embedded pages and form fields.
+DROPPED = "script|style|title|noscript|template|svg|iframe|textarea"
+#: Parts of a tag's attributes at most, and levels that a missing end tag is looked for.
+#: Both bound the work on broken pages; what is beyond is taken as text and as nested.
+_PARTS, _LEVELS = 512, 256
 #: Elements that an opening tag of the same kind closes, up to the container named.
 _SIBLINGS = {"li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 
+#: A value may hold "<" and ">" only in quotes, and a quote counts only behind "=".
+_ATTRIBUTES = rf"(?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=){{0,{_PARTS}}}+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>"
-    r"|[^<]+|<",
+    rf"|<({DROPPED})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>"
+    r"|<[!?/][^<>]*+>"
+    r"|[^<]++|<",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -70,6 +76,12 @@ def leaf_blocks(html: str) -> list[Block]:
     """The blocks that have text, in page order; white space within each is one space."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = [("#", ())]
+    open_ = Counter()  # names on the stack
+
+    def close(i: int) -> None:
+        open_.subtract(name for name, _ in stack[i:])
+        del stack[i:]
+
     parts: list[str] = []
     link, linked = 0, 0
 
@@ -104,24 +116,23 @@ def leaf_blocks(html: str) -> list[Block]:
         elif name in BLOCK:
             flush()
             if m[2]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        link = 0
-                        break
+                if open_[name] > 0:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
+                    link = 0
             else:
                 if name in _SIBLINGS:
-                    for i in range(len(stack) - 1, 0, -1):
+                    for i in range(len(stack) - 1, max(0, len(stack) - 1 - _LEVELS), -1):
                         if stack[i][0] == name:
-                            del stack[i:]
+                            close(i)
                             break
                         if stack[i][0] in _SIBLINGS[name]:
                             break
                 elif stack[-1][0] == "p":
-                    stack.pop()
+                    close(len(stack) - 1)
                 link = 0
                 above = stack[-1][1]
                 own = ["in:" + name] + ["name:" + k for k in name_kinds(m[4])] if m[4] else ["in:" + name]
+                open_[name] += 1
                 stack.append((name, above + tuple(x for x in own if x not in above)))
     flush()
     return out
@@ -136,7 +147,7 @@ def add_features(blocks: list[Block]) -> list[Block]:
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         share = b.linked / max(1, len(b.text))
-        low = b.text[:80].lower()
+        low = b.text.lower()
         length = _step(words, (2, 4, 8, 16, 32, 64))
         linkage = _step(share, (0.01, 0.3, 0.7))
         b.features = [

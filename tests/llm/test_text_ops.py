@@ -81,3 +81,16 @@ def test_blocks():
 
     page = '<title>T</title><p>one <b>t</b>wo<br>three<p class="x" title="a>b">four&amp;<!-- c --><script>no</script><ul><li>x<li>y</ul>end'
     assert [b.text for b in leaf_blocks(page)] == ["one two three", "four&", "x", "y", "end"]
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    from scholia.llm.html_blocks import leaf_blocks
+
+    began = time.time()
+    for part in ("<a ", "</ ", '<a ="', "<!-- ", "<script", "<script>", "<x y=z ", "<"):
+        leaf_blocks(part * (1_000_000 // len(part)))
+    leaf_blocks("<div>" * 100_000 + "</p>" * 100_000)
+    assert time.time() - began < 60
+    assert [b.text for b in leaf_blocks('<p>Area <math>x</math> is <object>so</object> big<p a="1" b">q')] == ["Area x is so big", "q"]
