@@ -98,6 +98,21 @@ def test_empty_and_clashing(spark):
     assert got[1].text == t and got[2].n_cut == len(t) and got[2].digest == "r"
 
 
+def test_repeated_rows_and_clashing_columns(spark):
+    shared = " ".join(words(23, 31))
+    rows = [(1, " ".join(words(40, 1)) + " " + shared), (2, shared + " " + " ".join(words(40, 2)))]
+    # a row that comes twice adds nothing to what repeats
+    once = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    twice = S.repeated_passages(spark.createDataFrame(rows + rows[1:] * 3, "doc_id long, text string")).collect()
+    assert sorted(once) == sorted(twice)
+    # two texts of one id are cut each by its own passages
+    long = " ".join(words(60, 9))
+    a, b = " ".join(words(30, 5)) + " " + long, " ".join(words(90, 6))
+    df = spark.createDataFrame([(1, long, 1, 2, 3), (2, a, 1, 2, 3), (2, b, 1, 2, 3)], "doc_id long, text string, _id int, _spans int, spans int")
+    got = {(r.doc_id, r.n_cut > 0): r for r in S.substring_dedup(df).collect()}
+    assert got[2, False].text == b and len(got[2, True].text) < len(a) and (got[1, False]._id, got[1, False]._spans, got[1, False].spans) == (1, 2, 3)
+
+
 def test_multibyte_spans_are_code_points(spark):
     shared = " ".join(w + "é" for w in words(60, 8))
     rows = [(1, "ñ " * 40 + shared), (2, "ü " * 30 + shared + " ß" * 30)]
