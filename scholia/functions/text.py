@@ -51,6 +51,15 @@ def similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.try_divide(F.levenshtein(a, b).cast("double"), longest))
 
 
+def bounded_similarity(a: ColumnOrName, b: ColumnOrName, least: float) -> Column:
+    """The similarity where it is at least so much, else null; the distance is given up beyond what that allows."""
+    a, b = _c(a), _c(b)
+    longest = F.greatest(F.length(a), F.length(b))
+    most = F.floor(longest * F.lit(1 - least) + F.lit(1e-9)).cast("int")
+    sim = F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.try_divide(F.call_function("levenshtein", a, b, most).cast("double"), longest))
+    return F.when((F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0) & (sim >= least), sim)
+
+
 def relevance(query: str, title: ColumnOrName, abstract: ColumnOrName, doi: ColumnOrName, date: ColumnOrName) -> Column:
     """How well a paper answers a query, 0 to 1: terms found, phrase, share of the title, completeness.
 
@@ -168,7 +177,7 @@ def collapsed_digits(x: ColumnOrName) -> Column:
 
 
 def bytes_text(n: ColumnOrName) -> Column:
-    """A size in decimal units with one digit behind the point."""
+    """A size in decimal units with one digit behind the point; halves are rounded up."""
     n = _c(n).cast("double")
     return (
         F.when(n >= 1e9, F.format_string("%.1f GB", n / 1e9))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import normalized_doi, normalized_title, similarity
+from scholia.functions.text import bounded_similarity, normalized_doi, normalized_title
 
 #: How far each source is trusted.
 SOURCE_WEIGHTS = {"semantic_scholar": 1.0, "openalex": 0.9, "arxiv": 0.8, "europe_pmc": 0.7, "crossref": 0.6}
 OTHER_WEIGHT = 0.5
 SIMILAR = 0.85
-_Q = 3
+#: Characters of a gram, and of the longest title whose grams are of two.
+_Q, SHORT = 4, 13
 
 
 def source_weight(source):
@@ -45,25 +46,31 @@ def leaders(papers: DataFrame) -> DataFrame:
 def similar_titles(titles: DataFrame, least: float = SIMILAR) -> DataFrame:
     """All pairs (a, b) of titles (key, title_key, at) that are similar, with b of the kind without identifier and a earlier.
 
-    The prefix filter on three-character grams loses none: texts within k edits share one
-    of their first 3 k + 1 grams in any order common to all, and the rarest first keep the
-    join small.  Candidates are verified by the bounded Levenshtein distance.
+    The prefix filter on character grams loses none: texts within k edits share one of
+    their first q k + 1 grams in any order common to all, and the rarest first keep the
+    join small.  Longer grams are rarer, but k edits may break all grams of a short text, so
+    texts up to SHORT characters have grams of two, and those that may resemble a longer one
+    grams of four, too.  Candidates are verified by the Levenshtein distance with a bound.
     """
     n = F.length("title_key")
     edits = F.floor(n * F.lit((1 - least) / least) + F.lit(1e-9)).cast("int")
     base = titles.withColumns({"n": n, "edits": edits})
-    grams = base.where(n >= _Q).withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - (_Q - 1)), lambda i: F.substring("title_key", i, F.lit(_Q))))))
+    gram = lambda q: F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring("title_key", i, F.lit(q)))
+    none = F.array().cast("array<string>")
+    short = F.when((n >= 2) & (n <= SHORT), gram(2)).otherwise(none)
+    long = F.when(n >= SHORT * least, gram(_Q)).otherwise(none)
+    grams = base.withColumn("g", F.explode(F.array_distinct(F.concat(short, long)))).withColumn("q", F.length("g"))
     often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
-    rarest = Window.partitionBy("key").orderBy("often", "g")
+    rarest = Window.partitionBy("key", "q").orderBy("often", "g")
     # repeats of a gram count once, so a title may have fewer than its prefix's length
-    prefix = grams.join(often, "g").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= _Q * F.col("edits") + 1).select("g", "key", "n", F.col("at.kind").alias("kind"))
+    prefix = grams.join(often, "g").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("q") * F.col("edits") + 1).select("g", "key", "n", F.col("at.kind").alias("kind"))
     a = prefix.select("g", F.col("key").alias("a"), F.col("n").alias("na"))
     b = prefix.where("kind = 1").select("g", F.col("key").alias("b"), F.col("n").alias("nb"))
     near = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - F.lit(1e-9)) & (F.col("a") != F.col("b"))
     pairs = a.join(b, "g").where(near).select("a", "b").distinct()
     left = titles.select(F.col("key").alias("a"), F.col("title_key").alias("ta"), F.col("at").alias("at_a"))
     right = titles.select(F.col("key").alias("b"), F.col("title_key").alias("tb"), F.col("at").alias("at_b"))
-    close = pairs.join(left, "a").join(right, "b").where("at_a < at_b").withColumn("sim", similarity("ta", "tb")).where(F.col("sim") >= least)
+    close = pairs.join(left, "a").join(right, "b").where("at_a < at_b").withColumn("sim", bounded_similarity("ta", "tb", least)).where("sim IS NOT NULL")
     same = titles.where("at.kind = 0").select(F.col("key").alias("a"), "title_key", F.col("at").alias("at_a"))
     equal = titles.where("at.kind = 1").select(F.col("key").alias("b"), "title_key").join(same, "title_key").select("a", "b", "at_a", F.lit(1.0).alias("sim"))
     return close.select("a", "b", "at_a", "sim").union(equal).groupBy("a", "b").agg(F.min("at_a").alias("at_a"), F.max("sim").alias("sim"))

@@ -56,11 +56,11 @@ MORE: dict[str, str] = {
     "reason_texts": _with("plain", "").rstrip()
     + ", "
     + _QUALITY
-    + "SELECT doc_id, CASE reject_reason WHEN 'too_short' THEN printf('too short (%d non-whitespace chars)', non_ws) WHEN 'dominant_char' THEN printf('one character is %.0f%% of the text', char_share * 100) WHEN 'low_diversity' THEN printf('only %.0f%% of the words differ', diversity * 100) ELSE printf('one 4-gram is %.0f%% of the text', gram * 100) END AS reason FROM r WHERE reject_reason IS NOT NULL",
+    + "SELECT doc_id, CASE reject_reason WHEN 'too_short' THEN printf('too short (%d non-whitespace chars)', non_ws) WHEN 'dominant_char' THEN printf('one character is %.0f%% of the text', round(char_share * 100)) WHEN 'low_diversity' THEN printf('only %.0f%% of the words differ', round(diversity * 100)) ELSE printf('one 4-gram is %.0f%% of the text', round(gram * 100)) END AS reason FROM r WHERE reject_reason IS NOT NULL",
     "identifier_kinds": "SELECT doc_id, doc_id % 4 IN (0, 2) AS is_doi, doc_id % 4 = 1 AS is_arxiv, CASE WHEN doc_id % 4 = 2 THEN CAST(doc_id AS VARCHAR) END AS arxiv_id, "
     "CASE doc_id % 4 WHEN 0 THEN '10.1_' WHEN 1 THEN '2001.' WHEN 2 THEN '10.48550_ArXiv.' ELSE 'a_b_' END || doc_id AS file_name FROM documents",
     "small_columns": "SELECT doc_id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age, "
-    "CASE WHEN n >= 1000000 THEN printf('%.1f GB', n / 1e6) WHEN n >= 1000 THEN printf('%.1f MB', n / 1e3) WHEN n >= 1 THEN printf('%.1f KB', n * 1.0::DOUBLE) ELSE printf('%.0f B', n * 1000.0::DOUBLE) END AS size, "
+    "CASE WHEN n >= 1000000 THEN printf('%.1f GB', round(n / 1e6, 1)) WHEN n >= 1000 THEN printf('%.1f MB', round(n / 1e3, 1)) WHEN n >= 1 THEN printf('%.1f KB', round(n * 1.0::DOUBLE, 1)) ELSE printf('%.0f B', n * 1000.0::DOUBLE) END AS size, "
     "CAST(floor(n * f) AS INTEGER) AS width, CAST(floor(500 * f) AS INTEGER) AS height, n * 2.0::DOUBLE AS pixels, doc_id || '.5 and 7.' || doc_id AS digits "
     "FROM (SELECT doc_id, n_chars AS n, n_chars * 37 AS s, least(1.0::DOUBLE, 1000.0::DOUBLE / greatest(n_chars, 500)) AS f FROM documents)",
     "markdown_titles": "SELECT DISTINCT conv_id, 'Conversation ' || conv_id AS title FROM conversations",
