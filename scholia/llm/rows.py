@@ -19,6 +19,12 @@ def packed(docs: DataFrame, leave: tuple[str, ...] = ()) -> Column:
     return F.struct(*[column(c) for c in docs.columns if c not in leave])
 
 
+def straight_from_files(docs: DataFrame) -> bool:
+    """Whether every row is a row of a file, with nothing done but filters and projections."""
+    steps = docs._jdf.queryExecution().analyzed().treeString().splitlines()
+    return all(x.lstrip(" +-:").split(" ")[0] in ("Project", "Filter", "Relation", "SubqueryAlias") for x in steps)
+
+
 def placed_rows(docs: DataFrame, leave: tuple[str, ...] = ()) -> DataFrame:
     """(row, place, file, at): the row as a struct, a hash of its file and number there, a hash of the file, and the number.
 
@@ -27,9 +33,10 @@ def placed_rows(docs: DataFrame, leave: tuple[str, ...] = ()) -> DataFrame:
     """
     file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     where = [F.xxhash64(file, at).alias("place"), F.xxhash64(file).alias("file"), at.alias("at")]
-    if "_metadata" not in docs.columns:
+    rows = docs.select(packed(docs, leave).alias("row"))
+    if "_metadata" not in docs.columns and straight_from_files(docs):
         try:
             return docs.select(packed(docs, leave).alias("row"), *where)
-        except AnalysisException:  # no files behind it
+        except AnalysisException:  # files of a kind without numbered rows
             pass
-    return staged(docs.select(packed(docs, leave).alias("row")), "rows").select("row", *where)
+    return staged(rows, "rows").select("row", *where)

@@ -7,6 +7,7 @@ from scholia.llm import earliest_deadline as E
 from scholia.llm import mixing as M
 from scholia.llm.mixing import mix
 from scholia.llm.packing import best_fit, pack
+from scholia.llm.rows import straight_from_files
 from tests.llm.helpers import words
 
 
@@ -144,6 +145,18 @@ def test_mixing_edges(spark):
     assert len({x.position for x in got}) == len(rows)
 
 
+def test_rows_that_come_from_one_row_of_a_file_stay_apart(spark, tmp_path):
+    spark.createDataFrame([(i, f"s{i % 3}") for i in range(50)], "doc_id long, source string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert straight_from_files(docs.where("doc_id > 3").select("source", "doc_id"))
+    twice = docs.selectExpr("doc_id", "source", "explode(array(1, 1)) AS x")
+    joined = docs.join(docs.groupBy("source").count(), "source")
+    for rows, n in ((docs, 50), (twice, 100), (joined, 50), (docs.union(docs), 100)):
+        got = mix(rows, block_rows=2).collect()
+        assert len(got) == n == len({r.position for r in got})
+        assert len(pack(rows.selectExpr("doc_id", "source", "'a b' AS text"), shard_rows=16).collect()) == n
+
+
 def test_mixing_is_native(spark):
     plan = mix(spark.createDataFrame([(1, "a")], "doc_id long, source string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
