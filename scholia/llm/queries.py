@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm.ann import nearest
+from scholia.llm.divergence import divergence
 from scholia.llm.html_text import main_text
+from scholia.llm.lexical_search import search
 from scholia.llm.lm_score import lm_scores
 from scholia.llm.mixing import mix
 from scholia.llm.near_join import near_join
-from scholia.llm.oracle import NEAR_JOIN, QUALITY_RULES
+from scholia.llm.oracle import DIVERGENCE, LEXICAL_SEARCH, NEAR_JOIN, QUALITY_RULES, URL_FILTER
 from scholia.llm.packing import pack
 from scholia.llm.quality_rules import quality_rules
 from scholia.llm.sharding import shard_in_arrivals
 from scholia.llm.staging import new_path
 from scholia.llm.substring_dedup import repeated_passages
 from scholia.llm.token_counts import token_counts
+from scholia.llm.url_filter import judge_urls
+
+#: The rules that op11 judges by.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +82,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_vectors, op3_lm_scoring, op4_token_counts, op5_html_text, op6_quality_rules, op7_best_fit_packing, op8_sharding, op9_near_join, op10_mixing)}
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": QUALITY_RULES, "op9_near_join": NEAR_JOIN}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_nearest_vectors, op3_lm_scoring, op4_token_counts, op5_html_text, op6_quality_rules, op7_best_fit_packing,
+        op8_sharding, op9_near_join, op10_mixing, op11_url_filters, op12_lexical_search, op13_source_divergence,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": QUALITY_RULES,
+    "op9_near_join": NEAR_JOIN,
+    "op11_url_filters": URL_FILTER,
+    "op12_lexical_search": LEXICAL_SEARCH,
+    "op13_source_divergence": DIVERGENCE,
+}
