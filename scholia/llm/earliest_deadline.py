@@ -17,7 +17,7 @@ handed down it, and then each segment runs by itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.staging import staged
@@ -38,20 +38,40 @@ def _none(kind: str = _JOBS) -> Column:
 
 
 def _run(released: Column, begin: Column, end: Column, coming: Column) -> Column:
-    """(left, done): the slots from begin to end, with the jobs released in them and the jobs that come in."""
+    """(left, done): the slots from begin to end, with the jobs released in the first SEGMENT of them and the jobs that come in.
+
+    While jobs are released, only as many are kept in order as there are slots up to the end
+    of the releases: of more jobs those with the latest deadlines can't have their turn
+    there.  They wait aside, and come back for the slots behind.
+    """
+    turn = begin + SEGMENT
     groups = F.concat(F.array(F.struct(begin.alias("r"), coming.alias("new"))), released)
-    steps = _let(groups, lambda g: F.transform(g, lambda x, k: F.struct(x["r"].alias("r"), F.coalesce(F.get(g, k + 1)["r"], end).alias("next"), x["new"].alias("new"))))
+    steps = _let(groups, lambda g: F.transform(g, lambda x, k: F.struct(x["r"].alias("r"), F.coalesce(F.get(g, k + 1)["r"], turn).alias("next"), x["new"].alias("new"))))
+
+    def named(jobs: Column, first: Column) -> Column:
+        return F.transform(jobs, lambda job, k: F.struct((first + k).alias("slot"), job["d"].alias("d"), job["s"].alias("s"), job["i"].alias("i")))
 
     def step(acc: Column, x: Column) -> Column:
         def take(open_: Column) -> Column:
             n = F.least(F.size(open_).cast("long"), x["next"] - x["r"]).cast("int")
-            done = F.transform(F.slice(open_, 1, n), lambda job, k: F.struct((x["r"] + k).alias("slot"), job["d"].alias("d"), job["s"].alias("s"), job["i"].alias("i")))
-            return F.struct(F.slice(open_, n + 1, F.size(open_)).alias("left"), F.concat(acc["done"], done).alias("done"))
+            room = (turn - x["next"]).cast("int")
+            return F.struct(
+                F.slice(open_, n + 1, room).alias("left"),
+                F.concat(acc["aside"], F.slice(open_, n + room + 1, F.size(open_))).alias("aside"),
+                F.concat(acc["done"], named(F.slice(open_, 1, n), x["r"])).alias("done"),
+            )
 
         return _let(F.sort_array(F.concat(acc["left"], x["new"])), take)
 
-    start = F.struct(_none().alias("left"), _none("array<struct<slot:bigint,d:bigint,s:string,i:bigint>>").alias("done"))
-    return F.aggregate(steps, start, step)
+    def behind(acc: Column) -> Column:
+        def take(open_: Column) -> Column:
+            n = F.least(F.size(open_).cast("long"), end - turn).cast("int")
+            return F.struct(F.slice(open_, n + 1, F.size(open_)).alias("left"), F.concat(acc["done"], named(F.slice(open_, 1, n), turn)).alias("done"))
+
+        return _let(F.sort_array(F.concat(acc["left"], acc["aside"])), take)
+
+    start = F.struct(_none().alias("left"), _none().alias("aside"), _none("array<struct<slot:bigint,d:bigint,s:string,i:bigint>>").alias("done"))
+    return F.aggregate(steps, start, step, behind)
 
 
 def _then(acc: Column, x: Column, most: int) -> Column:
@@ -71,29 +91,33 @@ def _nothing() -> Column:
     return F.struct(F.lit(0).cast("long").alias("idle"), _none().alias("late"), _none().alias("left"))
 
 
-def earliest_deadline(jobs: DataFrame, sources: int, last: int) -> DataFrame:
+def earliest_deadline(jobs: DataFrame, sources: int) -> DataFrame:
     """(g, s, i, slot) for jobs (g, s, i, r, d) of each group g by itself.
 
     s and i name a job in its group; r is its release and d its deadline, exclusive.  There
-    are no more than `sources` jobs open at a time in a group, and no release after `last`.
+    are no more than `sources` jobs open at a time in a group, which bounds the arrays.  A
+    segment without a release is part of the one before, so there are no more segments than
+    jobs, however far apart these are.
     """
     segment = F.call_function("div", F.col("r"), F.lit(SEGMENT))
     at = jobs.withColumn("seg", segment)
     released = at.groupBy("g", "seg", "r").agg(F.collect_list(F.struct("d", "s", "i")).alias("new"))
-    # jobs that are left over need slots in the segments that follow
-    more = -(-sources // SEGMENT)
-    after = at.groupBy("g", "seg").agg(F.count(F.lit(1))).select("g", F.explode(F.sequence(F.col("seg") + 1, F.col("seg") + more)).alias("seg"))
-    after = after.distinct().select("g", "seg", (F.col("seg") * SEGMENT).alias("r"), _none().alias("new"))
-    segments = staged(released.union(after).groupBy("g", "seg").agg(F.sort_array(F.collect_list(F.struct("r", "new"))).alias("released")), "segments")
-    begin, end = F.col("seg") * SEGMENT, (F.col("seg") + 1) * SEGMENT
-
-    alone = segments.select("g", "seg", _run(F.col("released"), begin, end, _none()).alias("run"))
+    released = released.groupBy("g", "seg").agg(F.sort_array(F.collect_list(F.struct("r", "new"))).alias("released"))
+    # a narrow row a segment
+    in_order = Window.partitionBy("g").orderBy("seg")
+    lengths = at.select("g", "seg").distinct().select("g", "seg", (F.row_number().over(in_order) - 1).cast("long").alias("k"), F.lead("seg").over(in_order).alias("next"))
+    begin = F.col("seg") * SEGMENT
+    ends = F.coalesce(F.col("next") * SEGMENT, begin + SEGMENT + sources)
+    segments = staged(released.join(lengths, ["g", "seg"]).select("g", "k", begin.alias("begin"), ends.alias("end"), "released"), "segments")
+    begin, end = F.col("begin"), F.col("end")
+
+    alone = segments.select("g", "k", begin, end, _run(F.col("released"), begin, end, _none()).alias("run"))
     late = F.slice(F.sort_array(F.transform("run.done", lambda x: F.struct(x["d"].alias("d"), x["s"].alias("s"), x["i"].alias("i"))), False), 1, sources)
-    nodes = alone.select("g", F.col("seg").alias("k"), (F.lit(SEGMENT) - F.size("run.done")).cast("long").alias("idle"), late.alias("late"), F.col("run.left").alias("left"))
+    nodes = alone.select("g", "k", (end - begin - F.size("run.done")).alias("idle"), late.alias("late"), F.col("run.left").alias("left"))
 
     # up: each level's nodes in groups of FAN neighbours, until one group is left
     levels = []
-    count = last // SEGMENT + 1 + more
+    count = segments.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0] + 1
     while True:
         up = F.call_function("div", F.col("k"), F.lit(FAN))
         groups = staged(nodes.groupBy("g", up.alias("up")).agg(F.sort_array(F.collect_list(F.struct("k", "idle", "late", "left"))).alias("below")), "summaries")
@@ -115,5 +139,5 @@ def earliest_deadline(jobs: DataFrame, sources: int, last: int) -> DataFrame:
 
         coming = into.select("g", F.explode(F.aggregate("below", start, hand)["into"]).alias("x")).select("g", "x.k", "x.left")
 
-    done = segments.join(coming.withColumnRenamed("k", "seg"), ["g", "seg"]).select("g", F.explode(_run(F.col("released"), begin, end, F.col("left"))["done"]).alias("x"))
+    done = segments.join(coming, ["g", "k"]).select("g", F.explode(_run(F.col("released"), begin, end, F.col("left"))["done"]).alias("x"))
     return done.select("g", "x.s", "x.i", "x.slot")

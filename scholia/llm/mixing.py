@@ -7,14 +7,12 @@ sum to one, all blocks meet their deadlines, so a source is always less than one
 its target.  Shares are whole parts, so releases and deadlines are exact.
 
 The schedule is made in segments of slots that run in parallel (earliest_deadline.py).
-Its work for a slot follows the number of sources that have a block open.  Where there are
-very many sources, the light ones are bundled: a bundle takes part as one source, and its
-slots are dealt to its own sources by the same rule.
+Its work for a slot follows the segment's length; what goes on from segment to segment is
+at most one block of each source.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,15 +22,12 @@ from scholia.llm.earliest_deadline import earliest_deadline
 from scholia.llm.rows import placed_rows
 from scholia.llm.staging import staged
 
-#: Weights are whole numbers of so many parts, of which a block's error is at most half of one a slot.
-PARTS = 1 << 32
+#: Weights are whole numbers of so many parts, as exact as doubles are.
+PARTS = 1 << 52
 #: Documents of a block.
 BLOCK_ROWS = 8
 #: Documents that are numbered together, a source's share of them at most.
 BUCKET_ROWS = 1024
-#: More sources than this are bundled, but for those of a 512th of the weight.
-FLAT = 1024
-HEAVY = 512
 
 _NEW = ("source_pos", "block", "slot", "position")
 
@@ -61,50 +56,25 @@ def source_weights(counts: DataFrame, weights: Mapping[str, float] | None, expon
     return rows.join(F.broadcast(total), "tail").select("key", "n", "tail", parts.alias("q"))
 
 
-def _windows(blocks: DataFrame, group: Column) -> DataFrame:
-    """Jobs of blocks (s, i, q, of), of being the parts of all sources of the group."""
-    release = _div(F.col("i") * F.col("of"), F.col("q"))
-    deadline = _div((F.col("i") + 1) * F.col("of") + F.col("q") - 1, F.col("q"))
-    return blocks.select(group.cast("long").alias("g"), "s", "i", release.alias("r"), deadline.alias("d"))
-
-
-def block_slots(blocks: DataFrame, sources: DataFrame, block_rows: int) -> DataFrame:
+def block_slots(blocks: DataFrame, sources: DataFrame) -> DataFrame:
     """(key, block, slot) for every block (key, block) of the sources (key, n, tail, q)."""
-    lines = {r.tail: r for r in sources.groupBy("tail").agg(F.count(F.lit(1)).alias("k"), F.sum("q").alias("of")).collect()}
-    if not lines:
+    whole = sources.groupBy("tail").agg(F.count(F.lit(1)).alias("k"), F.sum("q").alias("of"))  # two rows at most
+    most = whole.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
+    if not most:
         return blocks.withColumn("slot", F.lit(0).cast("long"))
-    of, single, bundles = F.lit(0).cast("long"), F.lit(True), F.lit(1)
-    for tail, r in lines.items():
-        here = F.col("tail") == F.lit(tail)
-        of = F.when(here, F.lit(r.of)).otherwise(of)
-        single = F.when(here, F.lit(r.k <= FLAT) | (F.col("q") * HEAVY >= r.of)).otherwise(single)
-        bundles = F.when(here, F.lit(math.isqrt(r.k) + 1)).otherwise(bundles)
-    bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("key"), bundles).cast("string"))
-    line = F.col("tail").cast("int")
-    # a source's last deadline, in its line's slots or in its bundle's
-    ends = lambda of: _div(_div(F.col("n") + block_rows - 1, F.lit(block_rows)) * of + F.col("q") - 1, F.col("q"))
-    plan = sources.withColumns({"of": of, "s": F.when(single, F.col("key")).otherwise(bundle)})
-    top = plan.where(single).select("s", "tail", "q", "of", ends(F.col("of")).alias("end"))
-    jobs = blocks.join(plan.where(single).select("key", "s", "tail", "q", "of"), "key").select("key", "block", "s", F.col("block").alias("i"), "tail", "q", "of")
-    if any(r.k > FLAT for r in lines.values()):
-        whole = plan.where(~single).groupBy("tail", "s").agg(F.sum("q").alias("whole"), F.count(F.lit(1)).alias("members"))
-        members = staged(plan.where(~single).join(whole, ["tail", "s"]).withColumn("end", ends(F.col("whole"))), "bundles")
-        far = members.agg(F.max("members").alias("most"), F.max("end").alias("last")).first()
-        group = F.xxhash64("s", "tail")
-        inner = _windows(blocks.join(members.select("key", "s", "tail", "q", F.col("whole").alias("of")), "key").select(F.col("key").alias("s"), F.col("block").alias("i"), "q", "of", group.alias("group")), F.col("group"))
-        inside = earliest_deadline(inner, far.most, far.last)
-        own = inside.select(F.col("s").alias("key"), F.col("i").alias("block"), F.col("slot").alias("i")).join(members.select("key", "s", "tail", F.col("whole").alias("q"), "of"), "key")
-        jobs = jobs.unionByName(own.select("key", "block", "s", "i", "tail", "q", "of"))
-        outer = members.groupBy("tail", "s").agg(F.first("whole").alias("q"), F.first("of").alias("of"), F.max("end").alias("blocks"))
-        top = top.unionByName(outer.select("s", "tail", "q", "of", _div(F.col("blocks") * F.col("of") + F.col("q") - 1, F.col("q")).alias("end")))
-    jobs = staged(jobs, "blocks")
-    far = {r.tail: r for r in top.groupBy("tail").agg(F.count(F.lit(1)).alias("k"), F.max("end").alias("end")).collect()}
-    windows = _windows(jobs.select("s", "i", "q", "of", "tail"), line)
-    slots = earliest_deadline(windows, max(r.k for r in far.values()), max(r.end for r in far.values()))
-    # what has no target comes when all others have ended
-    begin = far[False].end if False in far else 0
-    slots = slots.select((F.col("g") == 1).alias("tail"), "s", "i", (F.col("slot") + F.col("g") * begin).alias("slot"))
-    return jobs.select("key", "block", "tail", "s", "i").join(slots, ["tail", "s", "i"]).select("key", "block", "slot")
+    # the products pass 64 bits
+    block, of, q = (F.col(c).cast("decimal(19,0)") for c in ("block", "of", "q"))
+    release, deadline = _div(block * of, q), _div((block + 1) * of + q - 1, q)
+    jobs = blocks.join(sources.select("key", "tail", "q").join(F.broadcast(whole), "tail"), "key")
+    windows = jobs.select(F.col("tail").cast("long").alias("g"), F.col("key").alias("s"), F.col("block").alias("i"), release.cast("long").alias("r"), deadline.cast("long").alias("d"))
+    slots = earliest_deadline(staged(windows, "windows"), most)
+    slots = slots.select((F.col("g") == 1).alias("tail"), F.col("s").alias("key"), F.col("i").alias("block"), "slot")
+    if not sources.where("tail").isEmpty():
+        # what has no target comes when all others have ended
+        slots = staged(slots, "slots")
+        begin = slots.where("NOT tail").agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0]
+        slots = slots.withColumn("slot", F.col("slot") + F.when(F.col("tail"), begin).otherwise(0))
+    return slots.select("key", "block", "slot")
 
 
 def mix(
@@ -117,15 +87,14 @@ def mix(
     """All rows and columns of docs with source_pos, block, slot and position (long).
 
     Sorted by position the sources interleave at their weights: after any number of slots
-    a source that still has documents is less than one block off its target.  With more
-    than FLAT sources, those that are bundled are less than 1 + w / W blocks off, w being
-    the source's weight and W its bundle's.  Every row has exactly one position; when a
-    source ends its slots stay empty, so the others go on in their own proportions.  Within
-    a source the order is that of a hash of the row's place in its file, so it is the same
-    in each run over the same files, and equal rows and rows without an id are no hot group.
-
-    With given weights, sources of no weight follow when all others have ended.  There may
-    be any number of sources of up to 2**31 blocks.  A null source is a source of its own,
+    a source that still has documents is less than one block off its target, whatever the
+    number of sources.  Every row has exactly one position; when a source ends its slots
+    stay empty, so the others go on in their own proportions.  Within a source the order is
+    that of a hash of the row's place in its file, so it is the same in each run over the
+    same files, and equal rows and rows without an id are no hot group.
+
+    With given weights, sources of no weight follow when all others have ended.  The work of
+    a task follows a segment's slots, and what it holds the number of sources.  A null source is a source of its own,
     and one that is named in the weights but not in docs only leaves its share to the
     others.  An empty table gives an empty result.  Columns of the new names are replaced.
     """
@@ -143,7 +112,7 @@ def mix(
     inside = Window.partitionBy("key", "bucket").orderBy("place", "at")
     numbered = staged(ids.withColumn("k", F.row_number().over(inside)).join(starts, ["key", "bucket"]).select("key", "place", "at", (F.col("start") + F.col("k") - 1).alias("source_pos")), "numbered")
     blocks = numbered.where(F.pmod("source_pos", F.lit(block_rows)) == 0).select("key", _div(F.col("source_pos"), F.lit(block_rows)).alias("block"))
-    slots = block_slots(blocks, staged(source_weights(counts, weights, exponent), "weights"), block_rows)
+    slots = block_slots(blocks, staged(source_weights(counts, weights, exponent), "weights"))
     places = (
         numbered.withColumn("block", _div(F.col("source_pos"), F.lit(block_rows)))
         .join(slots, ["key", "block"])

@@ -4,7 +4,6 @@ from collections import Counter, defaultdict
 import pytest
 
 from scholia.llm import earliest_deadline as E
-from scholia.llm import mixing as M
 from scholia.llm.mixing import mix
 from scholia.llm.packing import best_fit, pack
 from scholia.llm.rows import straight_from_files
@@ -93,7 +92,7 @@ def test_segments_give_the_schedule_of_a_run_slot_by_slot(spark, monkeypatch, se
         # some sources end early, so that slots stay empty
         rows += [(g, f"s{k}", i, i * of // w, -(-(i + 1) * of // w)) for k, w in enumerate(q) for i in range(r.randint(1, max(1, 150 * w // of)))]
     jobs = spark.createDataFrame(rows, "g long, s string, i long, r long, d long")
-    got = {(x.g, x.s, x.i): x.slot for x in E.earliest_deadline(jobs, sources, max(x[3] for x in rows)).collect()}
+    got = {(x.g, x.s, x.i): x.slot for x in E.earliest_deadline(jobs, sources).collect()}
     want = {}
     for g in range(6):
         own = plain_deadlines([((s, i), a, b) for k, s, i, a, b in rows if k == g])
@@ -102,19 +101,26 @@ def test_segments_give_the_schedule_of_a_run_slot_by_slot(spark, monkeypatch, se
     assert all(a <= got[g, s, i] < b for g, s, i, a, b in rows)
 
 
-def test_mixing_takes_any_number_of_sources(spark, monkeypatch):
+def test_mixing_takes_any_number_of_sources(spark):
     df = spark.range(4000).selectExpr("id AS doc_id", "concat('host', id % 1500) AS source")
     got = mix(df, block_rows=1).select("doc_id", "position").collect()
     assert sorted(r.doc_id for r in got) == list(range(4000))
     assert len({r.position for r in got}) == 4000
-    # bundled sources keep to the target, too
-    monkeypatch.setattr(M, "FLAT", 8)
-    monkeypatch.setattr(M, "HEAVY", 6)
-    weights = {f"s{k}": 1 + k % 3 + 60 * (k == 5) for k in range(40)}
-    total = sum(weights.values())
-    df = spark.createDataFrame([(k, n * 30) for k, n in weights.items()], "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS doc_id")
-    got = mix(df, weights, block_rows=1).select("source", "slot").collect()
-    assert deviation([(r.source, r.slot) for r in got], {k: w / total for k, w in weights.items()}) < 1.5
+
+
+@pytest.mark.parametrize("n", [1100, 20_000])
+def test_many_sources_stay_within_a_block(spark, n):
+    # a few heavy sources among many light ones, at the default weights and segments
+    df = spark.range(n).selectExpr("concat('s', id) AS source", "CASE WHEN id < 5 THEN 20 * (id + 2) ELSE 1 + id % 3 END AS n")
+    blocks = df.selectExpr("source", "n", "explode(sequence(1, n)) AS doc_id")
+    got = mix(blocks, block_rows=1).select("source", "slot", "n").toPandas()
+    sizes = got.groupby("source").n.first()
+    w = sizes**0.5 / (sizes**0.5).sum()
+    assert got.slot.is_unique and len(got) == sizes.sum()
+    # a source's k-th block leaves it k off before it and k + 1 after it
+    own = got.sort_values("slot")
+    k, share = own.groupby("source").cumcount(), own.source.map(w)
+    assert (abs(k - own.slot * share) < 1).all() and (abs(k + 1 - (own.slot + 1) * share) < 1).all()
 
 
 def test_small_weights_do_not_drift(spark):
