@@ -42,6 +42,8 @@ MIN_DOCS = 3
 TOP = 200
 #: Different terms that a task counts before it sends them on.
 FLUSH = 1 << 19
+#: What a document adds to a count of terms: far more than a task's terms.
+_DOC = 1 << 40
 #: Sources of a tile, postings that are compared at once, and parts that a tile's terms are dealt to.
 TILE, CELLS, PARTS = 256, 1 << 20, 64
 
@@ -53,17 +55,15 @@ def _counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): partial counts of terms, and of documents that hold them."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        # a term's occurrences in the lower bits, and its documents above them
+        held: dict[tuple[str, str], dict[str, int]] = {}
         size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, holders) in held.items():
-                terms = pa.array(n.keys(), pa.string())
+            for (lang, source), seen in held.items():
+                terms, both = pa.array(seen.keys(), pa.string()), np.fromiter(seen.values(), np.int64, len(seen))
                 same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(terms), np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [same(lang), same(source), terms, pa.array(n.values(), pa.int64()), pa.array([holders[t] for t in n], pa.int64())],
-                    names=["lang", "source", "term", "n", "docs"],
-                )
+                yield pa.RecordBatch.from_arrays([same(lang), same(source), terms, pa.array(both % _DOC), pa.array(both // _DOC)], names=["lang", "source", "term", "n", "docs"])
             held.clear()
 
         for batch in batches:
@@ -72,11 +72,11 @@ def _counts(docs: DataFrame) -> DataFrame:
                 terms = _TERM.findall(text.as_py().translate(_LOWER))
                 if not terms:
                     continue
-                n, holders = held.setdefault((langs[i], sources[i]), (Counter(), Counter()))
-                before = len(n)
-                n.update(terms)
-                holders.update(set(terms))
-                size += len(n) - before
+                seen = held.setdefault((langs[i], sources[i]), {})
+                before, get = len(seen), seen.get
+                for term, n in Counter(terms).items():
+                    seen[term] = get(term, 0) + n + _DOC
+                size += len(seen) - before
                 if size >= FLUSH:
                     yield from rows()
                     size = 0
