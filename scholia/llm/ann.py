@@ -261,7 +261,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, sure: float = SURE, id_col
     dims, n = shape
     rows = rows.where(F.size("vec") == dims)
     few = lambda x: F.slice(F.array_sort(F.array_distinct(x)), 1, k + 1)
-    salted = rows.groupBy("vec", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // BLOCK))).alias("salt")).agg(few(F.collect_list("vec_id")).alias("ids"), F.max("query").alias("query"))
+    salted = rows.groupBy("vec", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // BLOCK))).alias("salt")).agg(few(F.collect_set("vec_id")).alias("ids"), F.max("query").alias("query"))
     distinct = salted.groupBy("vec").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("query").alias("query"))
     dirs = directions(dims)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -13,23 +14,20 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no text of the page: scripts, styles, drawings, embedded pages and form fields.
-DROPPED = "script|style|title|noscript|template|svg|iframe|textarea"
-#: Parts of a tag's attributes at most, and levels that a missing end tag is looked for.
-#: Both bound the work on broken pages; what is beyond is taken as text and as nested.
-_PARTS, _LEVELS = 512, 256
+DROPPED = {"script", "style", "title", "noscript", "template", "svg", "iframe", "textarea"}
+#: Levels that a missing end tag is looked for; what is beyond is taken as nested.
+_LEVELS = 256
+#: Levels above a block that are compared with those above the main group.
+_UP = 8
 #: Elements that an opening tag of the same kind closes, up to the container named.
 _SIBLINGS = {"li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 
+_BEGIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
 #: A value may hold "<" and ">" only in quotes, and a quote counts only behind "=".
-_ATTRIBUTES = rf"(?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=){{0,{_PARTS}}}+"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({DROPPED})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>"
-    r"|<[!?/][^<>]*+>"
-    r"|[^<]++|<",
-    re.S | re.I,
-)
+_ATTRIBUTES = re.compile(r"(?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+")
+_BARE_ATTRIBUTES = re.compile(r"[^<>]*+")
+_MARKUP = re.compile(r"<[!?/][^<>]*+>")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in DROPPED}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -69,18 +67,72 @@ class Block:
     ancestors: tuple[str, ...]
     tag: str
     linked: int
+    #: Numbers of the element itself and of those above it, nearest first.
+    up: tuple[int, ...] = ()
     features: list[str] = field(default_factory=list)
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, text): kind is text, open, close or break; text is the text, or a tag's attributes.
+
+    The position never goes back, so the time is linear whatever the page: a tag that is
+    cut off by another "<" is text up to there, and once a quote has run to the end of the
+    page, quotes count no more.
+    """
+    at, size, attributes = 0, len(html), _ATTRIBUTES
+    while at < size:
+        begin = html.find("<", at)
+        if begin < 0:
+            begin = size
+        if begin > at:
+            yield "text", "", html[at:begin]
+        if begin == size:
+            return
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = size if end < 0 else end + 3
+            continue
+        tag = _BEGIN.match(html, begin)
+        if tag is None:
+            markup = _MARKUP.match(html, begin)
+            if markup is None:
+                yield "text", "", "<"
+                at = begin + 1
+            else:
+                if html[begin + 1] == "!":
+                    yield "break", "", ""
+                at = markup.end()
+            continue
+        end = attributes.match(html, tag.end()).end()
+        if end >= size and attributes is _ATTRIBUTES:
+            # the rest of the page is behind a quote without an end
+            attributes = _BARE_ATTRIBUTES
+            end = attributes.match(html, tag.end()).end()
+        if end >= size or html[end] != ">":
+            yield "text", "", html[begin:end]
+            at = end
+            continue
+        name, at = tag[2].lower(), end + 1
+        if tag[1]:
+            yield "close", name, ""
+        elif name in DROPPED:
+            done = _END[name].search(html, at)
+            at = size if done is None else done.end()
+        else:
+            yield "open", name, html[tag.end() : end]
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """The blocks that have text, in page order; white space within each is one space."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = [("#", ())]
+    numbers, count = [0], 0  # of the elements on the stack
     open_ = Counter()  # names on the stack
 
     def close(i: int) -> None:
         open_.subtract(name for name, _ in stack[i:])
         del stack[i:]
+        del numbers[i:]
 
     parts: list[str] = []
     link, linked = 0, 0
@@ -93,29 +145,24 @@ def leaf_blocks(html: str) -> list[Block]:
                 text = unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append(Block(text, stack[-1][1], stack[-1][0], linked))
+                out.append(Block(text, stack[-1][1], stack[-1][0], linked, tuple(numbers[: -_UP - 1 : -1])))
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(html):
-        name = m[3]
-        if name is None:
-            s = m[0]
-            if s[0] != "<" or len(s) == 1:
-                parts.append(s)
-                if link:
-                    linked += len(s)
-            elif m[1] is None and s[1] == "!" and s[2:4] != "--":
-                flush()
-            continue
-        name = name.lower()
-        if name == "a":
-            link = max(0, link - 1) if m[2] else link + (not m[4].endswith("/"))
+    for kind, name, text in tokens(html):
+        if kind == "text":
+            parts.append(text)
+            if link:
+                linked += len(text)
+        elif kind == "break":
+            flush()
+        elif name == "a":
+            link = max(0, link - 1) if kind == "close" else link + (not text.endswith("/"))
         elif name in ("br", "hr", "img", "input"):
             parts.append(" ")
         elif name in BLOCK:
             flush()
-            if m[2]:
+            if kind == "close":
                 if open_[name] > 0:
                     close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
                     link = 0
@@ -131,25 +178,77 @@ def leaf_blocks(html: str) -> list[Block]:
                     close(len(stack) - 1)
                 link = 0
                 above = stack[-1][1]
-                own = ["in:" + name] + ["name:" + k for k in name_kinds(m[4])] if m[4] else ["in:" + name]
+                own = ["in:" + name] + ["name:" + k for k in name_kinds(text)] if text else ["in:" + name]
                 open_[name] += 1
+                count += 1
                 stack.append((name, above + tuple(x for x in own if x not in above)))
+                numbers.append(count)
     flush()
     return out
 
 
+#: Words of headings above what isn't the article, by kind.
+HEADINGS = {
+    "comment": ["comment", "comments", "reply", "replies", "responses", "discussion", "reactions", "kommentare", "commentaires", "comentarios"],
+    "side": ["related", "recommended", "popular", "trending", "latest", "share", "follow", "tags", "categories", "archive", "newsletter"],
+}
+#: Tags and kinds of names that stand around articles.
+_AROUND = {"in:nav", "in:footer", "in:aside", "in:form", "in:dialog", "name:ad", "name:nav", "name:foot", "name:side", "name:note", "name:comment", "name:form"}
+_HEADING_OF = {word: kind for kind, words in HEADINGS.items() for word in words}
+_WORD = re.compile(r"[^\W\d_]+")
+_AGO = re.compile(r"\b\d+ (?:min|minute|hour|day|week|month|year)s? ago\b")
+
+
+def _groups(blocks: list[Block]) -> list[tuple[int, ...]]:
+    """The numbers of the elements that each block's own element stands in, nearest first.
+
+    Text that stands loose beside other blocks of its element is in that element.
+    """
+    holders = {b.up[1] for b in blocks if len(b.up) > 1}
+    return [b.up if b.up[0] in holders else b.up[1:] or b.up for b in blocks]
+
+
+def _place(above: tuple[int, ...], main: tuple[int, ...]) -> str:
+    """Where a group is from the main group: how far within, or how far up and down to it."""
+    if main[0] in above:
+        return f"in{min(2, above.index(main[0]))}"
+    for i, number in enumerate(above):
+        if number in main:
+            return f"out{min(2, i)},{min(3, main.index(number))}"
+    return "far"
+
+
 def _step(value: float, bounds: tuple[float, ...]) -> int:
     return sum(value >= b for b in bounds)
 
 
 def add_features(blocks: list[Block]) -> list[Block]:
-    """Ancestor-tag and text features of each block of a page."""
+    """Ancestor-tag, text and place features of each block of a page.
+
+    The main group is the element with the most words outside links right below it, and
+    half of those one level further down, without what tags and names put around articles.
+    """
+    weight = [(b.text.count(" ") + 1) * (1 - min(1.0, b.linked / len(b.text))) for b in blocks]
+    groups = _groups(blocks)
+    mass: dict[int, float] = {}
+    for b, above, w in zip(blocks, groups, weight):
+        around = _AROUND.isdisjoint(b.ancestors)
+        for number, part in zip(above, (w, w / 2)):
+            mass[number] = mass.get(number, 0.0) + part * around
+    number = max(mass, key=lambda g: (mass[g], -g), default=-1)
+    main = next((above for above in groups if above[0] == number), (-1,))
+    total = max(1.0, sum(weight))
+    own = [i for i, above in enumerate(groups) if number in above]
+    under, holder = "", 0
+    marked = [k for k in ("in:article", "in:main", "name:main") if any(k in b.ancestors for b in blocks)]
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         share = b.linked / max(1, len(b.text))
         low = b.text.lower()
         length = _step(words, (2, 4, 8, 16, 32, 64))
         linkage = _step(share, (0.01, 0.3, 0.7))
+        place, part = _place(groups[i], main), _step(mass[groups[i][0]] / total, (0.05, 0.2, 0.5, 0.8))
+        side = "before" if not own or i < own[0] else "after" if i > own[-1] else "within"
         b.features = [
             *b.ancestors,
             "tag:" + b.tag,
@@ -159,11 +258,28 @@ def add_features(blocks: list[Block]) -> list[Block]:
             "stop" if b.text[-1] in ".!?:;\"'”’…" else "no-stop",
             f"tag-words:{b.tag},{length}",
             f"place:{_step(i / len(blocks), (0.1, 0.3, 0.7, 0.9))}",
+            "from-main:" + place,
+            f"side:{side},{place}",
+            f"group:{part}",
+            f"group-place:{part},{place}",
+            f"place-words:{place},{length}",
             "bias",
         ]
+        if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "legend", "summary") or (words <= 4 and b.text[-1] not in ".!?,;"):
+            kinds = {_HEADING_OF[w] for w in _WORD.findall(low) if w in _HEADING_OF} if words <= 6 else set()
+            if kinds:
+                under, holder = min(kinds), groups[i][0]
+                b.features.append("heading:" + under)
+            elif b.tag in ("h1", "h2", "h3"):
+                under = ""
+        if under and holder in b.up:
+            b.features.append("under:" + under)
+        if not _AROUND.isdisjoint(b.ancestors):
+            b.features += ["around", f"around:{place}"]
+        if _AGO.search(low):
+            b.features.append("ago")
         if "©" in b.text or "copyright" in low or "all rights" in low:
             b.features.append("rights")
-        for k in ("main", "article"):
-            if "in:" + k in b.ancestors:
-                b.features.append("within")
+        for k in marked:
+            b.features.append("within" if k in b.ancestors else "outside:" + k)
     return blocks

@@ -14,8 +14,8 @@ from scholia.llm.html_blocks import Block, add_features, leaf_blocks
 from scholia.llm.html_training import MARK, labelled_page
 
 #: Labelled pages that the model is fitted on, and the rounds of the fit.
-TRAINING_PAGES = 300
-ROUNDS = 160
+TRAINING_PAGES = 900
+ROUNDS = 240
 #: Pages that are decoded together.
 PAGES_AT_ONCE = 256
 

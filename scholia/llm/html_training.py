@@ -9,9 +9,16 @@ from __future__ import annotations
 
 import random
 
+from scholia.llm.html_blocks import HEADINGS
+
 #: Begins the text of each block that belongs to the article.
 MARK = "\u0001"
 
+#: How articles write their paragraphs.
+LAYOUTS = ["p"] * 8 + ["div"] * 4 + ["section", "br", "br", "span", "deep", "boxed"]
+#: Names that speak of no kind.
+PLAIN_NAMES = ["box", "row", "col", "left", "right", "inner", "block", "group", "text1", "c1", "x", "body2", "unit", "cell", "item"]
+
 _SYLLABLES = "ka lo mi ter an el os ri va ne sto pra un de le gra ti on er in".split()
 
 
@@ -40,20 +47,45 @@ class _Page:
         items = [self.linked(self.words(1, 3)) for _ in range(self.r.randint(2, 8))]
         return self.wrap(choices, "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if self.r.random() < 0.7 else " | ".join(items))
 
+    def name(self) -> str:
+        """An attribute that says nothing."""
+        r = self.r
+        made = r.choice([lambda: "css-" + "".join(r.choices("0123456789abcdef", k=6)), lambda: "".join(r.choices(_SYLLABLES, k=2)), lambda: r.choice(PLAIN_NAMES)])()
+        return r.choice(["", f' class="{made}"', f' class="{made}"', f' id="{made}"'])
+
+    def paragraph(self, kind: str, text: str) -> str:
+        """A paragraph as the page's kind of layout writes it."""
+        name = self.name() if self.r.random() < 0.3 else ""
+        if kind == "br":
+            return text + "<br><br>"
+        if kind == "span":
+            return f"<div{name}><span>{text}</span></div>"
+        if kind == "boxed":
+            return f"<div{name}><p>{text}</p></div>"
+        if kind == "deep":
+            return f"<div{name}><div>{text}</div></div>"
+        return f"<{kind}{name}>{text}</{kind}>"
+
     def article(self) -> str:
         r, out = self.r, []
         if r.random() < 0.85:
             out.append(f"<h1>{MARK}{self.words(3, 10).capitalize()}{r.choice(['', '.'])}</h1>")
         close = r.random() < 0.8
-        for _ in range(r.randint(1, 14)):
+        layout = r.choice(LAYOUTS)
+        bare = layout == "br"
+        tiny = r.random() < 0.2
+        for _ in range(r.randint(1, 2 if tiny else 14)):
             kind = r.random()
-            text = MARK + self.prose(1, 5)
-            if kind < 0.7:
+            if tiny:
+                out.append(self.paragraph(layout, (MARK if not bare or not out else "") + self.sentence(1, 5)))
+                continue
+            text = (MARK if not bare or not out or not out[-1].endswith("<br><br>") else "") + self.prose(1, 5)
+            if kind < 0.7 or (bare and 0.78 <= kind):
                 if r.random() < 0.2:
                     text = text.replace(" ", " <b>", 1) + ("</b>" if close else "")
                 if r.random() < 0.2:
                     text += " " + self.linked(self.words(1, 4)) + " " + self.sentence()
-                out.append(f"<p>{text}" + "</p>" * close)
+                out.append(f"<p>{text}" + "</p>" * close if layout == "p" else self.paragraph(layout, text))
             elif kind < 0.78:
                 out.append(f"<h2>{MARK}{self.words(1, 6).capitalize()}</h2>")
             elif kind < 0.84:
@@ -63,11 +95,15 @@ class _Page:
             elif kind < 0.91:
                 out.append(f"<table><tr><td>{MARK}{self.words(1, 4)}</td><td>{MARK}{self.words(1, 4)}</td></tr></table>")
             elif kind < 0.94:
-                out.append(f"<p>{MARK}{self.words(1, 3).capitalize()}.</p>")
+                out.append(self.paragraph(layout, f"{MARK}{self.words(1, 3).capitalize()}."))
             elif kind < 0.97:
                 out.append(self.advert())
             else:
                 out.append(self.aside())
+        if r.random() < 0.15 and not bare:
+            # parts of an article in sections of their own
+            cut = r.randint(0, len(out))
+            out = [f"<section{self.name()}>{''.join(x)}</section>" for x in (out[:cut], out[cut:]) if x]
         return "".join(out)
 
     def advert(self) -> str:
@@ -80,10 +116,20 @@ class _Page:
         return self.wrap(names, inner + "<ul>" + "".join(f"<li>{self.linked(self.words(2, 8))}</li>" for _ in range(self.r.randint(0, 5))) + "</ul>")
 
     def comments(self) -> str:
+        r = self.r
         names = [("section", 'class="comments"'), ("div", 'id="comments"'), ("div", 'class="comment-list"'), ("div", 'class="replies"'), ("ol", 'class="commentlist"')]
-        tag = self.r.choice(["p", "div", "li"])
-        body = "".join(f'<{tag} class="comment">{self.prose(1, 4)}</{tag}>' if self.r.random() < 0.5 else f"<{tag}>{self.prose(1, 4)}</{tag}>" for _ in range(self.r.randint(1, 5)))
-        return self.wrap(names, f"<h3>{self.words(1, 3)}</h3>" * (self.r.random() < 0.5) + body)
+        told = r.random() < 0.5
+        tag = r.choice(["p", "p", "div", "li"])
+        heading = r.choice([f"{r.randint(1, 99)} {{}}", "{}", "Leave a {}", "{} (" + str(r.randint(1, 50)) + ")"]).format(r.choice(HEADINGS["comment"]).capitalize())
+        body = ""
+        for _ in range(r.randint(1, 6)):
+            by = r.choice(["", "", f"<b>{self.words(1, 2).capitalize()}</b> ", f"<div>{self.words(1, 2).capitalize()} {r.randint(1, 30)} {r.choice(['hours', 'days', 'minutes'])} ago</div>"])
+            item = f"<{tag}{' class=comment' if told and r.random() < 0.5 else ''}>{self.prose(1, 4)}</{tag}>"
+            body += r.choice(["{}", f"<div{self.name()}>{{}}</div>"]).format(by + item + r.choice(["", "", f"<div>{self.linked('Reply')}</div>"]))
+        head = r.choice(["h2", "h3", "h3", "h4", "div", "b"])
+        # what no name tells mostly has a heading that does
+        body = f"<{head}>{heading if not told or r.random() < 0.5 else self.words(1, 3)}</{head}>" * (r.random() < 0.75) + body
+        return self.wrap(names, body) if told else f"<{'div' if r.random() < 0.8 else 'section'}{self.name()}>{body}</div>"
 
     def notice(self) -> str:
         names = [("div", 'class="cookie-notice"'), ("div", 'id="consent"'), ("div", 'class="notice"'), ("div", 'class="alert alert-info"'), ("div", 'class="newsletter"'), ("div", 'role="alert"'), ("dialog", "")]
@@ -104,13 +150,16 @@ class _Page:
         r = self.r
         nav = [("nav", ""), ("nav", 'class="menu"'), ("div", 'class="nav"'), ("div", 'id="menu"'), ("div", 'class="breadcrumbs"'), ("ul", 'class="navbar"')]
         around = [("article", "")] * 5 + [("article", 'class="post"'), ("div", 'class="content"'), ("div", 'id="content"'), ("div", 'class="entry-content"'), ("section", 'class="story"'), ("div", 'class="post-body"'), ("main", ""), ("main", 'id="main"'), ("div", ""), ("section", ""), ("td", "")]
+        if r.random() < 0.35:
+            around = [(r.choice(["div", "div", "section"]), self.name().strip())]
         tag, names = r.choice(around)
         inner = self.article()
         if r.random() < 0.15:
             inner += self.comments()
         if r.random() < 0.1:
             inner = f"<header><p>{self.words(2, 5)}</p></header>" + inner if tag != "article" else inner
-        body = f"<{tag}{' ' + names if names else ''}>{inner}</{tag}>"
+        # an article may stand in the page's body itself
+        body = f"<{tag}{' ' + names if names else ''}>{inner}</{tag}>" if r.random() < 0.93 else inner
         if tag == "td":
             body = f"<table><tr>{body}</tr></table>"
         if r.random() < 0.2:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.earliest_deadline import earliest_deadline
-from scholia.llm.rows import placed_rows
+from scholia.llm.rows import other_names, placed_rows
 from scholia.llm.staging import staged
 
 #: Weights are whole numbers of so many parts, as exact as doubles are.
@@ -118,6 +118,6 @@ def mix(
         .join(slots, ["key", "block"])
         .select("place", "at", "source_pos", "block", "slot", (F.col("slot") * block_rows + F.pmod("source_pos", F.lit(block_rows))).alias("position"))
     )
-    names = [c for c in docs.columns if c not in _NEW]
+    names = other_names(docs, _NEW)
     # merged at every size: the places grow with the documents
     return rows.join(places.hint("merge"), ["place", "at"]).select(*[F.col("row")[c].alias(c) for c in names], *_NEW)

@@ -14,9 +14,16 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def other_names(docs: DataFrame, new: tuple[str, ...]) -> list[str]:
+    """The columns that don't clash with new ones; names that differ in case alone are one name."""
+    taken = {c.lower() for c in new}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
 def packed(docs: DataFrame, leave: tuple[str, ...] = ()) -> Column:
     """All columns but some as one struct."""
-    return F.struct(*[column(c) for c in docs.columns if c not in leave])
+    names = other_names(docs, leave)
+    return F.struct(*map(column, names)) if names else F.struct(F.lit(None).cast("int").alias("none"))
 
 
 def straight_from_files(docs: DataFrame) -> bool:

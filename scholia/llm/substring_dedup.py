@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.llm.rows import other_names, packed
 from scholia.llm.staging import settled, staged
 from scholia.llm.textvec import mix64, sequence_hashes, slices, span_hashes, text_buffer, word_bounds
 
@@ -176,7 +177,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
 
     Of each passage the first place stays, by (id, position).  A text may become empty;
     null texts stay null with n_cut 0, as do all texts of rows without an id.  A column of
-    docs that is called n_cut is replaced.
+    docs that is called n_cut, in any case, is replaced.
     """
 
     def spans_of_docs() -> DataFrame:
@@ -184,8 +185,8 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
         return spans.agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
     spans = settled(docs.sparkSession, spans_of_docs, "spans")
-    names = [c for c in docs.columns if c != "n_cut"]
-    rows = docs.select(F.struct(*names).alias("row"))
+    names = other_names(docs, ("n_cut",))
+    rows = docs.select(packed(docs, ("n_cut",)).alias("row"))
     ident, text = F.col("row")[id_col], F.col("row")[text_col]
     # merged at every size: the spans grow with the documents, and a broadcast would fit small inputs alone
     found = rows.where(ident.isNotNull()).join(spans.hint("merge"), (ident.cast("long") == F.col("doc_id")) & (F.hash(text) == F.col("text_hash")), "left").select("row", "spans")
