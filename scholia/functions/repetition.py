@@ -1,75 +1,80 @@
-"""Repetition loops in converted text: found, counted and cut to one occurrence."""
+"""Repetition loops in converted text: found, counted, cut to one occurrence and shown, all in native expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Words of the repeated unit, and how often it may follow itself, in the order of the passes.
+from scholia.functions.text import trimmed
+
+#: Words of the repeated unit, and how often it may follow itself, in the order of the passes.
 PASSES = ((4, 3), (2, 4), (1, 5))
+#: How often a character may follow itself, and the characters of a snippet.
+CHAR_RUN, SNIPPET = 10, 120
+
+_CHARS = rf"(?s)(.)\1{{{CHAR_RUN},}}+"
 
 
-def _cut_line(line: str, n: int, most: int) -> tuple[str, int]:
-    w = line.split()
-    if len(w) < 2 * n:
-        return line, 0
-    # same[i]: the unit at i equals the one that follows it
-    run = [0] * (len(w) + 1)
-    for i in range(len(w) - 2 * n, -1, -1):
-        if w[i : i + n] == w[i + n : i + 2 * n]:
-            run[i] = 1 + (run[i + n] if i + n < len(run) else 0)
-    kept, sites, i = [], 0, 0
-    while i < len(w):
-        times = run[i] + 1
-        if i + n <= len(w) and times > most:
-            kept += w[i : i + n]
-            i += n * times
-            sites += 1
-        else:
-            kept.append(w[i])
-            i += 1
-    return " ".join(kept), sites
-
-
-def cut_words(text: str) -> tuple[str, int]:
-    """The text after the passes over word units, and the number of sites."""
-    total = 0
-    for n, most in PASSES:
-        lines = [_cut_line(line, n, most) for line in text.split("\n")]
-        text, total = "\n".join(x for x, _ in lines), total + sum(k for _, k in lines)
-    return text, total
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("sites", T.IntegerType())]))
-def _cut_words(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([cut_words(t) if t is not None else (None, 0) for t in texts], columns=["text", "sites"])
+def _loop(n: int, most: int) -> str:
+    """A unit of n words of a line that comes more than `most` times in a row; words are apart by one space."""
+    unit = rf"(?:\S++ ){{{n - 1}}}\S++" if n > 1 else r"\S++"
+    return rf"(?U)(?<!\S)({unit})(?: \1(?!\S)){{{most},}}+"
 
 
 def char_runs(text: Column) -> Column:
     """How often a character occurs more than ten times in a row."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"(?s)(.)\1{10,}")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(_CHARS)), F.lit(0))
 
 
 def without_char_runs(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)(.)\1{10,}", "$1")
+    return F.regexp_replace(text, _CHARS, "$1")
+
+
+def spaced_lines(text: Column) -> Column:
+    """Lines of two words or more with one space between words and none around them; other lines as they are."""
+    inner = F.regexp_replace(text, r"(?U)(?<=\S)[^\S\n]+(?=\S)", " ")
+    line = lambda x: F.when(F.contains(trimmed(x), F.lit(" ")), trimmed(x)).otherwise(x)
+    loose = inner.rlike(r"(?U)(?:^|\n)[^\S\n]|[^\S\n](?:\n|$)")
+    return F.when(loose, F.array_join(F.transform(F.split(inner, "\n"), line), "\n")).otherwise(inner)
+
+
+def _step(unit: tuple[int, int]):
+    loop = _loop(*unit)
+    return lambda state: F.struct(F.regexp_replace(state["text"], loop, "$1").alias("text"), (state["sites"] + F.regexp_count(state["text"], F.lit(loop))).alias("sites"))
+
+
+def cleaned(text: Column) -> Column:
+    """struct(text, sites): the text with each loop cut to one occurrence, and the number of loops.
+
+    Characters come first, then units of four words, of two and of one, each pass on what
+    the one before left.  A loop that begins further left is cut first, and what follows it
+    is looked at anew.  A null text is null, with 0 sites.
+    """
+
+    states = F.array(F.struct(spaced_lines(without_char_runs(text)).alias("text"), char_runs(text).alias("sites")))
+    for unit in PASSES:
+        # each state is bound once, so no pass is worked out again for the next
+        states = F.transform(states, _step(unit))
+    return F.transform(states, lambda s: F.struct(s["text"].alias("text"), F.coalesce(s["sites"], F.lit(0)).cast("int").alias("sites")))[0]
 
 
 def clean_repetitions(text: Column) -> tuple[Column, Column]:
-    """(clean text, sites): runs of characters natively, runs of words in Arrow batches."""
-    cut = _cut_words(without_char_runs(text))
-    return cut["text"], char_runs(text) + cut["sites"]
-
-
-@F.pandas_udf(T.StringType())
-def divergence_snippet(before: pd.Series, after: pd.Series) -> pd.Series:
-    """80 characters around the first difference; null for equal texts."""
-    out = []
-    for a, b in zip(before, after):
-        if a is None or b is None or a == b:
-            out.append(None)
-            continue
-        i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        out.append(a[max(0, i - 40) : i + 40])
-    return pd.Series(out, dtype=object)
+    """cleaned's text and sites as two columns."""
+    state = cleaned(text)
+    return state["text"], state["sites"]
+
+
+def divergence_snippet(before: Column, after: Column, window: int = SNIPPET) -> Column:
+    """So many characters around the first difference, of the text before; null for equal texts."""
+    a, b = F.split(before, ""), F.split(after, "")
+    first = F.array_position(F.zip_with(a, b, lambda x, y: x.isNull() | y.isNull() | (x != y)), True)
+    at = (first - 1).cast("int")
+    begin = F.greatest(at - window // 2, F.lit(0))
+    return F.when(before != after, F.substring(before, begin + 1, at + window // 2 - begin))
+
+
+def looping(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """id, sites and snippet of the documents with more than `threshold` loops."""
+    state = F.explode(F.array(cleaned(F.col(text_col))))
+    rows = docs.select(id_col, text_col, state.alias("_clean")).where(F.col("_clean.sites") > threshold)
+    return rows.select(id_col, F.col("_clean.sites").alias("sites"), divergence_snippet(F.col(text_col), F.col("_clean.text")).alias("snippet"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.text import bounded_similarity, normalized_doi, normalized_title
@@ -11,8 +11,8 @@ from scholia.functions.text import bounded_similarity, normalized_doi, normalize
 SOURCE_WEIGHTS = {"semantic_scholar": 1.0, "openalex": 0.9, "arxiv": 0.8, "europe_pmc": 0.7, "crossref": 0.6}
 OTHER_WEIGHT = 0.5
 SIMILAR = 0.85
-#: Characters of a gram, and of the longest title whose grams are of two.
-_Q, SHORT = 4, 13
+#: Titles that may hold a gram before it is met together with a second one.
+FREQUENT = 2000
 
 
 def source_weight(source):
@@ -43,31 +43,77 @@ def leaders(papers: DataFrame) -> DataFrame:
     return with_doi.select("key", "title_key", F.struct(F.lit(0).alias("kind"), "pos").alias("at")).union(without.select("key", "title_key", F.struct(F.lit(1).alias("kind"), "pos").alias("at")))
 
 
-def similar_titles(titles: DataFrame, least: float = SIMILAR) -> DataFrame:
+def _edits(n, least: float):
+    """The most edits between a title of so many characters and a similar one, which may be longer."""
+    return F.floor(n * F.lit((1 - least) / least) + F.lit(1e-9)).cast("int")
+
+
+def _segments(text, n, least: float):
+    """array<struct(i, at, gram)>: a title in edits + 2 even segments, at their places from 0."""
+    parts = _edits(n, least) + 2
+    begin = lambda i: F.call_function("div", i * n, parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("i"), begin(i).alias("at"), F.substring(text, begin(i) + 1, begin(i + 1) - begin(i)).alias("gram")))
+
+
+def _grams(text, n, least: float):
+    """array<struct(at, gram)>: all grams of a title of the lengths that segments of similar titles have."""
+    low, high = F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int"), F.floor(n / F.lit(least) + F.lit(1e-9)).cast("int")
+    shorter = F.transform(F.sequence(low, high), lambda l: F.call_function("div", l, _edits(l, least) + 2).cast("int"))
+    lengths = F.array_distinct(F.flatten(F.transform(shorter, lambda g: F.array(g, g + 1))))
+    of = lambda g: F.transform(F.sequence(F.lit(0), n - g), lambda i: F.struct(i.alias("at"), F.substring(text, i + 1, g).alias("gram")))
+    return F.flatten(F.transform(F.filter(lengths, lambda g: (g > 0) & (g <= n)), of))
+
+
+def _in_reach(least: float):
+    """Whether equal grams at `at` of a title of n characters and at `at_b` of one of n_b leave edits for what is before and behind them."""
+    most = F.floor(F.greatest("n", "n_b") * F.lit(1 - least) + F.lit(1e-9))
+    return F.abs(F.col("at") - F.col("at_b")) + F.abs((F.col("n") - F.col("at")) - (F.col("n_b") - F.col("at_b"))) <= most
+
+
+def candidate_titles(titles: DataFrame, least: float = SIMILAR, frequent: int = FREQUENT) -> DataFrame:
+    """Pairs (a, b) of titles (key, title_key, at) that may be similar, b of the kind without identifier.
+
+    A title b in k + 2 segments, k being the most edits to a similar title, has at least two
+    segments that no edit meets.  They are in a as they are, shifted by no more than the
+    edits before them, with room for the edits behind them.  So a is found by any such
+    segment, an equi-join of b's segments with a's grams.  Grams that more than `frequent`
+    titles hold are met in pairs: if all of b's untouched segments are frequent ones, then
+    two of them are, and a holds both.  Thus no key brings a title more than `frequent`
+    others, or those with the same two frequent grams at places in reach.
+
+    Titles of fewer than six characters have no similar ones but their equals.
+    """
+    base = titles.withColumn("n", F.length("title_key")).where("n >= 6")
+    grams = base.select("key", "n", F.inline(_grams(F.col("title_key"), F.col("n"), least)))
+    often = grams.groupBy("gram").agg(F.count_distinct("key").alias("titles")).where(F.col("titles") > frequent).select("gram", F.lit(True).alias("often"))
+    probes = base.where("at.kind = 1").select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.inline(_segments(F.col("title_key"), F.col("n"), least)).alias("i", "at_b", "gram"))
+    index, asked = grams.join(often, "gram", "left"), probes.join(often, "gram", "left")
+    reach = _in_reach(least)
+    alone = asked.where("often IS NULL").join(index.where("often IS NULL"), "gram").where(reach & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b")
+
+    # two frequent grams: what a title has of them side by side, in pairs as they follow one another
+    held = lambda rows, by, *of: rows.where("often").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*of))).alias("held"))
+    twos = lambda apart: F.inline(F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: apart(x, y)), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
+    of_a = held(index, ["key", "n"], "at", "gram").select("key", "n", twos(lambda x, y: y["at"] >= x["at"] + F.length(x["gram"])))
+    of_b = held(asked, ["b", "n_b"], F.col("at_b"), "gram").select("b", "n_b", twos(lambda x, y: y["at_b"] > x["at_b"]))
+    of_a = of_a.select("key", "n", F.col("x.gram").alias("gram"), F.col("y.gram").alias("second"), F.col("x.at").alias("at"), F.col("y.at").alias("at_second"))
+    of_b = of_b.select("b", "n_b", F.col("x.gram").alias("gram"), F.col("y.gram").alias("second"), F.col("x.at_b").alias("at_b"), F.col("y.at_b").alias("at_second_b"))
+    # the edits before, between and behind the two
+    between = F.abs((F.col("at_second") - F.col("at")) - (F.col("at_second_b") - F.col("at_b")))
+    behind = F.abs((F.col("n") - F.col("at_second")) - (F.col("n_b") - F.col("at_second_b")))
+    most = F.floor(F.greatest("n", "n_b") * F.lit(1 - least) + F.lit(1e-9))
+    near = F.abs(F.col("at") - F.col("at_b")) + between + behind <= most
+    both = of_b.join(of_a, ["gram", "second"]).where(near & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b")
+    return alone.union(both).distinct()
+
+
+def similar_titles(titles: DataFrame, least: float = SIMILAR, frequent: int = FREQUENT) -> DataFrame:
     """All pairs (a, b) of titles (key, title_key, at) that are similar, with b of the kind without identifier and a earlier.
 
-    The prefix filter on character grams loses none: texts within k edits share one of
-    their first q k + 1 grams in any order common to all, and the rarest first keep the
-    join small.  Longer grams are rarer, but k edits may break all grams of a short text, so
-    texts up to SHORT characters have grams of two, and those that may resemble a longer one
-    grams of four, too.  Candidates are verified by the Levenshtein distance with a bound.
+    Candidates come from candidate_titles, which loses none, and are verified by the
+    Levenshtein distance with a bound.
     """
-    n = F.length("title_key")
-    edits = F.floor(n * F.lit((1 - least) / least) + F.lit(1e-9)).cast("int")
-    base = titles.withColumns({"n": n, "edits": edits})
-    gram = lambda q: F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring("title_key", i, F.lit(q)))
-    none = F.array().cast("array<string>")
-    short = F.when((n >= 2) & (n <= SHORT), gram(2)).otherwise(none)
-    long = F.when(n >= SHORT * least, gram(_Q)).otherwise(none)
-    grams = base.withColumn("g", F.explode(F.array_distinct(F.concat(short, long)))).withColumn("q", F.length("g"))
-    often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
-    rarest = Window.partitionBy("key", "q").orderBy("often", "g")
-    # repeats of a gram count once, so a title may have fewer than its prefix's length
-    prefix = grams.join(often, "g").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("q") * F.col("edits") + 1).select("g", "key", "n", F.col("at.kind").alias("kind"))
-    a = prefix.select("g", F.col("key").alias("a"), F.col("n").alias("na"))
-    b = prefix.where("kind = 1").select("g", F.col("key").alias("b"), F.col("n").alias("nb"))
-    near = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - F.lit(1e-9)) & (F.col("a") != F.col("b"))
-    pairs = a.join(b, "g").where(near).select("a", "b").distinct()
+    pairs = candidate_titles(titles, least, frequent)
     left = titles.select(F.col("key").alias("a"), F.col("title_key").alias("ta"), F.col("at").alias("at_a"))
     right = titles.select(F.col("key").alias("b"), F.col("title_key").alias("tb"), F.col("at").alias("at_b"))
     close = pairs.join(left, "a").join(right, "b").where("at_a < at_b").withColumn("sim", bounded_similarity("ta", "tb", least)).where("sim IS NOT NULL")

@@ -12,11 +12,30 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Different characters up to which each is counted by a scan of the text's bytes; more of them are sorted.
+SCANNED = 128
+
+
+def _longest_run(items: Column) -> Column:
+    """The length of the longest run of equal items once they are sorted."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    longest = lambda s, b: F.array_max(F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s))), lambda x, y: y - x))
+    return _once(F.sort_array(items), lambda s: _once(starts(s), lambda b: longest(s, b)))
+
+
 def dominant_char_share(text: Column) -> Column:
-    """The largest share of one character that isn't white space; counted in characters, of the text's bytes."""
+    """The largest share of one character that isn't white space; counted in characters, of the text's bytes.
+
+    An alphabet's few characters are counted by a scan each, which is quicker than a sort;
+    texts of more characters are sorted once, so the work stays near the text's length.
+    """
     size = F.octet_length(text)
-    share = lambda t: F.array_max(F.transform(F.array_distinct(F.split(F.regexp_replace(t, r"(?U)\s+", ""), "")), lambda c: F.when(c == "", 0).otherwise(F.length(t) - F.length(F.replace(t, c, F.lit(""))))))
-    return F.when(size > 0, _once(text, share) / size).otherwise(F.lit(0.0))
+    dense = F.regexp_replace(text, r"(?U)\s+", "")
+    scans = lambda t, d: F.array_max(F.transform(d, lambda c: F.length(t) - F.length(F.replace(t, c, F.lit("")))))
+    most = lambda t, d: F.when(F.size(d) <= SCANNED, scans(t, d)).otherwise(_longest_run(F.split(t, "")))
+    different = lambda t: F.array_remove(F.array_distinct(F.split(t, "")), "")
+    share = _once(dense, lambda t: _once(different(t), lambda d: F.when(F.size(d) > 0, most(t, d)).otherwise(F.lit(0))))
+    return F.when(size > 0, share / size).otherwise(F.lit(0.0))
 
 
 def dominant_ngram_share(w: Column, n: int = 4) -> Column:

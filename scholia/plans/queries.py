@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scholia.functions import text as T
 from scholia.functions.dates import DateFilter, year_condition
 from scholia.functions.html import html_to_markdown
-from scholia.functions.repetition import char_runs, clean_repetitions, without_char_runs
+from scholia.functions.repetition import char_runs, cleaned, without_char_runs
 from scholia.operators import catalog as C
 from scholia.operators import evaluate as E
 from scholia.operators import layout as L
@@ -168,17 +168,17 @@ def metasearch_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.with_quality(table(spark, sf_dir, "documents")).select("doc_id", F.col("non_ws").cast("long").alias("non_ws"), _r(F.col("char_share"), "char_share"), _r(F.col("diversity"), "diversity"))
+    return Q.with_quality(views.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", F.col("non_ws").cast("long").alias("non_ws"), _r(F.col("char_share"), "char_share"), _r(F.col("diversity"), "diversity"))
 
 
 @query
 def quality_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.with_quality(table(spark, sf_dir, "documents")).select("doc_id", "reject_reason")
+    return Q.with_quality(views.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "reject_reason")
 
 
 @query
 def quality_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.quality_tally(Q.with_quality(table(spark, sf_dir, "documents")))
+    return Q.quality_tally(Q.with_quality(views.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 @query
@@ -189,8 +189,9 @@ def repetition_char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def repetition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean, sites = clean_repetitions(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", sites.cast("long").alias("sites"), F.length(clean).cast("long").alias("clean_chars"))
+    state = F.explode(F.array(cleaned(F.col("text")))).alias("clean")
+    rows = views.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", state)
+    return rows.select("doc_id", F.col("clean.sites").cast("long").alias("sites"), F.length("clean.text").cast("long").alias("clean_chars"))
 
 
 @query

@@ -14,6 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table that is dealt out anew, for each core.
+SMALL = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where the table is too small to be read by them all.
+
+    A file of few row groups is read by few tasks, and what they work out for each text
+    would be, too.  Only a table of known, small size is shuffled for that.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size <= SMALL * cores else rows
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as bibliographic records of six sources; the title is the first sentence, at most 120 characters of it."""
     d = table(spark, sf_dir, "documents")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scholia.functions.html import html_to_markdown
-from scholia.functions.repetition import clean_repetitions
+from scholia.functions.repetition import cleaned
 from scholia.functions.text import pages_of
 from scholia.operators.quality import is_stub, qc_verdict
 from scholia.schemas import EVENT_LINE, INGESTED
@@ -38,11 +38,11 @@ def without_repeats(rows: DataFrame, late: str = "1 hour") -> DataFrame:
 def converted(pages: DataFrame) -> DataFrame:
     """pages (key, html, duration) with markdown, sites, total_pages and outcome: ok, repetition_loop or stub."""
     rows = pages.withColumn("_md", html_to_markdown("html"))
-    text, sites = clean_repetitions(F.col("_md"))
-    rows = rows.withColumns({"markdown": text, "sites": sites}).withColumn("total_pages", F.size(pages_of("markdown")))
+    rows = rows.withColumn("_clean", F.explode(F.array(cleaned(F.col("_md")))))
+    rows = rows.withColumns({"markdown": F.col("_clean.text"), "sites": F.col("_clean.sites")}).withColumn("total_pages", F.size(pages_of("markdown")))
     bad = qc_verdict(F.col("sites"), F.col("total_pages")) != "accept"
     outcome = F.when(bad, "repetition_loop").when(is_stub(F.col("total_pages"), F.col("markdown"), F.col("duration")), "stub").otherwise("ok")
-    return rows.withColumn("outcome", outcome).drop("_md")
+    return rows.withColumn("outcome", outcome).drop("_md", "_clean")
 
 
 def latest_state(rows: DataFrame, key: str = "key") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scholia.functions import text as T
 from scholia.functions.dates import DateFilter, day_after, year_condition
 from scholia.functions.html import to_markdown
-from scholia.functions.repetition import clean_repetitions, cut_words
+from scholia.functions.repetition import clean_repetitions, cleaned, divergence_snippet, looping
 
 
 def one(spark, column, **values):
@@ -100,8 +100,51 @@ def test_relevance(spark):
     "text,want,sites",
     [("a " * 7, "a", 1), ("a a a a a", "a a a a a", 0), ("x y x y x y x y x y", "x y", 1), ("one two three four " * 4, "one two three four", 1), ("keep  this\nand this", "keep this\nand this", 0), ("P, P, P, P, P, P, end", "P, end", 1)],
 )
-def test_word_loops(text, want, sites):
-    assert cut_words(text) == (want, sites)
+def test_word_loops(spark, text, want, sites):
+    assert tuple(one(spark, cleaned(F.col("v")), v=text)) == (want, sites)
+
+
+def plain_loops(text):
+    """The passes over word units, word by word."""
+    sites = 0
+    for n, most in ((4, 3), (2, 4), (1, 5)):
+        lines = []
+        for line in text.split("\n"):
+            w, out, i = line.split(), [], 0
+            while i < len(w):
+                k = 1
+                while i + n <= len(w) and w[i : i + n] == w[i + k * n : i + (k + 1) * n]:
+                    k += 1
+                if k > most:
+                    out, i, sites = out + w[i : i + n], i + k * n, sites + 1
+                else:
+                    out, i = [*out, w[i]], i + 1
+            lines.append(line if len(w) < 2 * n else " ".join(out))
+        text = "\n".join(lines)
+    return text, sites
+
+
+def test_word_loops_of_random_texts(spark):
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "a", "b", "ab", "é", ",", "a b", " "]) + r.choice([" ", " ", " ", "  ", "\t", "\n", "\u00a0"]) for _ in range(r.randint(0, 60))) for _ in range(500)]
+    texts += [" x " * 7, " lone \n two words ", "a b " * 3000, ("w" + " q" * 4 + "\n") * 5]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string").select("i", cleaned(F.col("v")).alias("c")).collect()
+    assert {x.i: tuple(x.c) for x in got} == {i: plain_loops(t) for i, t in enumerate(texts)}
+
+
+def test_snippets_of_loops(spark):
+    long = "".join(chr(97 + i % 23) for i in range(200))
+    rows = [(1, long + " z" * 9 + " end"), (2, "fine"), (3, None), (4, "y" * 12)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: (r.sites, r.snippet) for r in looping(df, 0, "doc_id", "text").collect()}
+    assert set(got) == {1, 4} and got[4] == (1, "y" * 12)
+    # the first difference is where the second z was, and 60 characters stand on each side of it
+    at = len(long) + 3
+    assert got[1] == (1, rows[0][1][at - 60 : at + 60])
+    assert one(spark, divergence_snippet(F.col("a"), F.col("b")), a="same", b="same") is None
+    assert one(spark, divergence_snippet(F.col("a"), F.col("b")), a="abc", b="ab") == "abc"
 
 
 def test_repetitions_count_all_passes(spark):
