@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from scholia.functions.tables import canonical_table, pair_score, tables_of
 from scholia.functions.text import words
@@ -116,17 +117,8 @@ def cdm(ref: Column, hyp: Column) -> Column:
     return F.when((r == "") & (h == ""), F.lit(100.0)).when((r == "") | (h == ""), F.lit(0.0)).otherwise(F.least(f1, F.lit(100.0)))
 
 
-def table_scores(pages: DataFrame, ids: list[str], truth: str = "truth", found: str = "found") -> DataFrame:
-    """ids and teds: the mean score of the tables of each page's truth, each paired with one that was found, best pair first.
-
-    ids name a page.  A true table without a partner counts 0, a found one without a partner
-    nothing; a page without true tables scores null.  Cells are compared as normalized text.
-    """
-    cells = lambda t: F.transform(t, lambda row: F.transform(row, lambda c: F.struct(normalized_text(c["text"]).alias("text"), c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"))))
-    tables = lambda c: F.transform(tables_of(canonical_table(F.col(c))), cells)
-    rows = pages.select(*ids, tables(truth).alias("_truth"), tables(found).alias("_found")).withColumn("_n", F.size("_truth"))
-    pairs = rows.select(*ids, "_n", "_found", F.posexplode_outer("_truth").alias("_i", "_a")).select(*ids, "_n", "_i", "_a", F.posexplode_outer("_found").alias("_j", "_b"))
-    scored = pairs.select(*ids, "_n", F.struct((-pair_score("_a", "_b")).alias("s"), F.col("_i").alias("i"), F.col("_j").alias("j")).alias("p"))
+def best_pairs_total(pairs: Column) -> Column:
+    """The sum of the scores of pairs struct(s, i, j), s being the negative score: the best pair first, each i and j once."""
 
     def take(acc: Column, p: Column) -> Column:
         free = ~F.array_contains(acc["i"], p["i"]) & ~F.array_contains(acc["j"], p["j"])
@@ -137,9 +129,40 @@ def table_scores(pages: DataFrame, ids: list[str], truth: str = "truth", found:
         )
 
     none = F.array().cast("array<int>")
-    best = F.sort_array(F.collect_list(F.when(F.col("p.s").isNotNull(), F.col("p"))))
-    total = F.aggregate("_pairs", F.struct(none.alias("i"), none.alias("j"), F.lit(0.0).alias("total")), take, lambda acc: acc["total"])
-    return scored.groupBy(*ids, "_n").agg(best.alias("_pairs")).select(*ids, F.when(F.col("_n") > 0, total / F.col("_n")).alias("teds"))
+    return F.aggregate(F.sort_array(pairs), F.struct(none.alias("i"), none.alias("j"), F.lit(0.0).alias("total")), take, lambda acc: acc["total"])
+
+
+def paired_scores(rows: DataFrame, ids: list[str], score, name: str) -> DataFrame:
+    """ids and the mean score of the items of array _truth, each paired with one of _found, best pair first, in the column `name`.
+
+    A true item without a partner counts 0, a found one without a partner nothing; a row
+    without true items scores null.
+    """
+    rows = rows.withColumn("_n", F.size("_truth"))
+    pairs = rows.select(*ids, "_n", "_found", F.posexplode_outer("_truth").alias("_i", "_a")).select(*ids, "_n", "_i", "_a", F.posexplode_outer("_found").alias("_j", "_b"))
+    scored = pairs.select(*ids, "_n", F.struct((-score(F.col("_a"), F.col("_b"))).alias("s"), F.col("_i").alias("i"), F.col("_j").alias("j")).alias("p"))
+    best = F.collect_list(F.when(F.col("p.i").isNotNull() & F.col("p.j").isNotNull(), F.col("p")))
+    return scored.groupBy(*ids, "_n").agg(best.alias("_pairs")).select(*ids, F.when(F.col("_n") > 0, best_pairs_total(F.col("_pairs")) / F.col("_n")).alias(name))
+
+
+def table_scores(pages: DataFrame, ids: list[str], truth: str = "truth", found: str = "found") -> DataFrame:
+    """ids and teds: the mean score of the tables of each page's truth, each paired with one that was found, best pair first.
+
+    ids name a page.  Cells are compared as normalized text.
+    """
+    cells = lambda t: F.transform(t, lambda row: F.transform(row, lambda c: F.struct(normalized_text(c["text"]).alias("text"), c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"))))
+    tables = lambda c: F.transform(tables_of(canonical_table(F.col(c))), cells)
+    return paired_scores(pages.select(*ids, tables(truth).alias("_truth"), tables(found).alias("_found")), ids, pair_score, "teds")
+
+
+def formula_scores(pages: DataFrame, ids: list[str], truth: str = "truth", found: str = "found") -> DataFrame:
+    """ids and cdm: the mean score of the formulas of each page's truth, each paired with one that was found, best pair first.
+
+    truth and found are arrays of LaTeX texts; ids name a page.
+    """
+    none = F.array().cast("array<string>")
+    rows = pages.select(*ids, *[F.array_compact(F.coalesce(F.col(c), none)).alias(n) for c, n in ((truth, "_truth"), (found, "_found"))])
+    return paired_scores(rows, ids, cdm, "cdm")
 
 
 def composite(text: Column, table: Column, formula: Column, has_text: Column) -> Column:
@@ -162,21 +185,30 @@ def means(pages: DataFrame) -> DataFrame:
 def scored_pages(pages: DataFrame) -> DataFrame:
     """pages (id, text, formula, tables; found_text, found_formula, found_tables) with ned, bleu, text, table, formula and composite scores.
 
-    A page that failed, whose found_text is null, scores ned 1 and 0 for the others.  Tables
-    and formulas score only where the truth has some.
+    formula and found_formula are a LaTeX text or an array of them.  Tables and formulas
+    score only where the truth has some.  A page that failed, whose found_text is null,
+    scores ned 1, bleu and composite 0, and text 0 where the truth has text; it has no
+    table, formula or other text score, and counts in none of their means.
     """
     failed = F.col("found_text").isNull()
-    tables = table_scores(pages.select("id", F.col("tables").alias("truth"), F.col("found_tables").alias("found")), ["id"])
-    rows = pages.join(tables, "id")
-    zero = lambda score: F.when(failed, F.lit(0.0)).otherwise(score)
     has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+
+    def formulas(c: str) -> Column:
+        if isinstance(pages.schema[c].dataType, ArrayType):
+            return F.filter(F.col(c), has)
+        return F.when(has(c), F.array(c)).otherwise(F.array().cast("array<string>"))
+
+    tables = table_scores(pages.select("id", F.col("tables").alias("truth"), F.col("found_tables").alias("found")), ["id"])
+    cdms = formula_scores(pages.select("id", formulas("formula").alias("truth"), formulas("found_formula").alias("found")), ["id"])
+    rows = pages.join(tables, "id").join(cdms, "id")
+    if_good = lambda score: F.when(~failed, score)
     out = rows.select(
         "id",
         F.when(failed, F.lit(1.0)).otherwise(page_ned(F.col("text"), F.col("found_text"))).alias("ned"),
-        zero(bleu4(F.coalesce("text", F.lit("")), F.coalesce("found_text", F.lit("")))).alias("bleu"),
-        zero(text_score(F.col("text"), F.col("found_text"))).alias("score"),
-        F.col("teds").alias("table"),
-        F.when(has("formula"), zero(cdm(F.col("formula"), F.coalesce("found_formula", F.lit(""))))).alias("formula"),
+        F.when(failed, F.lit(0.0)).otherwise(bleu4(F.coalesce("text", F.lit("")), F.coalesce("found_text", F.lit("")))).alias("bleu"),
+        F.when(failed, F.when(has("text"), 0.0)).otherwise(text_score(F.col("text"), F.col("found_text"))).alias("score"),
+        if_good(F.col("teds")).alias("table"),
+        if_good(F.col("cdm")).alias("formula"),
         has("text").alias("has_text"),
         failed.alias("failed"),
     )
