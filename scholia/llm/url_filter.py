@@ -24,7 +24,8 @@ LISTED = 256
 Rules = Sequence[tuple[str, str]] | DataFrame
 
 _COMMENT_OR_CODE = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|noscript)\b.*?(?:</\1\s*>|\z)"
-_TAG = r"(?i)<(?:link|meta)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>"
+#: Outside of quotes "<" ends a tag that isn't closed, so that broken pages take linear time.
+_TAG = r"(?i)<(?:link|meta)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 
 
 def _lower(text: Column) -> Column:

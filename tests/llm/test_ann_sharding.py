@@ -8,6 +8,14 @@ from scholia.llm import ann
 from scholia.llm.sharding import ShardStore, VersionTaken, shard_in_arrivals
 
 
+def test_copies_of_one_id_and_vector_make_no_array(spark):
+    rows = spark.range(300_000).selectExpr("7 AS vec_id", "array(1.0F, 2.0F, 3.0F) AS embedding").union(
+        spark.createDataFrame([(k, [1.0, float(k % 5), float(k)]) for k in range(8, 40)], "vec_id long, embedding array<float>")
+    )
+    got = ann.nearest(rows, F.col("vec_id") == 7).collect()
+    assert [r["rank"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5] and all(r.vec_id != 7 for r in got)
+
+
 def test_quantile():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
 

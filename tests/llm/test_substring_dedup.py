@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import numpy as np
 import pyarrow as pa
 
@@ -124,3 +125,18 @@ def test_multibyte_spans_are_code_points(spark):
 def test_gear_window():
     b = np.frombuffer(b"0123456789abcdefXYZ", np.uint8)
     assert S.gear(np.concatenate([b"q" and np.frombuffer(b"qq", np.uint8), b]))[-1] == S.gear(b)[-1]
+
+
+def test_names_that_clash_but_for_case_or_hold_dots(spark, tmp_path):
+    from scholia.llm.mixing import mix
+
+    t = " ".join(words(60, 5))
+    df = spark.createDataFrame([(1, t, 5, "q", "s", 9), (2, t, 6, "r", "s", 8)], "doc_id long, text string, N_CUT int, `a.b` string, source string, SLOT int")
+    got = S.substring_dedup(df)
+    assert got.columns == ["doc_id", "text", "a.b", "source", "SLOT", "n_cut"]
+    got.write.parquet(str(tmp_path / "cut"))
+    assert {r.doc_id: (r["a.b"], r.n_cut > 0) for r in got.collect()} == {1: ("q", False), 2: ("r", True)}
+    mixed = mix(df.withColumns({"Position": F.lit(1), "BLOCK": F.lit(2)}))
+    assert mixed.columns == ["doc_id", "text", "N_CUT", "a.b", "source", "source_pos", "block", "slot", "position"]
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    assert sorted(r["a.b"] for r in mixed.collect()) == ["q", "r"]

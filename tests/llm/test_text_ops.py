@@ -94,3 +94,48 @@ def test_broken_pages_take_linear_time():
     leaf_blocks("<div>" * 100_000 + "</p>" * 100_000)
     assert time.time() - began < 60
     assert [b.text for b in leaf_blocks('<p>Area <math>x</math> is <object>so</object> big<p a="1" b">q')] == ["Area x is so big", "q"]
+
+
+SENTENCES = [
+    "The river rose slowly over the winter and the farmers moved their herds.", "Nobody in the valley had seen such water since the old bridge fell.", "By March the mill had stopped and the road was closed to carts.",
+    "The council met twice and sent for engineers from the coast.", "They measured the banks and wrote a report of forty pages.", "In the end the dam was built two miles further up.",
+]
+COMMENTS = ["I remember that bridge well, great article!", "This is wrong, the mill stopped in April.", "Thanks for sharing this story."]
+_each = lambda form, texts: "".join(form.format(t) for t in texts)
+#: Layouts and names that the training pages have, and those held back from them: dd, center and the names beginning with zq.
+LAYOUTS = {
+    "div, name that says nothing": '<div class="zq8"><h1>River</h1>' + _each('<div class="zqx">{}</div>', SENTENCES) + "</div>",
+    "div, content": '<div class="content"><h1>River</h1>' + _each("<div>{}</div>", SENTENCES) + "</div>",
+    "comments below a heading": '<div class="content"><h1>River</h1>' + _each("<p>{}</p>", SENTENCES) + '</div><div class="zq9"><h3>Comments</h3>' + _each("<p>{}</p>", COMMENTS) + "</div>",
+    "comments beside an article": "<article><h1>River</h1>" + _each("<p>{}</p>", SENTENCES) + '</article><div class="zq9">' + _each("<p>{}</p>", COMMENTS) + "</div>",
+    "comments inside": '<div class="zqp"><h1>River</h1>' + _each("<p>{}</p>", SENTENCES) + '<div class="zq9"><h3>3 comments</h3>' + _each("<p>{}</p>", COMMENTS) + "</div></div>",
+    "br": '<div class="zq1"><h1>River</h1>' + "<br><br>".join(SENTENCES) + "</div>",
+    "section": "<main><h1>River</h1>" + _each("<section>{}</section>", SENTENCES) + "</main>",
+    "td": "<table><tr><td><h1>River</h1>" + _each("<p>{}</p>", SENTENCES) + "</td></tr></table>",
+    "body, div": "<h1>River</h1>" + _each("<div>{}</div>", SENTENCES),
+    "body, p": "<h1>River</h1>" + _each("<p>{}</p>", SENTENCES),
+    "boxes and a list aside": '<div class="zw1"><div class="zw2"><h1>River</h1>' + _each("<div><p>{}</p></div>", SENTENCES) + '</div><div class="zw3"><h4>Popular</h4><ul>' + _each('<li><a href="#">{}</a></li>', COMMENTS) + "</ul></div></div>",
+    "dd": '<dl class="zk"><dt>River</dt>' + _each("<dd>{}</dd>", SENTENCES) + "</dl>",
+    "center": "<center><h1>River</h1>" + _each("<center>{}</center>", SENTENCES) + "</center>",
+    "span in boxes": "<article><header><h1>River</h1></header>" + _each('<div class="zq"><div><span>{}</span></div></div>', SENTENCES) + "</article>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    from scholia.llm.html_text import extract, fit
+
+    page = (
+        '<!DOCTYPE html><html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>'
+        f"{LAYOUTS[layout]}<footer>&copy; 2024 Valley Press. All rights reserved.</footer></body></html>"
+    )
+    assert extract([page], fit()) == [" ".join(["River", *SENTENCES])]
+
+
+def test_attributes_without_a_bound():
+    from scholia.llm.html_blocks import leaf_blocks
+
+    many = " ".join(f'd{i}="v>"' for i in range(10_000))
+    assert [b.text for b in leaf_blocks(f"<p {many}>one</p><script {many}>var x;</script><p {many}>two")] == ["one", "two"]
+    # a quote without an end: the tags behind it still count
+    assert [b.text for b in leaf_blocks('<p>one</p><p title="x>two</p><p>three</p>')] == ["one", "two", "three"]
