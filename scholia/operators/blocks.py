@@ -40,7 +40,7 @@ def cheapest_assignment(costs: Column) -> Column:
     potentials, as steps of one fold.  Of equal ones the column with the smaller number
     comes first.  A matrix without columns gives nulls.
     """
-    n, m = F.size(costs), F.size(F.get(costs, F.lit(0)))
+    n, m = F.size(costs), F.coalesce(F.size(F.get(costs, F.lit(0))), F.lit(0))
     turned = F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.transform(costs, lambda row: F.get(row, j)))
     rows_of = lambda columns, k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.nullif(F.array_position(columns, i).cast("int") - 1, F.lit(-1)))
     none = F.transform(costs, lambda row: F.lit(None).cast("int"))

@@ -11,7 +11,7 @@ from scholia.functions.text import bounded_similarity, normalized_doi, normalize
 SOURCE_WEIGHTS = {"semantic_scholar": 1.0, "openalex": 0.9, "arxiv": 0.8, "europe_pmc": 0.7, "crossref": 0.6}
 OTHER_WEIGHT = 0.5
 SIMILAR = 0.85
-#: Titles that may hold a gram before it is met together with a second one.
+#: Places that may hold a gram before it is met together with a second one.
 FREQUENT = 2000
 
 
@@ -77,19 +77,21 @@ def candidate_titles(titles: DataFrame, least: float = SIMILAR, frequent: int =
     segments that no edit meets.  They are in a as they are, shifted by no more than the
     edits before them, with room for the edits behind them.  So a is found by any such
     segment, an equi-join of b's segments with a's grams.  Grams that more than `frequent`
-    titles hold are met in pairs: if all of b's untouched segments are frequent ones, then
+    places hold are met in pairs: if all of b's untouched segments are frequent ones, then
     two of them are, and a holds both.  Thus no key brings a title more than `frequent`
-    others, or those with the same two frequent grams at places in reach.
+    others, or those with the same two frequent grams at places in reach.  Of what is found,
+    those stay that have enough of b's segments for the edits that the two lengths allow.
 
     Titles of fewer than six characters have no similar ones but their equals.
     """
     base = titles.withColumn("n", F.length("title_key")).where("n >= 6")
     grams = base.select("key", "n", F.inline(_grams(F.col("title_key"), F.col("n"), least)))
-    often = grams.groupBy("gram").agg(F.count_distinct("key").alias("titles")).where(F.col("titles") > frequent).select("gram", F.lit(True).alias("often"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("places"))
     probes = base.where("at.kind = 1").select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.inline(_segments(F.col("title_key"), F.col("n"), least)).alias("i", "at_b", "gram"))
-    index, asked = grams.join(often, "gram", "left"), probes.join(often, "gram", "left")
+    asked = probes.join(counts, "gram", "left").withColumn("often", F.when(F.col("places") > frequent, True)).drop("places")
+    index = grams.join(counts.where(F.col("places") > frequent).select("gram", F.lit(True).alias("often")), "gram", "left")
     reach = _in_reach(least)
-    alone = asked.where("often IS NULL").join(index.where("often IS NULL"), "gram").where(reach & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b")
+    alone = asked.where("often IS NULL").join(index.where("often IS NULL"), "gram").where(reach & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b", "n", "n_b", "i")
 
     # two frequent grams: what a title has of them side by side, in pairs as they follow one another
     held = lambda rows, by, *of: rows.where("often").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*of))).alias("held"))
@@ -103,8 +105,11 @@ def candidate_titles(titles: DataFrame, least: float = SIMILAR, frequent: int =
     behind = F.abs((F.col("n") - F.col("at_second")) - (F.col("n_b") - F.col("at_second_b")))
     most = F.floor(F.greatest("n", "n_b") * F.lit(1 - least) + F.lit(1e-9))
     near = F.abs(F.col("at") - F.col("at_b")) + between + behind <= most
-    both = of_b.join(of_a, ["gram", "second"]).where(near & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b")
-    return alone.union(both).distinct()
+    both = of_b.join(of_a, ["gram", "second"]).where(near & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b", "n", "n_b", F.lit(None).cast("int").alias("i"))
+    found = alone.union(both).groupBy("a", "b", "n", "n_b").agg(F.size(F.collect_set("i")).alias("met"))
+    unseen = asked.where("often").groupBy("b").agg(F.count(F.lit(1)).alias("unseen"))
+    enough = F.col("met") + F.coalesce("unseen", F.lit(0)) >= _edits(F.col("n_b"), least) + 2 - most
+    return found.join(unseen, "b", "left").where(enough).select("a", "b")
 
 
 def similar_titles(titles: DataFrame, least: float = SIMILAR, frequent: int = FREQUENT) -> DataFrame:
