@@ -32,6 +32,11 @@ def orphan_files(catalog: DataFrame, papers: DataFrame) -> DataFrame:
     return sources_of(papers).join(catalog.select("stem"), "stem", "left_anti")
 
 
+def orphans_by_stem(catalog: DataFrame, papers: DataFrame) -> DataFrame:
+    """orphan_files, in the order of their stems."""
+    return orphan_files(catalog, papers).orderBy("stem", "source_ext")
+
+
 def converted_without_markdown(catalog: DataFrame, markdown: DataFrame) -> DataFrame:
     """Rows that say they are converted, without a markdown file."""
     done = catalog.where("conversion IS NOT NULL AND NOT coalesce(conversion.failed, false)")

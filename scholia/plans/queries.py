@@ -219,7 +219,7 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(table(spark, sf_dir, "documents")).drop("text", "raw_text")
+    return chunks(views.spread(table(spark, sf_dir, "documents"))).drop("text", "raw_text")
 
 
 @query
@@ -245,7 +245,7 @@ def sanitize_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def index_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_documents(table(spark, sf_dir, "documents")).select("point_id", "doc_id", "chunk_index", "total_chunks", "page", "line_start", "char_start", "char_end")
+    return index_documents(views.spread(table(spark, sf_dir, "documents"))).select("point_id", "doc_id", "chunk_index", "total_chunks", "page", "line_start", "char_start", "char_end")
 
 
 # catalog

@@ -220,4 +220,33 @@ SELECT id, title, source, round(rel, 6) AS relevance, round(0.4 * rrf + 0.35 * r
 ORDER BY 0.4 * rrf + 0.35 * rel + 0.25 * ln(1 + coalesce(cited_by_count, 0)) / ln(10001) DESC, id LIMIT 20""",
 )
 
+_SAME = "(greatest(least(k.x2, c.x2) - greatest(k.x1, c.x1), 0.0) * greatest(least(k.y2, c.y2) - greatest(k.y1, c.y1), 0.0))"
+_BOTH = f"((k.x2 - k.x1) * (k.y2 - k.y1) + (c.x2 - c.x1) * (c.y2 - c.y1) - {_SAME})"
+
+# box by box of a page, in the order of confidence, with the kept ones in a list
+SCORING["nms_kept"] = (
+    _with("boxes", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    + rf""", ranked AS (SELECT *, CASE WHEN class_name IN ('image', 'table') THEN 2 WHEN class_name = 'display_formula' THEN 3 WHEN class_name = 'header' THEN 5 ELSE 4 END AS p FROM boxes),
+o AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, unique_id, p, x1, y1, x2, y2, class_name) AS r, struct_pack(x1, y1, x2, y2, p, class_name, unique_id) AS c FROM ranked),
+w AS (SELECT doc, CAST(0 AS BIGINT) AS r, list_filter([c], lambda x: false) AS kept FROM o WHERE r = 1
+  UNION ALL
+  SELECT w.doc, o.r, CASE WHEN len(list_filter(kept, lambda k: coalesce({_SAME.replace('c.', 'o.c.')} / nullif({_BOTH.replace('c.', 'o.c.')}, 0), 0) >= 0.95
+    OR (coalesce({_SAME.replace('c.', 'o.c.')} / nullif({_BOTH.replace('c.', 'o.c.')}, 0), 0) >= 0.7 AND k.class_name <> o.c.class_name AND o.c.p >= k.p))) > 0 THEN kept ELSE list_append(kept, o.c) END
+  FROM w JOIN o ON o.doc = w.doc AND o.r = w.r + 1),
+last AS (SELECT doc, arg_max(kept, r) AS kept FROM w GROUP BY doc)
+SELECT doc, CAST(k.unique_id AS INTEGER) AS unique_id FROM (SELECT doc, unnest(kept) AS k FROM last)"""
+)
+
+
+def _cell(c: str) -> str:
+    plain = lambda t: f"regexp_replace(CAST({t}.{c} AS VARCHAR), '[^A-Za-z0-9]', '', 'g')"
+    return f"levenshtein({plain('a')}, {plain('b')}) * 1.0::DOUBLE / greatest(length({plain('a')}), length({plain('b')}), 1)"
+
+
+# of two tables of the same rows no other edit is cheaper than changing the cells; seven nodes
+SCORING["table_scores"] = (
+    "SELECT a.l_orderkey, a.l_linenumber, round(max(1 - (" + " + ".join(map(_cell, ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))) + ") / 7) * 100, 6) AS teds "
+    "FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1, 2"
+)
+
 __all__ = ["QUERIES", "SCORING"]

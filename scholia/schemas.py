@@ -21,7 +21,7 @@ OBJECTS = "key string, size bigint, last_modified timestamp"
 
 EVENT_LINE = "subject string, payload string, at timestamp"
 INGESTED = "key string, sha256 string, size_bytes bigint, source string"
-COMPLETED = "key string, source_key string"
+COMPLETED = "key string, source_key string, batch bigint"
 
 REGIONS = "doc string, page int, x1 double, y1 double, x2 double, y2 double, confidence double, class_name string, read_order double, unique_id int"
 

@@ -197,3 +197,16 @@ def test_cascade(spark, tmp_path):
     assert {json.loads(r.payload)["key"] for r in said.collect()} == {"markdown/aa/aab.md", "markdown/cc/ccd.md"}
     assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/points").select("doc_id").distinct().collect()} == {"aab", "ccd"}
     assert all("batchId" in json.loads(x) for x in listener.lines)
+
+    # events name their batch and have its events' time, and a batch that runs again leaves the same
+    said = sorted((json.loads(r.payload)["key"], json.loads(r.payload)["batch"], r["at"]) for r in spark.read.json(f"{tmp_path}/topics/converted/*").collect())
+    last = said[1][1]
+    assert [x[:2] for x in said] == [("markdown/aa/aab.md", 0), ("markdown/cc/ccd.md", last)] and all(x[2].startswith("2024-01-01T00:00:00") for x in said)
+    batch = spark.createDataFrame([("papers/cc/ccd.html", "2024-01-01 00:00:00"), ("papers/aa/aab.html", "2024-01-01 00:00:00")], "key string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    K.convert_batch(root, lambda e: e.join(pages, "key"))(batch, last)
+    assert {(r.stem, r.batch) for r in K.markdown(spark, root).where("outcome = 'ok'").collect()} == {("aab", 0), ("ccd", last)}
+    # what isn't in the batch's folder is not read: the other folder could as well be gone
+    (tmp_path / "markdown/batch=0").rename(tmp_path / "elsewhere")
+    events = spark.createDataFrame([("markdown/cc/ccd.md", last, "2024-01-01 00:00:00")], "key string, batch long, at string").withColumn("at", F.col("at").cast("timestamp"))
+    K.index_batch(root)(events, 7)
+    assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/points/batch=7").collect()} == {"ccd"}

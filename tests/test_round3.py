@@ -271,3 +271,19 @@ def test_point_table(spark, tmp_path):
     with pytest.raises(VersionTaken):
         table._commit({}, 3)
     assert table.version() == 3 and table.upsert(frame([])) == 3
+
+
+def test_orphans_by_stem(spark):
+    from scholia.operators.catalog import orphans_by_stem
+
+    papers = spark.createDataFrame([(f"papers/x/{n}",) for n in ("z.pdf", "b.html", "a.pdf", "a.html", "known.pdf", "._c.pdf")], "key string")
+    got = orphans_by_stem(spark.createDataFrame([("known",)], "stem string"), papers).collect()
+    assert [(r.stem, r.source_ext) for r in got] == [("a", "pdf"), ("b", "html"), ("z", "pdf")]
+
+
+def test_scripts_of_formulas(spark):
+    from scholia.operators.evaluate import normalized_text
+
+    cases = {r"x^\alpha y": "xalphay", r"x^{\alpha}_i": "xαi", r"\_\beta": "β", r"a^\\gamma": "aγ", r"\frac{a_1}{\sqrt{b}}": "a1b", r"\mathbf{E}\mathbf{u}_{1-x}": "Eu1x"}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [r.x for r in df.select(normalized_text(F.col("t")).alias("x")).collect()] == list(cases.values())
