@@ -1,12 +1,11 @@
-"""Tables of a page as rows of cells, and the tree edit distance of two of them: the small steps of operators.evaluate.table_scores."""
+"""Tables of a page as rows of cells, and the tree edit distance of two of them in array expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,65 +62,94 @@ def parse_tables(html: str) -> list[list[list[tuple]]]:
     return [[[tuple(c) for c in row] for row in t] for t in reader.tables]
 
 
-def _letters(a: str, b: str) -> float:
-    """Edit distance in characters over the longer length in bytes."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] / max(len(a.encode()), len(b.encode()), 1)
-
-
-def _nodes(table: list[list[tuple]]) -> tuple[list[tuple], list[int]]:
-    """The tree in postorder, cells below rows below the table, and the first leaf below each node."""
-    out: list[tuple] = []
-    first: list[int] = []
-    for row in table:
-        at = len(out)
-        for cell in row:
-            first.append(len(out))
-            out.append(("td", *cell))
-        first.append(min(at, len(out)))
-        out.append(("tr",))
-    first.append(0)
-    out.append(("table",))
-    return out, first
-
-
-def _change(a: tuple, b: tuple) -> float:
-    if a[0] != b[0]:
-        return 1.0
-    if a[0] != "td":
-        return 0.0
-    return 1.0 if a[2:] != b[2:] else _letters(a[1], b[1])
-
-
-def tree_distance(a: list[list[tuple]], b: list[list[tuple]]) -> float:
-    """Zhang and Shasha's edit distance of two tables; a node that goes leaves its children to its parent."""
-    (x, lx), (y, ly) = _nodes(a), _nodes(b)
-    roots = lambda first: sorted({f: i for i, f in enumerate(first)}.values())
-    dist = np.zeros((len(x), len(y)))
-    for i in roots(lx):
-        for j in roots(ly):
-            li, lj = lx[i], ly[j]
-            f = np.zeros((i - li + 2, j - lj + 2))
-            f[:, 0], f[0, :] = np.arange(i - li + 2), np.arange(j - lj + 2)
-            for p in range(li, i + 1):
-                for q in range(lj, j + 1):
-                    u, v = p - li + 1, q - lj + 1
-                    best = min(f[u - 1, v] + 1, f[u, v - 1] + 1)
-                    if lx[p] == li and ly[q] == lj:
-                        dist[p, q] = f[u, v] = min(best, f[u - 1, v - 1] + _change(x[p], y[q]))
-                    else:
-                        f[u, v] = min(best, f[lx[p] - li, ly[q] - lj] + dist[p, q])
-    return float(dist[-1, -1])
-
-
-def table_score(a: list[list[tuple]], b: list[list[tuple]]) -> float:
-    """100 (1 - distance / nodes of the larger tree); a changed cell costs its text's distance, or one for other spans."""
-    size = max(len(_nodes(a)[0]), len(_nodes(b)[0]))
-    return max(0.0, 1 - tree_distance(a, b) / size) * 100
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and let `use` build an expression of it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _below(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.slice(F.sequence(F.lit(0), n), 1, n)
+
+
+def _walk(previous: Column, first: Column, steps: Column, change: Callable[[Column, Column], Column]) -> Column:
+    """The next row of an edit distance: what comes in, goes and changes, step by step; change(previous, k) is the price of step k's change with what it leads on from."""
+    start = F.array(first)
+    return F.aggregate(steps, start, lambda acc, k: F.concat(acc, F.array(F.least(F.get(previous, k + 1) + 1, F.element_at(acc, -1) + 1, change(previous, k)))))
+
+
+def _cell_changes(a: Column, b: Column) -> Column:
+    """The price of changing each cell of one table to each of the other: one for other spans, else the texts' distance."""
+    other = lambda x, y: (x["colspan"] != y["colspan"]) | (x["rowspan"] != y["rowspan"])
+    text = lambda x, y: F.levenshtein(x["text"], y["text"]) / F.greatest(F.octet_length(x["text"]), F.octet_length(y["text"]), F.lit(1))
+    return F.transform(F.flatten(a), lambda x: F.transform(F.flatten(b), lambda y: F.when(other(x, y), F.lit(1.0)).otherwise(text(x, y))))
+
+
+def _rows(table: Column) -> Column:
+    """array<struct(at, n)>: the number of each row's first cell, and of its cells."""
+    sizes = F.transform(table, lambda r: F.size(r))
+    return F.transform(sizes, lambda n, k: F.struct(F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda acc, x: acc + x).alias("at"), n.alias("n")))
+
+
+def _nodes(rows: Column) -> Column:
+    """array<struct(row, cell, begin)>: cells and rows as they end, a row behind its cells with cell null; begin is where its first node stands."""
+
+    def of(r: Column, k: Column) -> Column:
+        cells = F.transform(_below(r["n"]), lambda i: F.struct(k.alias("row"), (r["at"] + i).alias("cell"), (r["at"] + i + k).alias("begin")))
+        return F.concat(cells, F.array(F.struct(k.alias("row"), F.lit(None).cast("int").alias("cell"), (r["at"] + k).alias("begin"))))
+
+    return F.flatten(F.transform(rows, of))
+
+
+def _row_change(changes: Column, x: Column, y: Column) -> Column:
+    """The edit distance of the cells of two rows."""
+    start = F.transform(F.sequence(F.lit(0), y["n"]), lambda k: k.cast("double"))
+    step = lambda acc, i: _walk(acc, F.get(acc, F.lit(0)) + 1, _below(y["n"]), lambda p, k: F.get(p, k) + F.get(F.get(changes, x["at"] + i), y["at"] + k))
+    return F.element_at(F.aggregate(_below(x["n"]), start, step), -1)
+
+
+def tree_distance(a: Column, b: Column) -> Column:
+    """The edit distance of two tables as trees of cells below rows below the table; a node that goes leaves its children to its parent.
+
+    Trees of this depth need one dynamic program over their nodes as they end: the nodes
+    before, or, where a row is matched, the nodes before its first cell.  A cell may also be
+    matched with a row, or with one cell of it.
+    """
+
+    def program(changes: Column, ra: Column, rb: Column, rows: Column, na: Column, nb: Column) -> Column:
+        steps = _below(F.size(nb))
+        begin = F.transform(F.sequence(F.lit(0), F.size(nb)), lambda k: k.cast("double"))
+        alone = lambda n, some: n + F.least(F.lit(1.0), F.coalesce(F.array_min(some), F.lit(1.0)))
+
+        def step(acc: Column, x: Column) -> Column:
+            row = F.get(ra, x["row"])
+            # what was there before the row began
+            start = F.when((x["cell"] == row["at"]) | (row["n"] == 0), acc["now"]).otherwise(acc["start"])
+
+            def change(previous: Column, k: Column) -> Column:
+                y = F.get(nb, k)
+                other = F.get(rb, y["row"])
+                both_cells = F.get(previous, k) + F.get(F.get(changes, x["cell"]), y["cell"])
+                to_row = F.get(previous, y["begin"]) + F.when(other["n"] == 0, 1.0).otherwise(alone(other["n"], F.slice(F.get(changes, x["cell"]), other["at"] + 1, other["n"])))
+                from_row = F.get(start, k) + F.when(row["n"] == 0, 1.0).otherwise(alone(row["n"], F.transform(F.slice(changes, row["at"] + 1, row["n"]), lambda c: F.get(c, y["cell"]))))
+                both_rows = F.get(start, y["begin"]) + F.get(F.get(rows, x["row"]), y["row"])
+                return F.when(x["cell"].isNotNull(), F.when(y["cell"].isNotNull(), both_cells).otherwise(to_row)).otherwise(F.when(y["cell"].isNotNull(), from_row).otherwise(both_rows))
+
+            return F.struct(_walk(acc["now"], F.get(acc["now"], F.lit(0)) + 1, steps, change).alias("now"), start.alias("start"))
+
+        return F.element_at(F.aggregate(na, F.struct(begin.alias("now"), begin.alias("start")), step)["now"], -1)
+
+    def with_rows(changes: Column, ra: Column, rb: Column) -> Column:
+        matrix = F.transform(ra, lambda x: F.transform(rb, lambda y: _row_change(changes, x, y)))
+        return _let(matrix, lambda rows: _let(_nodes(ra), lambda na: _let(_nodes(rb), lambda nb: program(changes, ra, rb, rows, na, nb))))
+
+    return _let(_cell_changes(a, b), lambda changes: _let(_rows(a), lambda ra: _let(_rows(b), lambda rb: with_rows(changes, ra, rb))))
+
+
+def pair_score(a: Column, b: Column) -> Column:
+    """100 (1 - distance / nodes of the larger tree) of two tables; null where one is missing."""
+    nodes = lambda t: F.size(t) + F.size(F.flatten(t)) + 1
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), 1 - tree_distance(a, b) / F.greatest(nodes(a), nodes(b))) * 100)
 
 
 @F.pandas_udf(TABLES)
@@ -129,10 +157,3 @@ def tables_of(html: pd.Series) -> pd.Series:
     """The tables of each page; none for a null."""
     names = ("text", "colspan", "rowspan")
     return pd.Series([[[[dict(zip(names, cell)) for cell in row] for row in table] for table in parse_tables(x or "")] for x in html], dtype=object)
-
-
-@F.arrow_udf(T.DoubleType())
-def pair_score(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The score of each pair of tables; null where one is missing."""
-    plain = lambda t: [[(c["text"], c["colspan"], c["rowspan"]) for c in row] for row in t]
-    return pa.array([None if x is None or y is None else table_score(plain(x), plain(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())

@@ -287,3 +287,56 @@ def test_scripts_of_formulas(spark):
     cases = {r"x^\alpha y": "xalphay", r"x^{\alpha}_i": "xαi", r"\_\beta": "β", r"a^\\gamma": "aγ", r"\frac{a_1}{\sqrt{b}}": "a1b", r"\mathbf{E}\mathbf{u}_{1-x}": "Eu1x"}
     df = spark.createDataFrame(list(cases.items()), "t string, want string")
     assert [r.x for r in df.select(normalized_text(F.col("t")).alias("x")).collect()] == list(cases.values())
+
+
+def plain_tree_distance(a, b):
+    """Zhang and Shasha's distance of two tables, over all pairs of subtrees."""
+
+    def nodes(table):
+        out, first = [], []
+        for row in table:
+            at = len(out)
+            for cell in row:
+                first.append(len(out))
+                out.append(("td", *cell))
+            first.append(at)
+            out.append(("tr",))
+        return [*out, ("table",)], [*first, 0]
+
+    def change(x, y):
+        if x[0] != y[0] or x[2:] != y[2:]:
+            return 1.0
+        return distance(x[1], y[1]) / max(len(x[1].encode()), len(y[1].encode()), 1) if x[0] == "td" else 0.0
+
+    (x, lx), (y, ly) = nodes(a), nodes(b)
+    dist = {}
+    for i, j in itertools.product(range(len(x)), range(len(y))):
+        f = {(lx[i] - 1, ly[j] - 1): 0.0}
+        for p in range(lx[i], i + 1):
+            f[p, ly[j] - 1] = f[p - 1, ly[j] - 1] + 1
+        for q in range(ly[j], j + 1):
+            f[lx[i] - 1, q] = f[lx[i] - 1, q - 1] + 1
+        for p, q in itertools.product(range(lx[i], i + 1), range(ly[j], j + 1)):
+            best = min(f[p - 1, q], f[p, q - 1]) + 1
+            whole = (lx[p], ly[q]) == (lx[i], ly[j])
+            f[p, q] = min(best, f[p - 1, q - 1] + change(x[p], y[q])) if whole else min(best, f[lx[p] - 1, ly[q] - 1] + dist[p, q])
+            if whole:
+                dist[p, q] = f[p, q]
+    return dist[len(x) - 1, len(y) - 1]
+
+
+def test_distances_of_tables(spark):
+    from scholia.functions.tables import TABLES, pair_score, tree_distance
+
+    r = random.Random(6)
+    cell = lambda: (r.choice(["", "a", "ab", "abc", "xyz", "é1"]), r.choice([1, 1, 1, 2]), 1)
+    table = lambda: [[cell() for _ in range(r.randint(0, 4))] for _ in range(r.randint(0, 4))]
+    rows = [(i, table(), table()) for i in range(150)] + [(150, [[("a", 1, 1)] * 4], [[("a", 1, 1)] * 2] * 2), (151, [], [])]
+    kind = TABLES.elementType.simpleString()
+    df = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}")
+    got = {x.i: (x.d, x.s) for x in df.select("i", tree_distance(F.col("a"), F.col("b")).alias("d"), pair_score(F.col("a"), F.col("b")).alias("s")).collect()}
+    for i, a, b in rows:
+        want = plain_tree_distance(a, b)
+        size = 1 + max(len(t) + sum(map(len, t)) for t in (a, b))
+        assert got[i] == (pytest.approx(want), pytest.approx(max(0, 1 - want / size) * 100)), (a, b)
+    assert got[150][0] == 3
