@@ -79,3 +79,25 @@ def _register(name: str) -> None:
 
 for _name in ("arxiv", "openalex", "semantic_scholar", "crossref", "europe_pmc", "core"):
     _register(_name)
+
+
+@query
+def grid_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as annotated tables: a line is a row of one wide cell, of two, or of one beside an empty place."""
+    from scholia.sources.benchmarks import CELLS, grid_html
+
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_returnflag").alias("flag"))
+    row = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).cast("int")
+    cell = lambda columns, text, head: F.struct(F.array("r").alias("row_nums"), columns.alias("column_nums"), text.alias("json_text_content"), head.alias("is_column_header"))
+    text, none = F.col("p").cast("string"), F.lit(False)
+    first = cell(F.when(F.col("p") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))), F.concat(text, F.lit(" <&>")), F.col("r") == 0)
+    second = F.when((F.col("p") % 3 != 0) & (F.col("p") % 5 != 0), cell(F.array(F.lit(1)), F.col("flag"), none))
+    cells = lines.withColumn("r", row).groupBy("l_orderkey").agg(F.flatten(F.collect_list(F.array_compact(F.array(first, second)))).cast(CELLS).alias("cells"))
+    return cells.select("l_orderkey", grid_html(F.col("cells")).alias("html"))
+
+
+SEARCHES["grid_markup"] = """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS r, CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1 THEN 'th' ELSE 'td' END AS tag,
+  bool_or(p % 3 = 0 OR p % 5 <> 0) OVER (PARTITION BY l_orderkey) AS wide FROM l)
+SELECT l_orderkey, '<table>' || string_agg('<tr><' || tag || CASE WHEN p % 3 = 0 THEN ' colspan="2"' ELSE '' END || '>' || p || ' &lt;&amp;&gt;</' || tag || '>'
+  || CASE WHEN p % 3 = 0 OR NOT wide THEN '' WHEN p % 5 <> 0 THEN '<td>' || flag || '</td>' ELSE '<td></td>' END || '</tr>', '' ORDER BY r) || '</table>' AS html FROM r GROUP BY l_orderkey"""

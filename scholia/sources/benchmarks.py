@@ -33,3 +33,78 @@ def page_truth(spark: SparkSession, path: str, language: str | None = None, sour
     if tables:
         out = out.where("table_html <> ''")
     return out.where("size(formulas) > 0") if formulas else out
+
+
+CELLS = "array<struct<row_nums:array<int>,column_nums:array<int>,json_text_content:string,is_column_header:boolean>>"
+
+
+def grid_html(cells: Column) -> Column:
+    """A table's markup from cells that name their rows and columns; null without cells.
+
+    Places are looked at row by row.  One that a cell of before spans has nothing, one where
+    a cell begins has it, with spans as its rows and columns are counted, and any other is an
+    empty cell.  Of several cells that begin at a place the first counts, and cells without
+    rows or columns only widen the grid.
+    """
+    last = lambda field: F.coalesce(F.array_max(F.flatten(F.transform(cells, lambda c: F.coalesce(c[field], F.array().cast("array<int>"))))), F.lit(0))
+    sound = F.filter(cells, lambda c: (F.size(c["row_nums"]) > 0) & (F.size(c["column_nums"]) > 0))
+    begun = F.transform(
+        sound,
+        lambda c, i: F.struct(
+            F.array_min(c["row_nums"]).alias("r"), F.array_min(c["column_nums"]).alias("c"), i.alias("i"), F.size(c["row_nums"]).alias("high"), F.size(c["column_nums"]).alias("wide"),
+            F.coalesce(c["json_text_content"], F.lit("")).alias("text"), F.coalesce(c["is_column_header"], F.lit(False)).alias("head"),
+        ),
+    )
+    placed = F.array_sort(begun)
+    wide = last("column_nums") + 1
+    places = F.transform(F.sequence(F.lit(0), (last("row_nums") + 1) * wide - 1), lambda k: F.struct(F.call_function("div", k, wide).cast("int").alias("r"), (k % wide).alias("c")))
+
+    def markup(x: Column) -> Column:
+        tag = F.when(x["head"], "th").otherwise("td")
+        span = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
+        text = F.replace(F.replace(F.replace(x["text"], F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.concat(F.lit("<"), tag, span("rowspan", x["high"]), span("colspan", x["wide"]), F.lit(">"), text, F.lit("</"), tag, F.lit(">"))
+
+    def step(acc: Column, p: Column) -> Column:
+        covered = F.exists(acc["spans"], lambda s: p["r"].between(s["r"], s["r"] + s["high"] - 1) & p["c"].between(s["c"], s["c"] + s["wide"] - 1))
+        own = F.get(F.filter(placed, lambda x: (x["r"] == p["r"]) & (x["c"] == p["c"])), F.lit(0))
+        begins = ~covered & own.isNotNull()
+        piece = F.when(covered, "").when(own.isNotNull(), markup(own)).otherwise("<td></td>")
+        row = F.concat(F.when(p["c"] == 0, "<tr>").otherwise(""), piece, F.when(p["c"] == wide - 1, "</tr>").otherwise(""))
+        spans = F.when(begins & ((own["high"] > 1) | (own["wide"] > 1)), F.concat(acc["spans"], F.array(F.struct(own["r"].alias("r"), own["c"].alias("c"), own["high"].alias("high"), own["wide"].alias("wide"))))).otherwise(acc["spans"])
+        return F.struct(F.concat(acc["parts"], F.array(row)).alias("parts"), spans.alias("spans"))
+
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<struct<r:int,c:int,high:int,wide:int>>").alias("spans"))
+    return F.when(F.size(cells) > 0, F.concat(F.lit("<table>"), F.array_join(F.aggregate(places, start, step)["parts"], ""), F.lit("</table>")))
+
+
+def grid_tables(spark: SparkSession, structures: str, annotations: str, images: DataFrame) -> DataFrame:
+    """id, image_path and table_html of the tables that have a structure file and an image (key).
+
+    A structure is an XML file PAGE_table_N.xml; its cells are those of the N-th table of the
+    page's annotations, PAGE_tables.json, and its image is PAGE_table_N.jpg.  A table without
+    annotations has a null table_html.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(structures)
+    name = lambda path, end: F.regexp_extract(path, rf"([^/]*)\.{end}$", 1)
+    stem = name(F.col("path"), "xml")
+    page, number = F.regexp_extract("id", r"^(.*)_table_(.*)$", 1), F.regexp_extract("id", r"^(.*)_table_(.*)$", 2)
+    tables = files.select(stem.alias("id")).select("id", F.when(page != "", page).otherwise(F.col("id")).alias("page"), F.coalesce(number.try_cast("int"), F.lit(0)).alias("n"))
+    pictures = images.where(F.endswith("key", F.lit(".jpg"))).select(name(F.col("key"), "jpg").alias("id"), F.col("key").alias("image_path"))
+    text = spark.read.text(annotations, wholetext=True, pathGlobFilter="*_tables.json")
+    parsed = F.from_json("value", f"array<struct<cells:{CELLS}>>")
+    of_page = text.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_tables\.json$", 1).alias("page"), parsed.alias("tables"))
+    rows = tables.join(pictures, "id").join(of_page, "page", "left")
+    return rows.select("id", "image_path", grid_html(F.get("tables", F.col("n"))["cells"]).alias("table_html"))
+
+
+def document_pairs(spark: SparkSession, root: str, splits: tuple[str, ...] = ("arxiv", "github")) -> DataFrame:
+    """id (split:stem), pdf_path and markdown of the PDF files of each split, SPLIT/pdf/STEM.pdf, with the truth of SPLIT_ground_truth/STEM.md where there is one."""
+    out = None
+    for split in splits:
+        pdfs = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(f"{root}/{split}/pdf").select(F.col("path").alias("pdf_path"))
+        truth = spark.read.text(f"{root}/{split}_ground_truth", wholetext=True, pathGlobFilter="*.md").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1).alias("stem"), F.col("value").alias("markdown"))
+        rows = pdfs.withColumn("stem", F.regexp_extract("pdf_path", r"([^/]*)\.pdf$", 1)).join(truth, "stem", "left")
+        rows = rows.select(F.concat(F.lit(split + ":"), "stem").alias("id"), "pdf_path", "markdown")
+        out = rows if out is None else out.unionByName(rows)
+    return out

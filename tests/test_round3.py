@@ -340,3 +340,56 @@ def test_distances_of_tables(spark):
         size = 1 + max(len(t) + sum(map(len, t)) for t in (a, b))
         assert got[i] == (pytest.approx(want), pytest.approx(max(0, 1 - want / size) * 100)), (a, b)
     assert got[150][0] == 3
+
+
+def plain_grid(cells):
+    """Place by place, with what is taken marked in a set."""
+    rows = max((r for c in cells for r in c[0] or []), default=0) + 1
+    cols = max((x for c in cells for x in c[1] or []), default=0) + 1
+    begun = sorted(((min(c[0]), min(c[1])), i) for i, c in enumerate(cells) if c[0] and c[1])
+    taken, out = set(), "<table>"
+    for r in range(rows):
+        out += "<tr>"
+        for k in range(cols):
+            if (r, k) in taken:
+                continue
+            own = next((cells[i] for at, i in begun if at == (r, k)), None)
+            if own is None:
+                out += "<td></td>"
+                continue
+            tag, high, wide = "th" if own[3] else "td", len(own[0]), len(own[1])
+            text = (own[2] or "").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+            out += f"<{tag}" + f' rowspan="{high}"' * (high > 1) + f' colspan="{wide}"' * (wide > 1) + f">{text}</{tag}>"
+            taken |= {(r + a, k + b) for a in range(high) for b in range(wide)} - {(r, k)}
+        out += "</tr>"
+    return out + "</table>"
+
+
+def test_grids(spark, tmp_path):
+    import json
+
+    from scholia.sources.benchmarks import CELLS, document_pairs, grid_html, grid_tables
+
+    r = random.Random(9)
+    span = lambda: list(range(k := r.randint(0, 4), k + r.choice([1, 1, 2, 3]))) if r.random() < 0.95 else r.choice([[], None])
+    tables = [[(span(), span(), r.choice(["a", "b<c", "&", None]), r.choice([True, False, None])) for _ in range(r.randint(1, 9))] for _ in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tables)] + [(500, []), (501, None)], f"i int, c {CELLS}")
+    got = {x.i: x.h for x in df.select("i", grid_html(F.col("c")).alias("h")).collect()}
+    assert got == {i: plain_grid(t) for i, t in enumerate(tables)} | {500: None, 501: None}
+
+    for d in ("structure", "annotations", "images", "arxiv/pdf", "arxiv_ground_truth"):
+        os.makedirs(tmp_path / d)
+    for n in ("X_2001_page_1_table_0", "X_2001_page_1_table_1", "X_2001_page_2_table_0", "noimage_table_0"):
+        (tmp_path / "structure" / f"{n}.xml").write_text("<annotation/>")
+    for n in ("X_2001_page_1_table_0", "X_2001_page_1_table_1", "X_2001_page_2_table_0"):
+        (tmp_path / "images" / f"{n}.jpg").write_text("x")
+    cell = {"row_nums": [0], "column_nums": [0, 1], "json_text_content": "t", "is_column_header": True}
+    (tmp_path / "annotations" / "X_2001_page_1_tables.json").write_text(json.dumps([{"cells": [cell]}, {"cells": []}]))
+    from scholia.sources.listing import list_objects
+
+    found = grid_tables(spark, f"{tmp_path}/structure", f"{tmp_path}/annotations", list_objects(spark, f"{tmp_path}/images")).collect()
+    assert {x.id: x.table_html for x in found} == {"X_2001_page_1_table_0": '<table><tr><th colspan="2">t</th></tr></table>', "X_2001_page_1_table_1": None, "X_2001_page_2_table_0": None}
+    for n in ("1.pdf", "2.pdf"):
+        (tmp_path / "arxiv/pdf" / n).write_text("%PDF")
+    (tmp_path / "arxiv_ground_truth/1.md").write_text("# one\n")
+    assert {x.id: x.markdown for x in document_pairs(spark, str(tmp_path), ("arxiv",)).collect()} == {"arxiv:1": "# one\n", "arxiv:2": None}
