@@ -393,3 +393,25 @@ def test_grids(spark, tmp_path):
         (tmp_path / "arxiv/pdf" / n).write_text("%PDF")
     (tmp_path / "arxiv_ground_truth/1.md").write_text("# one\n")
     assert {x.id: x.markdown for x in document_pairs(spark, str(tmp_path), ("arxiv",)).collect()} == {"arxiv:1": "# one\n", "arxiv:2": None}
+
+
+def test_objects_by_key(spark, tmp_path):
+    from scholia.sources.objects import clean_junk, delete_objects, look_for_objects, put_objects
+
+    root = f"file://{tmp_path}"
+    said = lambda df: sorted((r["key"], r.outcome) for r in df.collect())
+    rows = spark.createDataFrame([("a/x.md", b"one"), ("a/y.md", b""), (None, b"no"), ("b.md", None)], "key string, content binary")
+    assert said(put_objects(rows, root)) == [("a/x.md", "put"), ("a/y.md", "put"), ("b.md", "put")]
+    assert said(put_objects(spark.createDataFrame([("a/x.md", bytearray(b"two"))], "key string, content binary"), root)) == [("a/x.md", "put")]
+    assert (tmp_path / "a/x.md").read_bytes() == b"two" and sorted(os.listdir(tmp_path / "a")) == ["x.md", "y.md"]
+    keys = spark.createDataFrame([("a/x.md",), ("a/x.md",), ("a/none",)], "key string")
+    assert said(look_for_objects(keys, root)) == [("a/none", "missing"), ("a/x.md", "there")]
+    assert said(delete_objects(keys, root)) == [("a/none", "missing"), ("a/x.md", "deleted")]
+    assert said(delete_objects(keys, root)) == [("a/none", "missing"), ("a/x.md", "missing")]
+
+    kept = [("markdown/go/good.md", b"g"), ("papers/go/good.html", b"g")]
+    files = [("markdown/ju/junk.md", b"m"), ("catalog/ju/junk.yaml", b"c"), ("papers/ju/junk.htm", b"s"), *kept]
+    put_objects(spark.createDataFrame(files, "key string, content binary"), root).collect()
+    got = said(clean_junk(spark.createDataFrame([("junk",)], "stem string"), root))
+    assert got == [("catalog/ju/junk.yaml", "deleted"), ("markdown/ju/junk.md", "deleted"), ("papers/ju/junk.htm", "deleted"), ("papers/ju/junk.html", "missing")]
+    assert all((tmp_path / k).exists() for k, _ in kept)
