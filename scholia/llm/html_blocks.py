@@ -9,10 +9,11 @@ from dataclasses import dataclass, field
 from html import unescape
 
 #: Elements that begin and end a block of text.
-BLOCK = set(
-    "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
-)
+BLOCK = {
+    "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "html", "label", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre",
+    "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+}
 #: Elements whose content is no text of the page: scripts, styles, drawings, embedded pages and form fields.
 DROPPED = {"script", "style", "title", "noscript", "template", "svg", "iframe", "textarea"}
 #: Levels that a missing end tag is looked for; what is beyond is taken as nested.
@@ -33,18 +34,18 @@ _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 #: What names of classes, ids and roles begin with, by kind.
 NAME_KINDS = {
-    "ad": "ads advert sponsor promo banner dfp adsense outbrain taboola",
-    "nav": "nav menu breadcrumb toolbar pagination pager tabs",
-    "foot": "foot copyright legal colophon contentinfo",
-    "head": "header masthead logo topbar branding",
-    "side": "side aside widget rail related recommend share social popular trending complementary more",
-    "note": "cookie notice consent gdpr alert popup modal newsletter subscrib overlay paywall warning",
-    "comment": "comment reply replies discuss disqus respond",
-    "form": "form search login signup signin register input",
-    "main": "article content main post entry story text prose",
+    "ad": ["ads", "advert", "sponsor", "promo", "banner", "dfp", "adsense", "outbrain", "taboola"],
+    "nav": ["nav", "menu", "breadcrumb", "toolbar", "pagination", "pager", "tabs"],
+    "foot": ["foot", "copyright", "legal", "colophon", "contentinfo"],
+    "head": ["header", "masthead", "logo", "topbar", "branding"],
+    "side": ["side", "aside", "widget", "rail", "related", "recommend", "share", "social", "popular", "trending", "complementary", "more"],
+    "note": ["cookie", "notice", "consent", "gdpr", "alert", "popup", "modal", "newsletter", "subscrib", "overlay", "paywall", "warning"],
+    "comment": ["comment", "reply", "replies", "discuss", "disqus", "respond"],
+    "form": ["form", "search", "login", "signup", "signin", "register", "input"],
+    "main": ["article", "content", "main", "post", "entry", "story", "text", "prose"],
 }
 _EXACT = {"ad": "ad", "ads": "ad"}
-_KIND_OF = [(p, kind) for kind, words in NAME_KINDS.items() for p in words.split()]
+_KIND_OF = [(p, kind) for kind, words in NAME_KINDS.items() for p in words]
 
 
 def name_kinds(attributes: str) -> list[str]:
