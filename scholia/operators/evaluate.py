@@ -10,17 +10,17 @@ from scholia.functions.tables import canonical_table, pair_score, tables_of
 from scholia.functions.text import words
 
 #: Greek letters and their commands.
-GREEK = dict(
-    zip(
-        "αβγδεζηθικλμνξπρστυφχψωΓΔΘΛΠΣΦΨΩ",
-        "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega Gamma Delta Theta Lambda Pi Sigma Phi Psi Omega".split(),
-    )
-)
+GREEK = {
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu",
+    "ν": "nu", "ξ": "xi", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "υ": "upsilon", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega", "Γ": "Gamma", "Δ": "Delta",
+    "Θ": "Theta", "Λ": "Lambda", "Π": "Pi", "Σ": "Sigma", "Φ": "Phi", "Ψ": "Psi", "Ω": "Omega",
+}
 #: Formatting commands without meaning for a comparison, in the order in which they go.
-FILTERED = (
-    "mathbf mathrm mathnormal mathit mathbb mathcal mathscr mathfrak mathsf mathtt textbf text boldmath boldsymbol operatorname bm symbfit mathbfcal symbf scriptscriptstyle notag setlength "
-    "coloneqq space thickspace thinspace medspace nobreakspace negmedspace quad qquad enspace substackw left right displaystyle"
-).split()
+FILTERED = [
+    "mathbf", "mathrm", "mathnormal", "mathit", "mathbb", "mathcal", "mathscr", "mathfrak", "mathsf", "mathtt", "textbf", "text", "boldmath", "boldsymbol",
+    "operatorname", "bm", "symbfit", "mathbfcal", "symbf", "scriptscriptstyle", "notag", "setlength", "coloneqq", "space", "thickspace", "thinspace", "medspace",
+    "nobreakspace", "negmedspace", "quad", "qquad", "enspace", "substackw", "left", "right", "displaystyle",
+]
 
 
 def ned(a: Column, b: Column) -> Column:

@@ -116,6 +116,9 @@ LOGIN = ["sign in", "log in", "access denied", "403 forbidden", "subscription re
 WAITING = ["preparing to download", "hhs vulnerability disclosure", "please wait while the document loads"]
 JOURNAL = ["impact factor", "citescore", "aims and scope"]
 LANDING = ["clinical trials", "browse collections", "search results", "cookie policy"]
+#: Phrases of loading pages, and one that counts only on a page of fewer bytes.
+LOADING = ["preparing to download", "please wait while the document loads"]
+DISCLOSURE, SHORT_PAGE = "hhs vulnerability disclosure", 2000
 
 
 def _any(text: Column, *phrases: str) -> Column:
@@ -140,5 +143,5 @@ def is_paywall(html: Column) -> Column:
 def is_junk_html(server: Column, pages: Column, markdown: Column, reject_reason: Column) -> Column:
     """A local HTML conversion of one page with low quality or a loading page's words."""
     low = F.lower(markdown)
-    stub = _any(low, "preparing to download", "please wait while the document loads") | (F.contains(low, F.lit("hhs vulnerability disclosure")) & (F.octet_length(markdown) < 2000))
+    stub = _any(low, *LOADING) | (F.contains(low, F.lit(DISCLOSURE)) & (F.octet_length(markdown) < SHORT_PAGE))
     return (server == "local-html") & (pages <= 1) & (reject_reason.isNotNull() | stub)
