@@ -249,4 +249,19 @@ SCORING["table_scores"] = (
     "FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1, 2"
 )
 
+@query
+def latex_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the texts in fractions of fractions, groups and scripts."""
+    from scholia.functions.latex import plain_latex
+
+    word = lambda k: F.coalesce(F.get(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z ]", ""), " +"), F.lit(k)), F.lit(""))
+    a, b, c = (word(k) for k in (1, 2, 3))
+    latex = F.concat(F.lit(r"$\frac{\frac{"), a, F.lit(r"}{\mathbf{"), b, F.lit(r"}}}{\sqrt{"), c, F.lit(r"}} \times \alpha_{"), a, F.lit(r"^{"), b, F.lit(r"}}\,\leq "), F.col("doc_id").cast("string"), F.lit("$"))
+    return table(spark, sf_dir, "documents").select("doc_id", plain_latex(latex).alias("plain"))
+
+
+SCORING["latex_texts"] = r"""WITH w AS (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '[^a-z ]', '', 'g'), ' +') AS w FROM documents),
+p AS (SELECT doc_id, coalesce(w[2], '') AS a, coalesce(w[3], '') AS b, coalesce(w[4], '') AS c FROM w)
+SELECT doc_id, a || '/' || b || '/' || c || ' × α' || a || b || '≤ ' || doc_id AS plain FROM p"""
+
 __all__ = ["QUERIES", "SCORING"]

@@ -415,3 +415,28 @@ def test_objects_by_key(spark, tmp_path):
     got = said(clean_junk(spark.createDataFrame([("junk",)], "stem string"), root))
     assert got == [("catalog/ju/junk.yaml", "deleted"), ("markdown/ju/junk.md", "deleted"), ("papers/ju/junk.htm", "deleted"), ("papers/ju/junk.html", "missing")]
     assert all((tmp_path / k).exists() for k, _ in kept)
+
+
+def test_plain_latex(spark):
+    from scholia.functions.latex import plain_latex
+
+    deep = "x"
+    for _ in range(40):
+        deep = r"\frac{" + deep + "}{2}"
+    cases = {
+        r"$\mathbf{E}\mathbf{u}_{1-x}$": "Eu1-x",
+        r"\frac{a}{b}": "a/b",
+        r"\frac{\frac{a}{\sqrt{b}}}{c_{1}} + d": "a/b/c1 + d",
+        r"\sum_{i} \alpha_i \leq \infty": "∑i αi ≤ ∞",
+        r"x^\alpha": r"x\alpha",
+        r"\left\{ y \right\}": " y ",
+        r"\frac12": "12",
+        r"\frac{a": "a/",
+        r"\unknown{kept}{too} tail_": "kepttoo tail_",
+        "}{": "",
+        "": "",
+        deep: "x" + "/2" * 40,
+    }
+    df = spark.createDataFrame([*cases.items(), (None, None)], "t string, want string")
+    for row in df.select("t", "want", plain_latex(F.col("t")).alias("x")).collect():
+        assert row.x == row.want, row
