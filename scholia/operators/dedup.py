@@ -89,9 +89,9 @@ def candidate_titles(titles: DataFrame, least: float = SIMILAR, frequent: int =
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("places"))
     probes = base.where("at.kind = 1").select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.inline(_segments(F.col("title_key"), F.col("n"), least)).alias("i", "at_b", "gram"))
     asked = probes.join(counts, "gram", "left").withColumn("often", F.when(F.col("places") > frequent, True)).drop("places")
-    index = grams.join(counts.where(F.col("places") > frequent).select("gram", F.lit(True).alias("often")), "gram", "left")
+    index = grams.join(counts.where(F.col("places") > frequent).select("gram"), "gram").withColumn("often", F.lit(True))
     reach = _in_reach(least)
-    alone = asked.where("often IS NULL").join(index.where("often IS NULL"), "gram").where(reach & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b", "n", "n_b", "i")
+    alone = asked.where("often IS NULL").join(grams, "gram").where(reach & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b", "n", "n_b", "i")
 
     # two frequent grams: what a title has of them side by side, in pairs as they follow one another
     held = lambda rows, by, *of: rows.where("often").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*of))).alias("held"))

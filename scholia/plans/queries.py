@@ -145,7 +145,7 @@ def downloadable_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles in ASCII, as the SQL counts bytes."""
     papers = views.papers(spark, sf_dir).withColumn("title", F.regexp_replace("title", r"[^\x00-\x7F]", "x"))
-    return similar_titles(leaders(papers)).select("a", "b", _r(F.col("sim"), "similarity"))
+    return similar_titles(written(leaders(papers))).select("a", "b", _r(F.col("sim"), "similarity"))
 
 
 @query
