@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from scholia.functions.edits import edit_matrix, edits_along, text_edits
 from scholia.operators.evaluate import normalized_text
 
 #: Whole texts this good need no blocks; pages beyond these sizes have none.
@@ -28,11 +31,6 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def distance(a: Column, b: Column) -> Column:
-    """The Levenshtein distance over the longer length in bytes."""
-    return F.levenshtein(a, b) / F.greatest(F.octet_length(a), F.octet_length(b))
-
-
 def cheapest_assignment(costs: Column) -> Column:
     """array<int>: for each row of a matrix the number of its column, null for rows beyond the columns; the sum of costs is the least.
 
@@ -111,69 +109,107 @@ def _texts(blocks: Column) -> Column:
     return F.filter(F.transform(F.coalesce(blocks, F.array().cast("array<string>")), normalized_text), lambda x: x != "")
 
 
-def _matrix(truth: Column, found: Column) -> Column:
-    return F.transform(truth, lambda a: F.transform(found, lambda b: distance(a, b)))
+def _shares(truth: Column, found: Column, edits: Column) -> Column:
+    """The distances of a matrix over the longer lengths in bytes."""
+    return F.zip_with(truth, edits, lambda a, row: F.zip_with(found, row, lambda b, n: n / F.greatest(F.octet_length(a), F.octet_length(b))))
+
+
+def _taken(costs: Column) -> Column:
+    """The numbers of the found blocks that are the best of a true block and match it well."""
+    best = lambda row: F.array_min(F.transform(row, lambda x, j: F.struct(x.alias("ned"), j.alias("j"))))
+    return F.transform(F.filter(F.transform(costs, best), lambda x: x["ned"] < GOOD_PAIR), lambda x: x["j"])
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))
+def _run_edits(truth: pd.Series, found: pd.Series, taken: pd.Series) -> pd.Series:
+    """For each found block the distances of the runs that begin with it, of two blocks and more, to each true block; null where truth is.
+
+    A run holds no block that is taken, and ends once it has twice the bytes of the longest true block.
+    """
+
+    def of(truth, found, taken):
+        sizes, longest, out = [len(x.encode()) for x in found], max(len(x.encode()) for x in truth), []
+        for first in range(len(found)):
+            last = first
+            while last + 1 < len(found) and last - first < MOST_JOINED - 1 and not {first, last + 1} & taken and (last == first or sum(sizes[first : last + 1]) <= 2 * longest):
+                last += 1
+            ends = [sum(map(len, found[first : k + 1])) for k in range(first + 1, last + 1)]
+            out.append(edits_along(truth, "".join(found[first : last + 1]), ends))
+        return out
 
+    return pd.Series([None if t is None else of(list(t), list(f), set(k)) for t, f, k in zip(truth, found, taken)], dtype=object)
 
-def _joined(truth: Column, found: Column, costs: Column) -> Column:
+
+def _joined(truth: Column, found: Column, costs: Column, runs: Column) -> Column:
     """array<struct(first, last)>: the found blocks, those joined that together make up a true block better than any alone.
 
     A true block takes the best run of up to five neighbours, none of which is a good match
     of any true block; a run that grows beyond twice the true block ends there.  Of runs
     that overlap the one that begins first holds, and of those the earlier true block's.
+    Without runs (null) every block stays alone.
     """
     m = F.size(found)
-    best = lambda row: F.array_min(F.transform(row, lambda x, j: F.struct(x.alias("ned"), j.alias("j"))))
-    taken = F.transform(F.filter(F.transform(costs, best), lambda x: x["ned"] < GOOD_PAIR), lambda x: x["j"])
-
-    def runs(text: Column, row: Column) -> Column:
-        def of(first: Column) -> Column:
-            ends = F.sequence(first + 1, F.least(m - 1, first + MOST_JOINED - 1))
-            whole = lambda last: F.array_join(F.slice(found, first + 1, last - first + 1), "")
-            sound = F.filter(
-                F.when(first + 1 < m, ends).otherwise(F.array().cast("array<int>")),
-                lambda last: ~F.exists(F.sequence(first, last), lambda j: F.array_contains(taken, j)) & ((last == first + 1) | (F.octet_length(whole(last - 1)) <= 2 * F.octet_length(text))),
+    bytes_of = lambda first, last: F.aggregate(F.slice(found, first + 1, last - first + 1), F.lit(0), lambda acc, x: acc + F.octet_length(x))
+
+    def better(text: Column, row: Column, i: Column) -> Column:
+        def of(ends: Column, first: Column) -> Column:
+            sound = F.transform(
+                ends,
+                lambda edits, k: F.when(
+                    (k == 0) | (bytes_of(first, first + k) <= 2 * F.octet_length(text)),
+                    F.struct((F.get(edits, i) / F.greatest(F.octet_length(text), bytes_of(first, first + k + 1))).alias("ned"), first.alias("first"), (first + k + 1).alias("last")),
+                ),
             )
-            return F.transform(sound, lambda last: F.struct(distance(text, whole(last)).alias("ned"), first.alias("first"), last.alias("last")))
+            return F.filter(sound, lambda x: x["ned"] < F.array_min(row))
 
-        better = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), m - 1), of)), lambda x: x["ned"] < F.array_min(row))
-        return F.when(F.array_min(row) >= GOOD_PAIR, F.array_min(better))
+        return F.when(F.array_min(row) >= GOOD_PAIR, F.array_min(F.flatten(F.transform(runs, of))))
 
-    wanted = F.array_compact(F.zip_with(truth, costs, runs))
+    wanted = F.array_compact(F.transform(F.arrays_zip(truth.alias("text"), costs.alias("row")), lambda x, i: better(x["text"], x["row"], i)))
     numbered = F.array_sort(F.transform(wanted, lambda x, i: F.struct(x["first"].alias("first"), i.alias("i"), x["last"].alias("last"))))
     none = F.array().cast("array<struct<first:int,last:int>>")
     held = F.aggregate(numbered, none, lambda acc, x: F.when(F.exists(acc, lambda y: (x["first"] <= y["last"]) & (y["first"] <= x["last"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["first"], x["last"])))))
     alone = lambda h: F.transform(F.filter(F.sequence(F.lit(0), m - 1), lambda j: ~F.exists(h, lambda y: j.between(y["first"], y["last"]))), lambda j: F.struct(j.alias("first"), j.alias("last")))
     every = F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.struct(j.alias("first"), j.alias("last")))
-    small = (F.size(truth) <= MOST_BLOCKS) & (m <= MOST_BLOCKS)
-    return F.when(small, _let(held, lambda h: F.array_sort(F.concat(h, alone(h))))).otherwise(every)
+    return F.when(runs.isNotNull(), _let(held, lambda h: F.array_sort(F.concat(h, alone(h))))).otherwise(every)
 
 
-def _best_window(text: Column, found: Column) -> Column:
-    """The least distance of a text to windows of about its length within much longer found blocks; null without any.
+def window_share(text: str, found: list[str]) -> float | None:
+    """The least distance of a text to windows of about its length within much longer found blocks; None without any.
 
     Windows have its length, 0.7 and 1.3 of it, and step by a fifth of it; one that nearly agrees ends its row.
     """
-    size = F.octet_length(text)
+    size, out = len(text.encode()), None
+    for block in found if size >= LEAST_WINDOW else []:
+        chars = len(block)
+        if chars <= len(text) * 3 // 2 or len(block.encode()) < size // 2:
+            continue
+        for width in {size, max(size * 7 // 10, 5), min(size * 13 // 10, chars)}:
+            windows = [block[at : at + width] for at in range(0, chars - width + 1, max(size // 5, 1))]
+            least = 1.0
+            for window, edits in zip(windows, edits_along(windows, text, [len(text)])[0] if windows else []):
+                share = edits / max(size, len(window.encode()))
+                least = min(least, share)
+                if share < GOOD_WINDOW:
+                    break
+            if windows:
+                out = least if out is None else min(out, least)
+    return out
 
-    def windows(block: Column) -> Column:
-        chars = F.length(block)
 
-        def of(width: Column) -> Column:
-            begins = F.sequence(F.lit(0), chars - width, F.greatest(F.call_function("div", size, F.lit(5)).cast("int"), F.lit(1)))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _window_shares(truth: pd.Series, found: pd.Series, assigned: pd.Series) -> pd.Series:
+    """window_share of each true block that has no partner, null for the others; null where truth is."""
+    of = lambda truth, found, assigned: [window_share(t, found) if pd.isna(j) else None for t, j in zip(truth, assigned)]
+    return pd.Series([None if t is None else of(t, list(f), a) for t, f, a in zip(truth, found, assigned)], dtype=object)
 
-            def least(acc: Column, begin: Column) -> Column:
-                window = F.substring(block, begin + 1, width)
-                return F.when(acc["done"], acc).otherwise(_let(F.levenshtein(text, window) / F.greatest(size, F.octet_length(window)), lambda ned: F.struct(F.least(acc["ned"], ned).alias("ned"), (ned < GOOD_WINDOW).alias("done"))))
 
-            return F.when(width <= chars, F.aggregate(begins, F.struct(F.lit(1.0).alias("ned"), F.lit(False).alias("done")), least)["ned"])
+# see edits.py: no projection takes them into a lambda
+_run_edits, _window_shares = _run_edits.asNondeterministic(), _window_shares.asNondeterministic()
 
-        tenths = lambda k: F.call_function("div", size * k, F.lit(10)).cast("int")
-        widths = F.array(size, F.greatest(tenths(7), F.lit(5)), F.least(tenths(13), chars))
-        long = (chars > F.call_function("div", F.length(text) * 3, F.lit(2))) & (F.octet_length(block) >= F.call_function("div", size, F.lit(2)))
-        return F.when(long, F.array_min(F.array_compact(F.transform(widths, of))))
 
-    return F.when(size >= LEAST_WINDOW, F.array_min(F.array_compact(F.transform(found, windows))))
+def _normalized(pages: DataFrame, ids: list[str], truth: str, found: str) -> DataFrame:
+    """ids, _t and _f, the normalized blocks; through a generator, as a filter on them would work them out again."""
+    return pages.select(*ids, F.inline(F.array(F.struct(_texts(F.col(truth)).alias("_t"), _texts(F.col(found)).alias("_f")))))
 
 
 def assigned_blocks(pages: DataFrame, ids: list[str], truth: str = "truth", found: str = "found") -> DataFrame:
@@ -181,8 +217,8 @@ def assigned_blocks(pages: DataFrame, ids: list[str], truth: str = "truth", foun
 
     truth and found are arrays of texts.  The whole assignment is made first, and pairs worse than WORST_PAIR are taken apart after it.
     """
-    rows = pages.select(*ids, _texts(F.col(truth)).alias("_truth"), _texts(F.col(found)).alias("_found")).where("size(_truth) > 0 AND size(_found) > 0")
-    rows = rows.withColumn("_costs", _matrix(F.col("_truth"), F.col("_found")))
+    rows = _normalized(pages, ids, truth, found).where("size(_t) > 0 AND size(_f) > 0").withColumn("_edits", edit_matrix("_t", "_f"))
+    rows = rows.withColumn("_costs", _shares(F.col("_t"), F.col("_f"), F.col("_edits")))
     pairs = rows.select(*ids, "_costs", F.posexplode(cheapest_assignment(F.col("_costs"))).alias("i", "j")).where("j IS NOT NULL")
     return pairs.select(*ids, "i", "j", F.get(F.get("_costs", F.col("i")), F.col("j")).alias("ned")).where(F.col("ned") <= WORST_PAIR)
 
@@ -195,27 +231,36 @@ def block_scores(pages: DataFrame, ids: list[str], truth: str = "truth", found:
     either side scores 100, and with blocks on one side alone 0.
     """
     length = lambda blocks: F.aggregate(blocks, F.lit(0), lambda acc, x: acc + F.octet_length(x))
-    rows = pages.select(*ids, _texts(F.col(truth)).alias("_t"), _texts(F.col(found)).alias("_f"))
     t, f = F.col("_t"), F.col("_f")
+    rows = _normalized(pages, ids, truth, found).withColumns({"_a": F.array_join("_t", ""), "_b": F.array_join("_f", "")})
     none = F.when((F.size(t) == 0) & (F.size(f) == 0), 100.0).when((F.size(t) == 0) | (F.size(f) == 0), 0.0)
-    rows = rows.withColumn("whole", F.coalesce(none, (1 - distance(F.array_join(t, ""), F.array_join(f, ""))) * 100))
-    large = (F.size(t) * F.size(f) > MOST_PAIRS) | (length(t) + length(f) > MOST_BYTES)
-    scored = F.when(none.isNull() & (F.col("whole") < GOOD_PAGE) & ~large, _let(_matrix(t, f), lambda costs: _let(_joined(t, f, costs), lambda spans: _by_blocks(t, f, spans))))
+    # whole numbers of a page's bits, while it is a page; longer texts are compared row by row
+    long = length(t) + length(f) > MOST_BYTES
+    rows = rows.withColumn("_edits", text_edits(F.when(none.isNull() & ~long, F.col("_a")), F.col("_b")))
+    edits = F.coalesce("_edits", F.levenshtein("_a", "_b"))
+    rows = rows.withColumn("whole", F.coalesce(none, (1 - edits / F.greatest(F.octet_length("_a"), F.octet_length("_b"))) * 100))
+    fit = none.isNull() & (F.col("whole") < GOOD_PAGE) & ~((F.size(t) * F.size(f) > MOST_PAIRS) | long)
+    rows = rows.withColumn("_matrix", edit_matrix(F.when(fit, t), f)).withColumn("_costs", _shares(t, f, F.col("_matrix")))
+    small = (F.size(t) <= MOST_BLOCKS) & (F.size(f) <= MOST_BLOCKS) & F.exists("_costs", lambda row: F.array_min(row) >= GOOD_PAIR)
+    rows = rows.withColumn("_runs", _run_edits(F.when(small, t), f, _taken(F.col("_costs"))))
+    rows = rows.withColumn("_spans", F.when(F.col("_costs").isNotNull(), _joined(t, f, F.col("_costs"), F.col("_runs"))))
+    rows = rows.withColumn("_blocks", F.transform("_spans", lambda s: F.array_join(F.slice(f, s["first"] + 1, s["last"] - s["first"] + 1), "")))
+    of_span = lambda i: lambda s: F.when(s["first"] == s["last"], F.get(F.get("_matrix", i), s["first"])).otherwise(F.get(F.get(F.get("_runs", s["first"]), s["last"] - s["first"] - 1), i))
+    rows = rows.withColumn("_matrix", F.transform(t, lambda _, i: F.transform("_spans", of_span(i)))).withColumn("_costs", _shares(t, F.col("_blocks"), F.col("_matrix")))
+    costs = F.col("_costs")
+    assigned = F.transform(cheapest_assignment(costs), lambda j, i: F.when(F.get(F.get(costs, i), j) <= WORST_PAIR, j))
+    rows = rows.withColumn("_assigned", F.when(F.col("_spans").isNotNull(), assigned))
+    rows = rows.withColumn("_windows", _window_shares(F.when(F.exists("_assigned", F.isnull), t), F.col("_blocks"), F.col("_assigned")))
+    scored = F.when(F.col("_spans").isNotNull(), _score(t, F.col("_blocks"), F.col("_matrix"), costs, F.col("_assigned"), F.col("_windows")))
     return rows.select(*ids, "whole", F.greatest("whole", scored).alias("score"))
 
 
-def _by_blocks(truth: Column, found: Column, spans: Column) -> Column:
-    joined = F.transform(spans, lambda s: F.array_join(F.slice(found, s["first"] + 1, s["last"] - s["first"] + 1), ""))
-    return _let(joined, lambda blocks: _let(_matrix(truth, blocks), lambda costs: _score(truth, found, spans, blocks, costs)))
-
-
-def _score(truth: Column, found: Column, spans: Column, blocks: Column, costs: Column) -> Column:
-    assigned = F.transform(cheapest_assignment(costs), lambda j, i: F.when(F.get(F.get(costs, i), j) <= WORST_PAIR, j))
+def _score(truth: Column, blocks: Column, edits: Column, costs: Column, assigned: Column, windows: Column) -> Column:
     bytes_of = lambda x: F.octet_length(x).cast("long")
 
     def pair(i: Column, j: Column) -> Column:
         a, b = F.get(truth, i), F.get(blocks, j)
-        return F.struct(F.levenshtein(a, b).cast("long").alias("edits"), F.greatest(bytes_of(a), bytes_of(b)).alias("size"))
+        return F.struct(F.get(F.get(edits, i), j).cast("long").alias("edits"), F.greatest(bytes_of(a), bytes_of(b)).alias("size"))
 
     def rest(acc: Column, x: Column) -> Column:
         """A true block without a partner takes the best found block that has none either, or a window, or counts in full."""
@@ -223,7 +268,7 @@ def _score(truth: Column, found: Column, spans: Column, blocks: Column, costs: C
         free = F.filter(F.transform(F.get(costs, i), lambda ned, j: F.struct(ned.alias("ned"), j.alias("j"))), lambda y: ~F.array_contains(acc["used"], y["j"]) & (y["ned"] < WORST_REST))
 
         def take(near: Column) -> Column:
-            window = F.when(F.coalesce(near["ned"], F.lit(WORST_REST)) > GOOD_REST, _best_window(text, blocks))
+            window = F.when(F.coalesce(near["ned"], F.lit(WORST_REST)) > GOOD_REST, F.get(windows, i))
             inside = window < F.coalesce(near["ned"], F.lit(WORST_REST))
             size = bytes_of(text)
             count = F.when(inside, F.struct(F.round(window * size).cast("long").alias("edits"), size.alias("size"))).when(near.isNotNull(), pair(i, near["j"])).otherwise(F.struct(size.alias("edits"), size.alias("size")))
@@ -244,4 +289,4 @@ def _score(truth: Column, found: Column, spans: Column, blocks: Column, costs: C
         over = F.aggregate(F.filter(F.sequence(F.lit(0), F.size(blocks) - 1), lambda j: ~F.array_contains(s["used"], j)), F.lit(0).cast("long"), lambda acc, j: acc + bytes_of(F.get(blocks, j)))
         return F.when(s["size"] + over > 0, (1 - (s["edits"] + over) / (s["size"] + over)) * 100)
 
-    return _let(assigned, counted)
+    return counted(assigned)
