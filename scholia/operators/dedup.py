@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.functions.text import bounded_similarity, normalized_doi, normalized_title
+from scholia.functions.edits import edits_along
+from scholia.functions.text import normalized_doi, normalized_title
 
 #: How far each source is trusted.
 SOURCE_WEIGHTS = {"semantic_scholar": 1.0, "openalex": 0.9, "arxiv": 0.8, "europe_pmc": 0.7, "crossref": 0.6}
 OTHER_WEIGHT = 0.5
 SIMILAR = 0.85
-#: Places that may hold a gram before it is met together with a second one.
-FREQUENT = 2000
+#: Texts of a part that one task compares with another part; hashed pairs of characters; texts of a product of matrices.
+FREQUENT, GRAMS, CHUNK = 4096, 128, 256
 
 
 def source_weight(source):
@@ -43,88 +48,106 @@ def leaders(papers: DataFrame) -> DataFrame:
     return with_doi.select("key", "title_key", F.struct(F.lit(0).alias("kind"), "pos").alias("at")).union(without.select("key", "title_key", F.struct(F.lit(1).alias("kind"), "pos").alias("at")))
 
 
-def _edits(n, least: float):
-    """The most edits between a title of so many characters and a similar one, which may be longer."""
-    return F.floor(n * F.lit((1 - least) / least) + F.lit(1e-9)).cast("int")
-
+def _counts(texts: list[str], q: int, size: int, longest: int) -> np.ndarray:
+    """How often each text has the hashed grams of q characters."""
+    out = np.zeros((len(texts), size), np.uint8 if longest < 256 else np.uint32)
+    for row, text in zip(out, texts):
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        h = c if q == 1 else (c[:-1] * np.uint32(1000003) + c[1:]) * np.uint32(0x9E3779B1) >> np.uint32(16)
+        row += np.bincount(h % np.uint32(size), minlength=size).astype(out.dtype)
+    return out
 
-def _segments(text, n, least: float):
-    """array<struct(i, at, gram)>: a title in edits + 2 even segments, at their places from 0."""
-    parts = _edits(n, least) + 2
-    begin = lambda i: F.call_function("div", i * n, parts).cast("int")
-    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("i"), begin(i).alias("at"), F.substring(text, begin(i) + 1, begin(i + 1) - begin(i)).alias("gram")))
 
+def _alike(a: list[str], b: list[str], least: float):
+    """The pairs (a, b, similarity) of different texts of two lists that are similar.
 
-def _grams(text, n, least: float):
-    """array<struct(at, gram)>: all grams of a title of the lengths that segments of similar titles have."""
-    low, high = F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int"), F.floor(n / F.lit(least) + F.lit(1e-9)).cast("int")
-    shorter = F.transform(F.sequence(low, high), lambda l: F.call_function("div", l, _edits(l, least) + 2).cast("int"))
-    lengths = F.array_distinct(F.flatten(F.transform(shorter, lambda g: F.array(g, g + 1))))
-    of = lambda g: F.transform(F.sequence(F.lit(0), n - g), lambda i: F.struct(i.alias("at"), F.substring(text, i + 1, g).alias("gram")))
-    return F.flatten(F.transform(F.filter(lengths, lambda g: (g > 0) & (g <= n)), of))
+    Texts k edits apart have all but k of the longer one's characters in common, and all but
+    2 k of its pairs of neighbours.  Common pairs are first bounded by a product of
+    matrices, with what a text has once or twice as bits; what has enough is counted, and
+    what still has enough is compared.
+    """
+    a, b = sorted(a, key=len), sorted(b, key=len)
+    na, nb = np.array([*map(len, a)]), np.array([*map(len, b)])
+    longest = max(na[-1], nb[-1])
+    most = np.floor(np.arange(longest + 1) * (1 - least) + 1e-9).astype(np.int64)
+    share = np.arange(longest + 1) - 1 - 2 * most
+    # the fewest that the longer text of this length or more must share
+    fewest = np.minimum.accumulate(share[::-1])[::-1].astype(np.float32)
+    (la, pa), (lb, pb) = ([_counts(x, q, size, longest) for q, size in ((1, 64), (2, 4 * GRAMS))] for x in (a, b))
+
+    def bits(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        folded = pairs.reshape(len(pairs), 4, GRAMS).sum(axis=1, dtype=np.int64)
+        return np.concatenate([folded >= 1, folded >= 2], axis=1).astype(np.float32), np.maximum(folded - 2, 0).sum(axis=1).astype(np.float32)
+
+    (fa, xa), (fb, xb) = bits(pa), bits(pb)
+    for at in range(0, len(a), CHUNK):
+        some = slice(at, at + CHUNK)
+        low, high = np.searchsorted(nb, na[some][0] * least - 1e-6), np.searchsorted(nb, na[some][-1] / least + 1e-6, "right")
+        for begin in range(low, high, 4 * CHUNK):
+            other = slice(begin, min(begin + 4 * CHUNK, high))
+            common = fa[some] @ fb[other].T
+            common += np.minimum(xa[some][:, None], xb[other][None, :])
+            rows, columns = np.nonzero(common >= np.maximum(fewest[na[some]][:, None], fewest[nb[other]][None, :]))
+            for k in range(0, len(rows), 16 * CHUNK):
+                i, j = rows[k : k + 16 * CHUNK] + at, columns[k : k + 16 * CHUNK] + begin
+                n = np.maximum(na[i], nb[j])
+                for of_a, of_b, needed in ((la, lb, np.arange(longest + 1) - most), (pa, pb, share)):
+                    fit = np.minimum(of_a[i], of_b[j]).sum(axis=1, dtype=np.int64) >= needed[n]
+                    i, j, n = i[fit], j[fit], n[fit]
+                for x, y, size in zip(i.tolist(), j.tolist(), n.tolist()):
+                    if a[x] != b[y] and abs(len(a[x]) - len(b[y])) <= most[size]:
+                        edits = edits_along([a[x]], b[y], [len(b[y])])[0][0]
+                        if edits <= most[size] and (sim := 1 - edits / size) >= least:
+                            yield a[x], b[y], sim
 
 
-def _in_reach(least: float):
-    """Whether equal grams at `at` of a title of n characters and at `at_b` of one of n_b leave edits for what is before and behind them."""
-    most = F.floor(F.greatest("n", "n_b") * F.lit(1 - least) + F.lit(1e-9))
-    return F.abs(F.col("at") - F.col("at_b")) + F.abs((F.col("n") - F.col("at")) - (F.col("n_b") - F.col("at_b"))) <= most
+def candidate_titles(titles: DataFrame, least: float = SIMILAR, frequent: int = FREQUENT) -> DataFrame:
+    """Pairs (a, b, sim) of different texts of titles (key, title_key, at) that are similar, b one of the kind without identifier.
 
+    Each text is looked at once.  Texts go by their length into bands, of which only
+    neighbours hold similar ones, and a band's into parts of about `frequent` texts.  A task
+    has one part of either side, so it is bounded, and a text is sent as often as the bands
+    next to its own have parts.
 
-def candidate_titles(titles: DataFrame, least: float = SIMILAR, frequent: int = FREQUENT) -> DataFrame:
-    """Pairs (a, b) of titles (key, title_key, at) that may be similar, b of the kind without identifier.
-
-    A title b in k + 2 segments, k being the most edits to a similar title, has at least two
-    segments that no edit meets.  They are in a as they are, shifted by no more than the
-    edits before them, with room for the edits behind them.  So a is found by any such
-    segment, an equi-join of b's segments with a's grams.  Grams that more than `frequent`
-    places hold are met in pairs: if all of b's untouched segments are frequent ones, then
-    two of them are, and a holds both.  Thus no key brings a title more than `frequent`
-    others, or those with the same two frequent grams at places in reach.  Of what is found,
-    those stay that have enough of b's segments for the edits that the two lengths allow.
-
-    Titles of fewer than six characters have no similar ones but their equals.
+    Texts of fewer than six characters have no similar ones but their equals.
     """
-    base = titles.withColumn("n", F.length("title_key")).where("n >= 6")
-    grams = base.select("key", "n", F.inline(_grams(F.col("title_key"), F.col("n"), least)))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("places"))
-    probes = base.where("at.kind = 1").select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.inline(_segments(F.col("title_key"), F.col("n"), least)).alias("i", "at_b", "gram"))
-    asked = probes.join(counts, "gram", "left").withColumn("often", F.when(F.col("places") > frequent, True)).drop("places")
-    index = grams.join(counts.where(F.col("places") > frequent).select("gram"), "gram").withColumn("often", F.lit(True))
-    reach = _in_reach(least)
-    alone = asked.where("often IS NULL").join(grams, "gram").where(reach & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b", "n", "n_b", "i")
-
-    # two frequent grams: what a title has of them side by side, in pairs as they follow one another
-    held = lambda rows, by, *of: rows.where("often").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*of))).alias("held"))
-    twos = lambda apart: F.inline(F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: apart(x, y)), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
-    of_a = held(index, ["key", "n"], "at", "gram").select("key", "n", twos(lambda x, y: y["at"] >= x["at"] + F.length(x["gram"])))
-    of_b = held(asked, ["b", "n_b"], F.col("at_b"), "gram").select("b", "n_b", twos(lambda x, y: y["at_b"] > x["at_b"]))
-    of_a = of_a.select("key", "n", F.col("x.gram").alias("gram"), F.col("y.gram").alias("second"), F.col("x.at").alias("at"), F.col("y.at").alias("at_second"))
-    of_b = of_b.select("b", "n_b", F.col("x.gram").alias("gram"), F.col("y.gram").alias("second"), F.col("x.at_b").alias("at_b"), F.col("y.at_b").alias("at_second_b"))
-    # the edits before, between and behind the two
-    between = F.abs((F.col("at_second") - F.col("at")) - (F.col("at_second_b") - F.col("at_b")))
-    behind = F.abs((F.col("n") - F.col("at_second")) - (F.col("n_b") - F.col("at_second_b")))
-    most = F.floor(F.greatest("n", "n_b") * F.lit(1 - least) + F.lit(1e-9))
-    near = F.abs(F.col("at") - F.col("at_b")) + between + behind <= most
-    both = of_b.join(of_a, ["gram", "second"]).where(near & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b", "n", "n_b", F.lit(None).cast("int").alias("i"))
-    found = alone.union(both).groupBy("a", "b", "n", "n_b").agg(F.size(F.collect_set("i")).alias("met"))
-    unseen = asked.where("often").groupBy("b").agg(F.count(F.lit(1)).alias("unseen"))
-    enough = F.col("met") + F.coalesce("unseen", F.lit(0)) >= _edits(F.col("n_b"), least) + 2 - most
-    return found.join(unseen, "b", "left").where(enough).select("a", "b")
+    texts = titles.groupBy("title_key").agg(F.max(F.col("at.kind") == 1).alias("asks")).withColumn("n", F.length("title_key")).where("n >= 6")
+    band = F.floor(F.log("n") / F.lit(-math.log(least))).cast("int")
+    texts = texts.select("title_key", "asks", band.alias("band"))
+    sizes = texts.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / frequent).cast("int").alias("a"), F.ceil(F.count_if("asks") / frequent).cast("int").alias("b"))
+    near = sizes.select(F.col("band").alias("band_a"), F.col("a"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band_b"))
+    pairs = near.join(sizes.select(F.col("band").alias("band_b"), "b"), "band_b").where("b > 0")
+    part = lambda parts: F.pmod(F.xxhash64("title_key"), parts).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = texts.join(F.broadcast(pairs), F.col("band") == F.col("band_a")).select("band_a", "band_b", part(F.col("a")).alias("pa"), every("b").alias("pb"), F.lit(True).alias("left"), "title_key")
+    right = texts.where("asks").join(F.broadcast(pairs), F.col("band") == F.col("band_b")).select("band_a", "band_b", every("a").alias("pa"), part(F.col("b")).alias("pb"), F.lit(False).alias("left"), "title_key")
+
+    def alike(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = (group["title_key"][group["left"] == side].tolist() for side in (True, False))
+        return pd.DataFrame(list(_alike(a, b, least)) if a and b else [], columns=["a", "b", "sim"]).astype({"a": object, "b": object, "sim": float})
+
+    task = ["band_a", "band_b", "pa", "pb"]
+    # few bytes, but much work: a number of partitions is kept, where small ones would be put together
+    spark = titles.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return left.union(right).repartition(tasks, *task).groupBy(*task).applyInPandas(alike, "a string, b string, sim double")
 
 
 def similar_titles(titles: DataFrame, least: float = SIMILAR, frequent: int = FREQUENT) -> DataFrame:
-    """All pairs (a, b) of titles (key, title_key, at) that are similar, with b of the kind without identifier and a earlier.
-
-    Candidates come from candidate_titles, which loses none, and are verified by the
-    Levenshtein distance with a bound.
-    """
+    """All pairs (a, b) of titles (key, title_key, at) that are similar, with b of the kind without identifier and a earlier; with at_a and sim."""
     pairs = candidate_titles(titles, least, frequent)
     left = titles.select(F.col("key").alias("a"), F.col("title_key").alias("ta"), F.col("at").alias("at_a"))
-    right = titles.select(F.col("key").alias("b"), F.col("title_key").alias("tb"), F.col("at").alias("at_b"))
-    close = pairs.join(left, "a").join(right, "b").where("at_a < at_b").withColumn("sim", bounded_similarity("ta", "tb", least)).where("sim IS NOT NULL")
+    right = titles.where("at.kind = 1").select(F.col("key").alias("b"), F.col("title_key").alias("tb"), F.col("at").alias("at_b"))
+    close = pairs.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "sim").join(right, "tb").join(left, "ta").where("at_a < at_b")
     same = titles.where("at.kind = 0").select(F.col("key").alias("a"), "title_key", F.col("at").alias("at_a"))
     equal = titles.where("at.kind = 1").select(F.col("key").alias("b"), "title_key").join(same, "title_key").select("a", "b", "at_a", F.lit(1.0).alias("sim"))
-    return close.select("a", "b", "at_a", "sim").union(equal).groupBy("a", "b").agg(F.min("at_a").alias("at_a"), F.max("sim").alias("sim"))
+    return close.select("a", "b", "at_a", "sim").union(equal)
+
+
+def first_of_each_text(titles: DataFrame) -> DataFrame:
+    """titles without identifier, and of those with one the first of each text: no other leads a group of similar ones."""
+    named = titles.where("at.kind = 0").groupBy("title_key").agg(F.min_by("key", "at").alias("key"), F.min("at").alias("at"))
+    return named.select("key", "title_key", "at").union(titles.where("at.kind = 1").select("key", "title_key", "at"))
 
 
 def greedy_groups(titles: DataFrame, pairs: DataFrame, cut) -> DataFrame:
@@ -160,7 +183,7 @@ def dedup(papers: DataFrame, cut) -> DataFrame:
     each group; matching is greedy and not transitive.
     """
     titles = cut(leaders(papers))
-    groups = greedy_groups(titles.select("key"), similar_titles(titles), cut)
+    groups = greedy_groups(titles.select("key"), similar_titles(first_of_each_text(titles)), cut)
     rows = doi_groups(papers).withColumn("key", F.when(F.col("doi_key").isNotNull(), F.concat(F.lit("d:"), "doi_key")).otherwise(F.concat(F.lit("t:"), normalized_title("title"))))
     first = titles.select("key", F.col("at.pos").alias("first_pos"))
     kind = F.when(F.col("pos") == F.col("first_pos"), F.when(F.col("key") == F.col("group_key"), "none").otherwise("fuzzy")).when(F.col("doi_key").isNotNull(), "doi").otherwise("fuzzy")
