@@ -86,14 +86,16 @@ def grid_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as annotated tables: a line is a row of one wide cell, of two, or of one beside an empty place."""
     from scholia.sources.benchmarks import CELLS, grid_html
 
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_returnflag").alias("flag"))
-    row = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).cast("int")
-    cell = lambda columns, text, head: F.struct(F.array("r").alias("row_nums"), columns.alias("column_nums"), text.alias("json_text_content"), head.alias("is_column_header"))
-    text, none = F.col("p").cast("string"), F.lit(False)
-    first = cell(F.when(F.col("p") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))), F.concat(text, F.lit(" <&>")), F.col("r") == 0)
-    second = F.when((F.col("p") % 3 != 0) & (F.col("p") % 5 != 0), cell(F.array(F.lit(1)), F.col("flag"), none))
-    cells = lines.withColumn("r", row).groupBy("l_orderkey").agg(F.flatten(F.collect_list(F.array_compact(F.array(first, second)))).cast(CELLS).alias("cells"))
-    return cells.select("l_orderkey", grid_html(F.col("cells")).alias("html"))
+    # lines are dealt by order once, for both groupings
+    dealt = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").repartition("l_orderkey")
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_returnflag").alias("flag"))
+    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p", "flag"))).alias("lines"))
+    cell = lambda r, columns, text, head: F.struct(F.array(r).alias("row_nums"), columns.alias("column_nums"), text.alias("json_text_content"), head.alias("is_column_header"))
+    p = lambda x: x["p"]
+    first = lambda x, r: cell(r, F.when(p(x) % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))), F.concat(p(x).cast("string"), F.lit(" <&>")), r == 0)
+    second = lambda x, r: F.when((p(x) % 3 != 0) & (p(x) % 5 != 0), cell(r, F.array(F.lit(1)), x["flag"], F.lit(False)))
+    cells = F.flatten(F.transform("lines", lambda x, r: F.array_compact(F.array(first(x, r), second(x, r))))).cast(CELLS)
+    return orders.select("l_orderkey", cells.alias("cells")).select("l_orderkey", F.explode(F.array(grid_html(F.col("cells")))).alias("html"))
 
 
 SEARCHES["grid_markup"] = """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2),

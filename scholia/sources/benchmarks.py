@@ -48,34 +48,38 @@ def grid_html(cells: Column) -> Column:
     """
     last = lambda field: F.coalesce(F.array_max(F.flatten(F.transform(cells, lambda c: F.coalesce(c[field], F.array().cast("array<int>"))))), F.lit(0))
     sound = F.filter(cells, lambda c: (F.size(c["row_nums"]) > 0) & (F.size(c["column_nums"]) > 0))
-    begun = F.transform(
-        sound,
-        lambda c, i: F.struct(
-            F.array_min(c["row_nums"]).alias("r"), F.array_min(c["column_nums"]).alias("c"), i.alias("i"), F.size(c["row_nums"]).alias("high"), F.size(c["column_nums"]).alias("wide"),
-            F.coalesce(c["json_text_content"], F.lit("")).alias("text"), F.coalesce(c["is_column_header"], F.lit(False)).alias("head"),
-        ),
-    )
-    placed = F.array_sort(begun)
-    wide = last("column_nums") + 1
-    places = F.transform(F.sequence(F.lit(0), (last("row_nums") + 1) * wide - 1), lambda k: F.struct(F.call_function("div", k, wide).cast("int").alias("r"), (k % wide).alias("c")))
-
-    def markup(x: Column) -> Column:
-        tag = F.when(x["head"], "th").otherwise("td")
-        span = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
-        text = F.replace(F.replace(F.replace(x["text"], F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-        return F.concat(F.lit("<"), tag, span("rowspan", x["high"]), span("colspan", x["wide"]), F.lit(">"), text, F.lit("</"), tag, F.lit(">"))
-
-    def step(acc: Column, p: Column) -> Column:
-        covered = F.exists(acc["spans"], lambda s: p["r"].between(s["r"], s["r"] + s["high"] - 1) & p["c"].between(s["c"], s["c"] + s["wide"] - 1))
-        own = F.get(F.filter(placed, lambda x: (x["r"] == p["r"]) & (x["c"] == p["c"])), F.lit(0))
-        begins = ~covered & own.isNotNull()
-        piece = F.when(covered, "").when(own.isNotNull(), markup(own)).otherwise("<td></td>")
-        row = F.concat(F.when(p["c"] == 0, "<tr>").otherwise(""), piece, F.when(p["c"] == wide - 1, "</tr>").otherwise(""))
-        spans = F.when(begins & ((own["high"] > 1) | (own["wide"] > 1)), F.concat(acc["spans"], F.array(F.struct(own["r"].alias("r"), own["c"].alias("c"), own["high"].alias("high"), own["wide"].alias("wide"))))).otherwise(acc["spans"])
-        return F.struct(F.concat(acc["parts"], F.array(row)).alias("parts"), spans.alias("spans"))
-
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<struct<r:int,c:int,high:int,wide:int>>").alias("spans"))
-    return F.when(F.size(cells) > 0, F.concat(F.lit("<table>"), F.array_join(F.aggregate(places, start, step)["parts"], ""), F.lit("</table>")))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    tag = lambda c: F.when(F.coalesce(c["is_column_header"], F.lit(False)), "th").otherwise("td")
+    spanned = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def begun(c: Column, i: Column) -> Column:
+        high, wide = F.size(c["row_nums"]), F.size(c["column_nums"])
+        markup = F.concat(F.lit("<"), tag(c), spanned("rowspan", high), spanned("colspan", wide), F.lit(">"), escaped(F.coalesce(c["json_text_content"], F.lit(""))), F.lit("</"), tag(c), F.lit(">"))
+        return F.struct(F.array_min(c["row_nums"]).alias("r"), F.array_min(c["column_nums"]).alias("c"), i.alias("i"), high.alias("high"), wide.alias("wide"), markup.alias("markup"))
+
+    # only cells of several places cover others, and each of them unless one before covers its begin or has it too
+    over = lambda s, r, c: r.between(s["r"], s["r"] + s["high"] - 1) & c.between(s["c"], s["c"] + s["wide"] - 1)
+
+    def covering(placed: Column) -> Column:
+        large = F.filter(placed, lambda x, k: ((x["high"] > 1) | (x["wide"] > 1)) & ((k == 0) | (F.get(placed, k - 1)["r"] != x["r"]) | (F.get(placed, k - 1)["c"] != x["c"])))
+        return F.aggregate(large, F.filter(placed, lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda s: over(s, x["r"], x["c"])), acc).otherwise(F.concat(acc, F.array(x))))
+
+    def row(own: Column, spans: Column, r: Column, wide: Column) -> Column:
+        begins = lambda c: F.coalesce(F.get(F.filter(own, lambda x: x["c"] == c), F.lit(0))["markup"], F.lit("<td></td>"))
+        taken = lambda c: F.exists(spans, lambda s: over(s, r, c) & ((s["r"] != r) | (s["c"] != c)))
+        pieces = F.transform(F.sequence(F.lit(0), wide - 1), lambda c: F.when(taken(c), "").otherwise(begins(c)))
+        return F.concat(F.lit("<tr>"), F.array_join(pieces, ""), F.lit("</tr>"))
+
+    # what several places read is bound before: a lambda would work it out anew at each of them
+    def markup(placed: Column, spans: Column, high: Column, wide: Column) -> Column:
+        of_row = lambda r: F.struct(F.filter(placed, lambda x: x["r"] == r).alias("own"), F.filter(spans, lambda s: r.between(s["r"], s["r"] + s["high"] - 1)).alias("spans"))
+        rows = F.transform(F.sequence(F.lit(0), high - 1), lambda r: once(of_row(r), lambda g: row(g["own"], g["spans"], r, wide)))
+        return F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>"))
+
+    size = F.struct((last("row_nums") + 1).alias("high"), (last("column_nums") + 1).alias("wide"))
+    table = lambda placed: once(size, lambda n: once(covering(placed), lambda spans: markup(placed, spans, n["high"], n["wide"])))
+    return F.when(F.size(cells) > 0, once(F.array_sort(F.transform(sound, begun)), table))
 
 
 def grid_tables(spark: SparkSession, structures: str, annotations: str, images: DataFrame) -> DataFrame:
