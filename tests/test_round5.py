@@ -92,3 +92,10 @@ def test_f12_f14_f16_measures_are_worked_out_once_and_not_char_by_char(spark, sf
     for name in ("quality_measures", "quality_reasons", "quality_tally"):
         plan = _plan(queries()[name](spark, sf))
         assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan and "split" not in plan
+
+
+def test_f13_only_pages_of_the_catalog_are_measured(spark, sf):
+    from __spark_entry__ import queries
+
+    plan = _plan(queries()["junk_html"](spark, sf), True)
+    assert 0 <= plan.find("measures(") < plan.find("Join Inner")
