@@ -1,11 +1,16 @@
-"""Repetition loops in converted text: found, counted, cut to one occurrence and shown, all in native expressions."""
+"""Repetition loops in converted text: found, counted, cut to one occurrence and shown."""
 
 from __future__ import annotations
 
+from operator import eq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scholia.functions.text import trimmed
+from scholia.functions.text import SLICE, plain_words
 
 #: Words of the repeated unit, and how often it may follow itself, in the order of the passes.
 PASSES = ((4, 3), (2, 4), (1, 5))
@@ -15,12 +20,6 @@ CHAR_RUN, SNIPPET = 10, 120
 _CHARS = rf"(?s)(.)\1{{{CHAR_RUN},}}+"
 
 
-def _loop(n: int, most: int) -> str:
-    """A unit of n words of a line that comes more than `most` times in a row; words are apart by one space."""
-    unit = rf"(?:\S++ ){{{n - 1}}}\S++" if n > 1 else r"\S++"
-    return rf"(?U)(?<!\S)({unit})(?: \1(?!\S)){{{most},}}+"
-
-
 def char_runs(text: Column) -> Column:
     """How often a character occurs more than ten times in a row."""
     return F.coalesce(F.regexp_count(text, F.lit(_CHARS)), F.lit(0))
@@ -30,32 +29,78 @@ def without_char_runs(text: Column) -> Column:
     return F.regexp_replace(text, _CHARS, "$1")
 
 
-def spaced_lines(text: Column) -> Column:
-    """Lines of two words or more with one space between words and none around them; other lines as they are."""
-    inner = F.regexp_replace(text, r"(?U)(?<=\S)[^\S\n]+(?=\S)", " ")
-    line = lambda x: F.when(F.contains(trimmed(x), F.lit(" ")), trimmed(x)).otherwise(x)
-    loose = inner.rlike(r"(?U)(?:^|\n)[^\S\n]|[^\S\n](?:\n|$)")
-    return F.when(loose, F.array_join(F.transform(F.split(inner, "\n"), line), "\n")).otherwise(inner)
-
-
-def _step(unit: tuple[int, int]):
-    loop = _loop(*unit)
-    return lambda state: F.struct(F.regexp_replace(state["text"], loop, "$1").alias("text"), (state["sites"] + F.regexp_count(state["text"], F.lit(loop))).alias("sites"))
+def _short_runs(text: str) -> tuple[str, int]:
+    """The text with each run of a character cut to one, if it is too long, and how many there were."""
+    codes = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    lengths = np.diff(starts, append=len(codes))
+    long = lengths > CHAR_RUN
+    if not text or not long.any():
+        return text, 0
+    # of a long run the first character stays
+    kept = np.repeat(~long, lengths)
+    kept[starts] = True
+    return codes[kept].tobytes().decode("ascii" if text.isascii() else "utf-32-le"), int(long.sum())
+
+
+def _cut(w: list[str], n: int, most: int) -> tuple[list[str], int]:
+    """Words without loops of n words, and how many there were."""
+    same = list(map(eq, w, w[n:]))
+    # a loop is so many equal pairs in a row
+    if sum(same) < n * most:
+        return w, 0
+    out, i, sites = [], 0, 0
+    while i < len(w):
+        k = i
+        while k < len(same) and same[k] and k - i < n * most:
+            k += 1
+        if k - i < n * most:
+            out.append(w[i])
+            i += 1
+            continue
+        while k < len(same) and same[k]:
+            k += 1
+        out += w[i : i + n]
+        i += n * ((k - i) // n + 1)
+        sites += 1
+    return out, sites
+
+
+def plain_cleaned(text: str) -> tuple[str, int]:
+    """cleaned of one text."""
+    text, sites = _short_runs(text)
+    lines = text.split("\n")
+    for at, line in enumerate(lines):
+        w = plain_words(line)
+        if len(w) > 1:
+            for unit in PASSES:
+                w, found = _cut(w, *unit)
+                sites += found
+            lines[at] = " ".join(w)
+    return "\n".join(lines), sites
+
+
+_CLEAN = T.StructType([T.StructField("text", T.StringType()), T.StructField("sites", T.IntegerType())])
+
+
+@F.arrow_udf(_CLEAN)
+def _cleaned(texts: pa.Array) -> pa.Array:
+    parts = []
+    for i in range(0, len(texts), SLICE):
+        rows = [(None, 0) if t is None else plain_cleaned(t) for t in texts.slice(i, SLICE).to_pylist()]
+        parts.append(pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32()))], names=_CLEAN.names))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.string()), ("sites", pa.int32())]))
 
 
 def cleaned(text: Column) -> Column:
     """struct(text, sites): the text with each loop cut to one occurrence, and the number of loops.
 
-    Characters come first, then units of four words, of two and of one, each pass on what
+    Characters come first, then lines of two words or more get one space between words and
+    none around them, then units of four words, of two and of one are cut, each pass on what
     the one before left.  A loop that begins further left is cut first, and what follows it
     is looked at anew.  A null text is null, with 0 sites.
     """
-
-    states = F.array(F.struct(spaced_lines(without_char_runs(text)).alias("text"), char_runs(text).alias("sites")))
-    for unit in PASSES:
-        # each state is bound once, so no pass is worked out again for the next
-        states = F.transform(states, _step(unit))
-    return F.transform(states, lambda s: F.struct(s["text"].alias("text"), F.coalesce(s["sites"], F.lit(0)).cast("int").alias("sites")))[0]
+    return _cleaned(F.make_valid_utf8(text))
 
 
 def clean_repetitions(text: Column) -> tuple[Column, Column]:

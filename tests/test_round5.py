@@ -99,3 +99,26 @@ def test_f13_only_pages_of_the_catalog_are_measured(spark, sf):
 
     plan = _plan(queries()["junk_html"](spark, sf), True)
     assert 0 <= plan.find("measures(") < plan.find("Join Inner")
+
+
+def test_f15_loops_of_odd_texts(spark):
+    from scholia.functions.repetition import cleaned
+    from tests.test_functions import plain_loops
+
+    def plain(text):
+        runs = re.compile(r"(.)\1{10,}", re.S)
+        out, sites = plain_loops(runs.sub(r"\1", text))
+        return out, sites + len(runs.findall(text))
+
+    r = random.Random(8)
+    texts = [" ".join((r.choices(["a", "b", "é", "😀", "w" * 12], k=r.randint(1, 5)) * r.randint(1, 14))[r.randint(0, 3) :]) + r.choice(["", "\n", " ", "\n\nend", "z" * 11, "　" * 12 + "q"]) for _ in range(400)]
+    texts += ["", "\n" * 11, "é" * 10, "é" * 11 + "😀" * 25, "a b " * 5000 + "c " * 9]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, v string").select("i", cleaned(F.col("v")).alias("c")).collect()
+    assert {x.i: tuple(x.c) for x in got} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_f15_loops_are_looked_for_once(spark, sf):
+    from __spark_entry__ import queries
+
+    plan = _plan(queries()["repetition_scan"](spark, sf))
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
