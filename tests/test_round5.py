@@ -122,3 +122,17 @@ def test_f15_loops_are_looked_for_once(spark, sf):
 
     plan = _plan(queries()["repetition_scan"](spark, sf))
     assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
+
+
+def test_f17_only_the_first_words_are_cleaned(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    r = random.Random(2)
+    texts = ["".join(r.choice(["a", "b", "cd", " ", " ", "  ", "A", "-", "\n", "é", "😀"]) for _ in range(r.randint(0, 30))) for _ in range(600)] + [None, "", " ", "one", "- a - b - c - d - e", "word " * 20_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries()["latex_texts"](spark, str(tmp_path))
+    for x in df.collect():
+        w = re.split(" +", re.sub("[^a-z ]", "", texts[x.doc_id] or "")) + [""] * 4
+        a, b, c = w[1:4]
+        assert x.plain == f"{a}/{b}/{c} × α{a}{b}≤ {x.doc_id}", texts[x.doc_id]
+    assert _plan(df, True).count("regexp_replace(") == 1
