@@ -1,27 +1,28 @@
 """Pages scored block by block: blocks of the truth are assigned to blocks that were found.
 
-Pages whose whole texts nearly agree, and very large ones, keep the score of their whole
-texts.  For the others found blocks are joined where only several of them make up a true
-one, the cheapest assignment is made, pairs that hardly agree are taken apart again, and
-what is left of the truth is looked for within the found blocks.
+Pages whose whole texts nearly agree keep the score of their whole texts.  For the others,
+of whatever size, found blocks are joined where only several of them make up a true one,
+the cheapest assignment is made, pairs that hardly agree are taken apart again, and what is
+left of the truth is looked for within the found blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholia.functions.edits import edit_matrix, edits_along, text_edits
+from scholia.functions.edits import edit_matrix, edits_of, matrices, window_edits
 from scholia.operators.evaluate import normalized_text
 
-#: Whole texts this good need no blocks; pages beyond these sizes have none.
-GOOD_PAGE, MOST_PAIRS, MOST_BYTES = 97.0, 2500, 50_000
-#: No joining for a true block with a better single one; blocks joined at most, and of a page at most.
-GOOD_PAIR, MOST_JOINED, MOST_BLOCKS = 0.25, 5, 50
+#: Fixed value: whole texts this good need no blocks.
+GOOD_PAGE = 97.0
+#: No joining for a true block with a better single one; neighbours that are joined.
+GOOD_PAIR, MOST_JOINED = 0.25, 5
 #: Assigned pairs that are worse are apart; what is left needs a better one, by block or by window.
 WORST_PAIR, WORST_REST, GOOD_REST, LEAST_WINDOW, GOOD_WINDOW = 0.7, 0.5, 0.3, 10, 0.1
 
@@ -31,78 +32,48 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def cheapest_assignment(costs: Column) -> Column:
-    """array<int>: for each row of a matrix the number of its column, null for rows beyond the columns; the sum of costs is the least.
+def assignment(costs: np.ndarray) -> list[int | None]:
+    """For each row of a matrix its column, None for rows beyond the columns; the sum of costs is the least.
 
     Rows are brought in one after another, each along a shortest augmenting path under
-    potentials, as steps of one fold.  Of equal ones the column with the smaller number
-    comes first.  A matrix without columns gives nulls.
+    potentials.  Of equal ones the column with the smaller number comes first.
     """
-    n, m = F.size(costs), F.coalesce(F.size(F.get(costs, F.lit(0))), F.lit(0))
-    turned = F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.transform(costs, lambda row: F.get(row, j)))
-    rows_of = lambda columns, k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.nullif(F.array_position(columns, i).cast("int") - 1, F.lit(-1)))
-    none = F.transform(costs, lambda row: F.lit(None).cast("int"))
-    return F.when(m < 1, none).when(n <= m, _let(costs, _paths)).otherwise(rows_of(_let(turned, _paths), n))
-
-
-def _paths(costs: Column) -> Column:
-    """The assignment for a matrix with at least as many columns as rows.  Rows and columns count from 1 here; 0 is the root of a path."""
-    n, m = F.size(costs), F.size(F.get(costs, F.lit(0)))
-    columns, infinite = F.sequence(F.lit(0), m), F.lit(float("inf"))
-    fresh = {"way": F.transform(columns, lambda k: F.lit(0)), "least": F.transform(columns, lambda k: infinite), "used": F.transform(columns, lambda k: F.lit(False))}
-
-    def state(**parts: Column) -> Column:
-        return F.struct(*[parts[c].alias(c) for c in ("row", "at", "u", "v", "owner", "way", "least", "used")])
-
-    start = state(
-        row=F.lit(1), at=F.lit(0), u=F.transform(F.sequence(F.lit(0), n), lambda i: F.lit(0.0)), v=F.transform(columns, lambda k: F.lit(0.0)),
-        owner=F.transform(columns, lambda k: F.when(k == 0, 1).otherwise(0)), **fresh,
-    )
-
-    def reached(s: Column) -> Column:
-        """The state with the columns' least reduced costs from the rows of the path, and the nearest free column."""
-        used = F.transform(s["used"], lambda x, k: x | (k == s["at"]))
-        own = F.get(s["owner"], s["at"])
-        reduced = F.transform(columns, lambda k: F.get(F.get(costs, own - 1), k - 1) - F.get(s["u"], own) - F.get(s["v"], k))
-        return _let(
-            F.struct(used.alias("used"), reduced.alias("reduced")),
-            lambda x: F.struct(
-                x["used"].alias("used"),
-                F.zip_with(s["way"], F.arrays_zip(x["used"], x["reduced"], s["least"]), lambda w, y: F.when(~y["used"] & (y["reduced"] < y["least"]), s["at"]).otherwise(w)).alias("way"),
-                F.transform(s["least"], lambda y, k: F.when(F.get(x["used"], k), y).otherwise(F.least(y, F.get(x["reduced"], k)))).alias("least"),
-            ),
-        )
-
-    def moved(s: Column, r: Column) -> Column:
-        free = F.filter(F.transform(r["least"], lambda y, k: F.struct(y.alias("least"), k.alias("k"))), lambda y: ~F.get(r["used"], y["k"]))
-
-        def on(near: Column) -> Column:
-            path = F.transform(F.filter(columns, lambda k: F.get(r["used"], k)), lambda k: F.get(s["owner"], k))
-            u = F.transform(s["u"], lambda x, i: F.when(F.array_contains(path, i), x + near["least"]).otherwise(x))
-            v = F.transform(s["v"], lambda x, k: F.when(F.get(r["used"], k), x - near["least"]).otherwise(x))
-            least = F.transform(r["least"], lambda x, k: F.when(F.get(r["used"], k), x).otherwise(x - near["least"]))
-            going = state(row=s["row"], at=near["k"], u=u, v=v, owner=s["owner"], way=r["way"], least=least, used=r["used"])
-
-            def back(acc: Column, _: Column) -> Column:
-                last = F.get(r["way"], acc["k"])
-                return F.when(acc["k"] == 0, acc).otherwise(
-                    F.struct(last.alias("k"), F.transform(acc["owner"], lambda x, k: F.when(k == acc["k"], F.get(acc["owner"], last)).otherwise(x)).alias("owner"))
-                )
-
-            owner = F.aggregate(columns, F.struct(near["k"].alias("k"), s["owner"].alias("owner")), back)["owner"]
-            following = F.transform(owner, lambda x, k: F.when(k == 0, s["row"] + 1).otherwise(x))
-            done = state(row=s["row"] + 1, at=F.lit(0), u=u, v=v, owner=following, **fresh)
-            return F.when(F.get(s["owner"], near["k"]) == 0, done).otherwise(going)
-
-        return _let(F.array_min(free), on)
-
-    def step(s: Column, _: Column) -> Column:
-        return F.when(s["row"] > n, s).otherwise(_let(reached(s), lambda r: moved(s, r)))
-
-    # the k-th row's path meets at most k columns
-    steps = F.sequence(F.lit(1), F.call_function("div", n * (n + 1), F.lit(2)).cast("int"))
-    final = F.aggregate(steps, start, step)["owner"]
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_position(F.slice(final, 2, m), i).cast("int") - 1)
+    n, m = costs.shape
+    if n > m:
+        rows = assignment(costs.T)
+        return [rows.index(i) if i in rows else None for i in range(n)]
+    # rows and columns count from 1 here; 0 is the root of a path
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, np.intp)
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        way, least, used = np.zeros(m + 1, np.intp), np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        while at == 0 or owner[at]:
+            used[at], own = True, owner[at]
+            reduced = np.concatenate([[np.inf], costs[own - 1] - u[own] - v[1:]])
+            nearer = ~used & (reduced < least)
+            way[nearer], least[nearer] = at, reduced[nearer]
+            at = int(np.argmin(np.where(used, np.inf, least)))
+            near = least[at]
+            u[owner[used]] += near
+            v[used] -= near
+            least[~used] -= near
+        while at:
+            owner[at], at = owner[way[at]], way[at]
+    return [int(k) for k in np.argsort(owner[1:], kind="stable")[m - n :]]
+
+
+def _matrix(costs: np.ndarray) -> np.ndarray:
+    return np.array([list(row) for row in costs], float).reshape(len(costs), -1 if len(costs) else 0)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _assignments(costs: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else assignment(_matrix(c)) for c in costs], dtype=object)
+
+
+def cheapest_assignment(costs: Column) -> Column:
+    """array<int>: for each row of a matrix the number of its column, null for rows beyond the columns; the sum of costs is the least. A matrix without columns gives nulls."""
+    return _assignments(costs)
 
 
 #: Found blocks of a page up to which every set of them is looked at.
@@ -143,30 +114,70 @@ def _shares(truth: Column, found: Column, edits: Column) -> Column:
     return F.zip_with(truth, edits, lambda a, row: F.zip_with(found, row, lambda b, n: n / F.greatest(F.octet_length(a), F.octet_length(b))))
 
 
-def _taken(costs: Column) -> Column:
-    """The numbers of the found blocks that are the best of a true block and match it well."""
-    best = lambda row: F.array_min(F.transform(row, lambda x, j: F.struct(x.alias("ned"), j.alias("j"))))
-    return F.transform(F.filter(F.transform(costs, best), lambda x: x["ned"] < GOOD_PAIR), lambda x: x["j"])
+def _runs(truth: list[str], found: list[str], costs: list[list[float]]) -> list[list[dict[int, int]]]:
+    """For each found block and each longer run that begins with it, of up to five, the true blocks that the run may make up better than any block, with its end in the found text.
 
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))
-def _run_edits(truth: pd.Series, found: pd.Series, taken: pd.Series) -> pd.Series:
-    """For each found block the distances of the runs that begin with it, of two blocks and more, to each true block; null where truth is.
-
-    A run holds no block that is taken, and ends once it has twice the bytes of the longest true block.
+    A run holds no block that is the best of a true block and matches it well, and ends once
+    it has twice the bytes of the true block.  Lengths that differ too much can't be better.
     """
+    best = [min((x, j) for j, x in enumerate(row)) for row in costs]
+    taken = {j for x, j in best if x < GOOD_PAIR}
+    wanted = [(i, len(t), len(t.encode()), best[i][0]) for i, t in enumerate(truth) if best[i][0] >= GOOD_PAIR]
+    chars, sizes, out = [len(x) for x in found], [len(x.encode()) for x in found], []
+    for first in range(len(found)):
+        runs, length, size = [], chars[first], sizes[first]
+        for last in range(first + 1, min(first + MOST_JOINED, len(found))):
+            if {first, last} & taken:
+                break
+            before, length, size = size, length + chars[last], size + sizes[last]
+            open_ = [w for w in wanted if last == first + 1 or before <= 2 * w[2]]
+            runs.append({i: length for i, n, s, ned in open_ if abs(n - length) < ned * max(s, size)})
+        out.append(runs)
+    return out
 
-    def of(truth, found, taken):
-        sizes, longest, out = [len(x.encode()) for x in found], max(len(x.encode()) for x in truth), []
-        for first in range(len(found)):
-            last = first
-            while last + 1 < len(found) and last - first < MOST_JOINED - 1 and not {first, last + 1} & taken and (last == first or sum(sizes[first : last + 1]) <= 2 * longest):
-                last += 1
-            ends = [sum(map(len, found[first : k + 1])) for k in range(first + 1, last + 1)]
-            out.append(edits_along(truth, "".join(found[first : last + 1]), ends))
-        return out
 
-    return pd.Series([None if t is None else of(list(t), list(f), set(k)) for t, f, k in zip(truth, found, taken)], dtype=object)
+def _run_edits(pages: list[tuple[list[str], list[str], list]]) -> list[list[list[list[int | None]]]]:
+    """For each page (truth, found, costs) and each of its found blocks the distances of the runs that begin with it to each true block that they may make up."""
+    asks, places, out = [], [], [_runs(*page) for page in pages]
+    for (truth, found, _), blocks in zip(pages, out):
+        at, text = 0, "".join(found)
+        for block, runs in zip(found, blocks):
+            for i in sorted({i for run in runs for i in run}):
+                some = [run for run in runs if i in run]
+                asks.append((truth[i], text, at, [run[i] for run in some]))
+                places.append((i, some))
+            at += len(block)
+    for (i, some), edits in zip(places, edits_of(asks)):
+        for run, e in zip(some, edits):
+            run[i] = e
+    return [[[[run.get(i) for i in range(len(truth))] for run in runs] for runs in blocks] for (truth, _, _), blocks in zip(pages, out)]
+
+
+_INTS = T.ArrayType(T.IntegerType())
+
+
+@F.pandas_udf(T.StructType().add("edits", T.IntegerType()).add("matrix", T.ArrayType(_INTS)).add("runs", T.ArrayType(T.ArrayType(_INTS))))
+def _page_edits(truth: pd.Series, found: pd.Series) -> pd.DataFrame:
+    """A page's distance as one text, where that isn't good those of its blocks, and where they don't do those of runs; null where truth is."""
+    pages = [None if t is None else (list(t), list(f)) for t, f in zip(truth, found)]
+    some = [n for n, page in enumerate(pages) if page]
+    texts = [["".join(blocks) for blocks in pages[n]] for n in some]
+    out = pd.DataFrame({c: [None] * len(pages) for c in ("edits", "matrix", "runs")}, dtype=object)
+    apart = []
+    for n, (a, b), (edits,) in zip(some, texts, edits_of([(a, b, 0, [len(b)]) for a, b in texts])):
+        out.at[n, "edits"] = edits
+        if (1 - edits / max(len(a.encode()), len(b.encode()))) * 100 < GOOD_PAGE:
+            apart.append(n)
+    joins = []
+    for n, matrix in zip(apart, matrices([pages[n] for n in apart])):
+        out.at[n, "matrix"] = matrix
+        sizes = [[len(x.encode()) for x in blocks] for blocks in pages[n]]
+        costs = [[e / max(s, o) for e, o in zip(row, sizes[1])] for s, row in zip(sizes[0], matrix)]
+        if any(min(row) >= GOOD_PAIR for row in costs):
+            joins.append((n, (*pages[n], costs)))
+    for (n, _), runs in zip(joins, _run_edits([page for _, page in joins])):
+        out.at[n, "runs"] = runs
+    return out
 
 
 def _joined(truth: Column, found: Column, costs: Column, runs: Column) -> Column:
@@ -180,7 +191,7 @@ def _joined(truth: Column, found: Column, costs: Column, runs: Column) -> Column
     m = F.size(found)
     bytes_of = lambda first, last: F.aggregate(F.slice(found, first + 1, last - first + 1), F.lit(0), lambda acc, x: acc + F.octet_length(x))
 
-    def better(text: Column, row: Column, i: Column) -> Column:
+    def better(text: Column, least: Column, i: Column) -> Column:
         def of(ends: Column, first: Column) -> Column:
             sound = F.transform(
                 ends,
@@ -189,11 +200,12 @@ def _joined(truth: Column, found: Column, costs: Column, runs: Column) -> Column
                     F.struct((F.get(edits, i) / F.greatest(F.octet_length(text), bytes_of(first, first + k + 1))).alias("ned"), first.alias("first"), (first + k + 1).alias("last")),
                 ),
             )
-            return F.filter(sound, lambda x: x["ned"] < F.array_min(row))
+            return F.filter(sound, lambda x: x["ned"] < least)
 
-        return F.when(F.array_min(row) >= GOOD_PAIR, F.array_min(F.flatten(F.transform(runs, of))))
+        return F.when(least >= GOOD_PAIR, F.array_min(F.flatten(F.transform(runs, of))))
 
-    wanted = F.array_compact(F.transform(F.arrays_zip(truth.alias("text"), costs.alias("row")), lambda x, i: better(x["text"], x["row"], i)))
+    leasts = F.transform(costs, F.array_min)
+    wanted = F.array_compact(F.transform(F.arrays_zip(truth.alias("text"), leasts.alias("least")), lambda x, i: better(x["text"], x["least"], i)))
     numbered = F.array_sort(F.transform(wanted, lambda x, i: F.struct(x["first"].alias("first"), i.alias("i"), x["last"].alias("last"))))
     none = F.array().cast("array<struct<first:int,last:int>>")
     held = F.aggregate(numbered, none, lambda acc, x: F.when(F.exists(acc, lambda y: (x["first"] <= y["last"]) & (y["first"] <= x["last"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["first"], x["last"])))))
@@ -202,38 +214,45 @@ def _joined(truth: Column, found: Column, costs: Column, runs: Column) -> Column
     return F.when(runs.isNotNull(), _let(held, lambda h: F.array_sort(F.concat(h, alone(h))))).otherwise(every)
 
 
+def _bytes_before(block: str) -> np.ndarray:
+    """The bytes before each place of a text, its end included."""
+    points = np.frombuffer(block.encode("utf-32-le"), np.uint32)
+    return np.cumsum(np.concatenate([[0], 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)]))
+
+
 def window_share(text: str, found: list[str]) -> float | None:
     """The least distance of a text to windows of about its length within much longer found blocks; None without any.
 
     Windows have its length, 0.7 and 1.3 of it, and step by a fifth of it; one that nearly agrees ends its row.
     """
     size, out = len(text.encode()), None
-    for block in found if size >= LEAST_WINDOW else []:
-        chars = len(block)
-        if chars <= len(text) * 3 // 2 or len(block.encode()) < size // 2:
-            continue
-        for width in {size, max(size * 7 // 10, 5), min(size * 13 // 10, chars)}:
-            windows = [block[at : at + width] for at in range(0, chars - width + 1, max(size // 5, 1))]
-            least = 1.0
-            for window, edits in zip(windows, edits_along(windows, text, [len(text)])[0] if windows else []):
-                share = edits / max(size, len(window.encode()))
-                least = min(least, share)
-                if share < GOOD_WINDOW:
-                    break
-            if windows:
-                out = least if out is None else min(out, least)
+    step = max(size // 5, 1)
+    longer = [b for b in found if size >= LEAST_WINDOW and len(b) > len(text) * 3 // 2 and len(b.encode()) >= size // 2]
+    widths = [sorted(w for w in {size, max(size * 7 // 10, 5), min(size * 13 // 10, len(b))} if w <= len(b)) for b in longer]
+    for block, ws, rows in zip(longer, widths, window_edits(text, longer, step, widths) if longer else []):
+        before = _bytes_before(block)
+        for w, edits in zip(ws, rows):
+            shares = edits / np.maximum(size, (before[w:] - before[:-w])[::step])
+            good = np.flatnonzero(shares < GOOD_WINDOW)
+            least = min(1.0, float(shares[: good[0] + 1 if len(good) else None].min()))
+            out = least if out is None else min(out, least)
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _window_shares(truth: pd.Series, found: pd.Series, assigned: pd.Series) -> pd.Series:
-    """window_share of each true block that has no partner, null for the others; null where truth is."""
-    of = lambda truth, found, assigned: [window_share(t, found) if pd.isna(j) else None for t, j in zip(truth, assigned)]
-    return pd.Series([None if t is None else of(t, list(f), a) for t, f, a in zip(truth, found, assigned)], dtype=object)
+@F.pandas_udf(T.StructType().add("assigned", _INTS).add("windows", T.ArrayType(T.DoubleType())))
+def _partners(truth: pd.Series, found: pd.Series, costs: pd.Series) -> pd.DataFrame:
+    """The cheapest assignment without pairs that are worse than WORST_PAIR, and for each true block without a partner its least share of windows; null where costs are."""
+    out = pd.DataFrame({c: [None] * len(truth) for c in ("assigned", "windows")}, dtype=object)
+    for n, (t, f, c) in enumerate(zip(truth, found, costs)):
+        if c is not None:
+            matrix = _matrix(c)
+            way = [None if j is None or matrix[i, j] > WORST_PAIR else j for i, j in enumerate(assignment(matrix))]
+            out.at[n, "assigned"], out.at[n, "windows"] = way, [window_share(text, list(f)) if j is None else None for text, j in zip(t, way)]
+    return out
 
 
 # see edits.py: no projection takes them into a lambda
-_run_edits, _window_shares, _cheapest_way = _run_edits.asNondeterministic(), _window_shares.asNondeterministic(), _cheapest_way.asNondeterministic()
+_page_edits, _partners, _cheapest_way, _assignments = (f.asNondeterministic() for f in (_page_edits, _partners, _cheapest_way, _assignments))
 
 
 def _normalized(pages: DataFrame, ids: list[str], truth: str, found: str) -> DataFrame:
@@ -250,10 +269,9 @@ def assigned_blocks(pages: DataFrame, ids: list[str], truth: str = "truth", foun
     """
     rows = _normalized(pages, ids, truth, found).where("size(_t) > 0 AND size(_f) > 0").withColumn("_edits", edit_matrix("_t", "_f"))
     rows = rows.withColumn("_costs", _shares(F.col("_t"), F.col("_f"), F.col("_edits")))
-    few = (F.size("_f") <= FEW_BLOCKS) & (F.size("_t") <= MOST_BLOCKS)
-    rows = rows.withColumn("_way", _cheapest_way(F.when(few, F.col("_costs"))))
-    way = F.coalesce("_way", F.when(~few, cheapest_assignment(F.col("_costs"))))
-    pairs = rows.select(*ids, "_costs", F.posexplode(way).alias("i", "j")).where("j IS NOT NULL")
+    few = F.size("_f") <= FEW_BLOCKS
+    rows = rows.withColumns({"_few": _cheapest_way(F.when(few, F.col("_costs"))), "_many": cheapest_assignment(F.when(~few, F.col("_costs")))})
+    pairs = rows.select(*ids, "_costs", F.posexplode(F.coalesce("_few", "_many")).alias("i", "j")).where("j IS NOT NULL")
     return pairs.select(*ids, "i", "j", F.get(F.get("_costs", F.col("i")), F.col("j")).alias("ned")).where(F.col("ned") <= WORST_PAIR)
 
 
@@ -264,27 +282,21 @@ def block_scores(pages: DataFrame, ids: list[str], truth: str = "truth", found:
     blocks without a partner and of the found blocks without one.  A page without blocks on
     either side scores 100, and with blocks on one side alone 0.
     """
-    length = lambda blocks: F.aggregate(blocks, F.lit(0), lambda acc, x: acc + F.octet_length(x))
     t, f = F.col("_t"), F.col("_f")
     rows = _normalized(pages, ids, truth, found).withColumns({"_a": F.array_join("_t", ""), "_b": F.array_join("_f", "")})
     none = F.when((F.size(t) == 0) & (F.size(f) == 0), 100.0).when((F.size(t) == 0) | (F.size(f) == 0), 0.0)
-    # whole numbers of a page's bits, while it is a page; longer texts are compared row by row
-    long = length(t) + length(f) > MOST_BYTES
-    rows = rows.withColumn("_edits", text_edits(F.when(none.isNull() & ~long, F.col("_a")), F.col("_b")))
-    edits = F.coalesce("_edits", F.levenshtein("_a", "_b"))
-    rows = rows.withColumn("whole", F.coalesce(none, (1 - edits / F.greatest(F.octet_length("_a"), F.octet_length("_b"))) * 100))
-    fit = none.isNull() & (F.col("whole") < GOOD_PAGE) & ~((F.size(t) * F.size(f) > MOST_PAIRS) | long)
-    rows = rows.withColumn("_matrix", edit_matrix(F.when(fit, t), f)).withColumn("_costs", _shares(t, f, F.col("_matrix")))
-    small = (F.size(t) <= MOST_BLOCKS) & (F.size(f) <= MOST_BLOCKS) & F.exists("_costs", lambda row: F.array_min(row) >= GOOD_PAIR)
-    rows = rows.withColumn("_runs", _run_edits(F.when(small, t), f, _taken(F.col("_costs"))))
+    rows = rows.withColumn("_edits", _page_edits(F.when(none.isNull(), t), f))
+    rows = rows.withColumns({"_matrix": F.col("_edits.matrix"), "_runs": F.col("_edits.runs")}).withColumn("_costs", _shares(t, f, F.col("_matrix")))
+    rows = rows.withColumn("whole", F.coalesce(none, (1 - F.col("_edits.edits") / F.greatest(F.octet_length("_a"), F.octet_length("_b"))) * 100))
     rows = rows.withColumn("_spans", F.when(F.col("_costs").isNotNull(), _joined(t, f, F.col("_costs"), F.col("_runs"))))
-    rows = rows.withColumn("_blocks", F.transform("_spans", lambda s: F.array_join(F.slice(f, s["first"] + 1, s["last"] - s["first"] + 1), "")))
-    of_span = lambda i: lambda s: F.when(s["first"] == s["last"], F.get(F.get("_matrix", i), s["first"])).otherwise(F.get(F.get(F.get("_runs", s["first"]), s["last"] - s["first"] - 1), i))
-    rows = rows.withColumn("_matrix", F.transform(t, lambda _, i: F.transform("_spans", of_span(i)))).withColumn("_costs", _shares(t, F.col("_blocks"), F.col("_matrix")))
+    text_of = lambda s: F.array_join(F.slice(f, s["first"] + 1, s["last"] - s["first"] + 1), "")
+    rows = rows.withColumn("_joins", F.filter("_spans", lambda s: s["first"] < s["last"])).withColumn("_blocks", F.transform("_spans", text_of))
+    rows = rows.withColumn("_joined", edit_matrix(F.when(F.size("_joins") > 0, t), F.transform("_joins", text_of)))
+    of_span = lambda i: lambda s: F.when(s["first"] == s["last"], F.get(F.get("_matrix", i), s["first"])).otherwise(F.get(F.get("_joined", i), F.array_position("_joins", s).cast("int") - 1))
+    fitted = F.transform(F.when(F.col("_spans").isNotNull(), t), lambda _, i: F.transform("_spans", of_span(i)))
+    rows = rows.withColumn("_matrix", fitted).withColumn("_costs", _shares(t, F.col("_blocks"), F.col("_matrix")))
     costs = F.col("_costs")
-    assigned = F.transform(cheapest_assignment(costs), lambda j, i: F.when(F.get(F.get(costs, i), j) <= WORST_PAIR, j))
-    rows = rows.withColumn("_assigned", F.when(F.col("_spans").isNotNull(), assigned))
-    rows = rows.withColumn("_windows", _window_shares(F.when(F.exists("_assigned", F.isnull), t), F.col("_blocks"), F.col("_assigned")))
+    rows = rows.withColumn("_partners", _partners(t, F.col("_blocks"), costs)).withColumns({c: F.col(f"_partners.{c[1:]}") for c in ("_assigned", "_windows")})
     scored = F.when(F.col("_spans").isNotNull(), _score(t, F.col("_blocks"), F.col("_matrix"), costs, F.col("_assigned"), F.col("_windows")))
     return rows.select(*ids, "whole", F.greatest("whole", scored).alias("score"))
 
